@@ -46,26 +46,38 @@ _WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\s{_LETT
 class Tokens(dict):
     """word -> its ids as little-endian 32-bit bytes, filled by the tokenizer; bounded."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.most:
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.final = np.zeros(max(vocabulary.values()) + 1, bool)  # whether an id ends a word
+        self.final[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def learn(self, words: list[str]) -> None:
+        """Encode new words in one call; each word's ids end at a final one."""
+        ids = self.whole(" ".join(words))
+        ends = (4 * (np.flatnonzero(self.final[ids]) + 1)).tolist()
+        if len(ends) != len(words):
+            raise RuntimeError("the tokenizer parts these words in another way")
+        raw = ids.tobytes()
+        for word, start, end in zip(words, [0, *ends], ends, strict=False):
+            self[word] = raw[start:end]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The texts' ids: word by word where that is sure to be the same, else at once."""
+        out: list = [None if "<|" in t or not _PLAIN.match(t) else _WORD.findall(t.lower()) for t in texts]
+        new = set().union(*[x for x in out if x]) - self.keys()
+        if len(self) + len(new) > self.most:
             self.clear()
-        self[word] = out = self.whole(word)
-        return out
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """A text's ids: word by word where that is sure to be the same, else at once."""
-        if "<|" in text or not _PLAIN.match(text):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, _WORD.findall(text.lower())))
+            new = set().union(*[x for x in out if x])
+        if new:
+            self.learn(sorted(new))
+        return [self.whole(t).tobytes() if words is None else b"".join(map(self.__getitem__, words)) for t, words in zip(texts, out, strict=True)]
 
 
 def fill(counts: dict[int, int], window: int, first: int) -> dict[int, int]:
@@ -164,8 +176,10 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, pool: int = POOL
             return out
 
         for pdf in batches:
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                packer.add(None if pd.isna(doc_id) else int(doc_id), tokens.encode(text) + end)
+            for at in range(0, len(pdf), 128):
+                part = pdf.iloc[at : at + 128]
+                for doc_id, ids in zip(part["doc_id"], tokens.encode(list(part["text"])), strict=True):
+                    packer.add(None if pd.isna(doc_id) else int(doc_id), ids + end)
                 if len(packer.pieces) >= 20_000:
                     yield rows()
         packer.flush()
