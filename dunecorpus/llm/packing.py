@@ -56,7 +56,7 @@ class Tokens(dict):
         self.final[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def learn(self, words: list[str]) -> None:
         """Encode new words in one call; each word's ids end at a final one."""
@@ -80,6 +80,16 @@ class Tokens(dict):
         return [self.whole(t).tobytes() if words is None else b"".join(map(self.__getitem__, words)) for t, words in zip(texts, out, strict=True)]
 
 
+_kept: dict[str, Tokens] = {}
+
+
+def tokens_of(path: str) -> Tokens:
+    """The tokenizer and the words that this worker's earlier tasks have met."""
+    if path not in _kept:
+        _kept[path] = Tokens(path)
+    return _kept[path]
+
+
 def fill(counts: dict[int, int], window: int, first: int) -> dict[int, int]:
     """How many pieces of each length fill ``window`` with the least slack, ``first`` among them."""
     room = window - first
@@ -166,7 +176,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, pool: int = POOL
     """One row per piece: where it lies in its document and in its sequence."""
 
     def run(batches):
-        tokens, packer = Tokens(tokenizer), Packer(window, pool, TaskContext.get().partitionId() << 36)
+        tokens, packer = tokens_of(tokenizer), Packer(window, pool, TaskContext.get().partitionId() << 36)
         end = np.array([END_ID], "<u4").tobytes()
 
         def rows():
