@@ -43,14 +43,14 @@ _DIGIT = "0-9²³¹¼-¾"
 _WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\s{_LETTER}{_DIGIT}]+")
 
 
-class Tokens(dict):
+class Tokens:
     """word -> its ids as little-endian 32-bit bytes, filled by the tokenizer; bounded."""
 
     def __init__(self, path: str, most: int = 1_000_000):
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.ids: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.final = np.zeros(max(vocabulary.values()) + 1, bool)  # whether an id ends a word
         self.final[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -66,18 +66,22 @@ class Tokens(dict):
             raise RuntimeError("the tokenizer parts these words in another way")
         raw = ids.tobytes()
         for word, start, end in zip(words, [0, *ends], ends, strict=False):
-            self[word] = raw[start:end]
+            self.ids[word] = raw[start:end]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The texts' ids: word by word where that is sure to be the same, else at once."""
-        out: list = [None if "<|" in t or not _PLAIN.match(t) else _WORD.findall(t.lower()) for t in texts]
-        new = set().union(*[x for x in out if x]) - self.keys()
-        if len(self) + len(new) > self.most:
-            self.clear()
-            new = set().union(*[x for x in out if x])
+        words: list = [None if "<|" in t or not _PLAIN.match(t) else _WORD.findall(t.lower()) for t in texts]
+        parts: list = [None if ws is None else list(map(self.ids.get, ws)) for ws in words]
+        lacking = [i for i, p in enumerate(parts) if p is not None and None in p]
+        new = {w for i in lacking for w, p in zip(words[i], parts[i], strict=True) if p is None}
+        if len(self.ids) + len(new) > self.most:
+            self.ids.clear()
+            new = set().union(*[words[i] for i in lacking])
         if new:
             self.learn(sorted(new))
-        return [self.whole(t).tobytes() if words is None else b"".join(map(self.__getitem__, words)) for t, words in zip(texts, out, strict=True)]
+        for i in lacking:
+            parts[i] = map(self.ids.__getitem__, words[i])
+        return [self.whole(t).tobytes() if p is None else b"".join(p) for t, p in zip(texts, parts, strict=True)]
 
 
 _kept: dict[str, Tokens] = {}
