@@ -265,7 +265,7 @@ def score_texts(texts: list[str], machine: Machine, cache: dict[str, float]) ->
         if len(cache) > 400_000:
             cache.clear()
         found = [chunks(t) for t in texts[at : at + 256]]
-        new = sorted(set().union(*found) - cache.keys())
+        new = sorted(set().union(*found).difference(cache))
         for lo in range(0, len(new), 20_000):
             part = new[lo : lo + 20_000]
             cut_up = [units(c) for c in part]
