@@ -16,7 +16,7 @@ one distributed sum, and the rates are a fold over the vectors so far.
 
 Edge cases: a null text counts as empty and has no tokens, so its rate stays
 at the base rate; documents repeat as often as in the input; a domain without
-expected tokens can't be met and is left out of the fit; additional columns
+expected tokens is asked for none; additional columns
 are ignored; without labels the posteriors are uniform.
 """
 
@@ -36,7 +36,7 @@ DOMAINS = ("good", "poor", "rude")
 TARGETS = (0.96, 0.035, 0.005)
 #: The classifier's bound: so many labelled documents of each domain, by hash of doc_id.
 SAMPLE = 700
-BUCKETS, TEMPER, RIDGE, ROUNDS = 1 << 16, 48, 0.05, 25
+BUCKETS, TEMPER, RIDGE, ROUNDS, MOST = 1 << 16, 48, 0.05, 25, 2.0
 WORD = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -119,7 +119,8 @@ def fit_rates(members: DataFrame, targets: tuple[float, ...] = TARGETS, volume:
     """The rate of a row of ``members`` (n_tokens, p), as an expression on its columns.
 
     ``volume`` is the share of all tokens wanted, and the base rate; by default
-    the most that meets the targets without using any domain more than once.
+    the most that the domain of the largest share can give when used once.  No
+    domain is asked for more than ``MOST`` times what it has.
     """
     k = len(targets)
     p = [F.element_at("p", i + 1) for i in range(k)]
@@ -134,8 +135,8 @@ def fit_rates(members: DataFrame, targets: tuple[float, ...] = TARGETS, volume:
     now = np.array([sums[f"t{i}"] for i in range(k)])
     share = np.array(targets) / sum(targets)
     if volume is None:
-        volume = float(min([1.0, *(now[share > 0] / share[share > 0] / total)]))
-    want = share * volume * total
+        volume = float(min(1.0, now[share.argmax()] / share.max() / total))
+    want = np.minimum(share * volume * total, MOST * now)
     value, vector = np.linalg.eigh(gram)
     keep = value > 1e-9 * value.max()
     white = (vector[:, keep] / np.sqrt(value[keep])).T  # S
