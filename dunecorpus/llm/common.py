@@ -95,6 +95,25 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def texts_of(docs: DataFrame, *columns, rows: int = 1000) -> DataFrame:
+    """Select for a Python stage, with Arrow batches of at most ``rows`` texts to bound its memory."""
+    conf = docs.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, rows + 1):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return docs.select(*columns)
+
+
+_caches: dict[str, object] = {}
+
+
+def worker_cache(name: str, make: Callable[[], object]):
+    """A Python worker's cache, kept from task to task; a worker has but the last named one."""
+    if name not in _caches:
+        _caches.clear()
+        _caches[name] = make()
+    return _caches[name]
+
+
 class Hashes(dict):
     """word -> 64-bit hash, bounded: emptied when it has ``most`` words."""
 

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dunecorpus.llm.common import cut, small_or_shuffled
+from dunecorpus.llm.common import cut, small_or_shuffled, texts_of, worker_cache
 
 DOMAINS = ("good", "poor", "rude")
 #: Target shares of the tokens, by domain.
@@ -95,7 +95,7 @@ def posteriors(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(fit(*sample(docs, labels)))
 
     def run(batches):
-        buckets = Buckets()
+        buckets = worker_cache("buckets", Buckets)
         for pdf in batches:
             tokens, shares = [], []
             for text in pdf["text"]:
@@ -111,7 +111,7 @@ def posteriors(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 shares.append(p)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": tokens, "p": shares})
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts_of(docs, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return texts.mapInPandas(run, "doc_id long, n_tokens long, p array<double>")
 
 

@@ -26,13 +26,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dunecorpus.llm.common import Hashes, block_pairs, blocks_of, components, cut, ngram_hashes, small_or_shuffled
+from dunecorpus.llm.common import Hashes, block_pairs, blocks_of, components, cut, ngram_hashes, small_or_shuffled, texts_of, worker_cache
 
 WORD = re.compile(r"\w+")
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.9999
 ROWS_PER_BAND = 4
 BLOCK_DOCS, BLOCK_NGRAMS = 160, 2_000_000
-_words = Hashes()
 
 
 def band_count(threshold: float, recall: float, rows: int) -> int:
@@ -44,7 +43,7 @@ def band_count(threshold: float, recall: float, rows: int) -> int:
 
 
 def ngram_set(text: str, n: int) -> np.ndarray:
-    return np.unique(ngram_hashes(WORD.findall(text.lower()), n, _words))
+    return np.unique(ngram_hashes(WORD.findall(text.lower()), n, worker_cache("words", Hashes)))
 
 
 def minhash(grams: np.ndarray, factors: np.ndarray) -> np.ndarray:
@@ -80,14 +79,14 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             for text in pdf["text"]:
                 words = WORD.findall(text.lower())
                 key = xxhash.xxh3_128_intdigest("\x1f".join(words) if words else "\x1e" + text)
-                grams = np.unique(ngram_hashes(words, n, _words))
+                grams = np.unique(ngram_hashes(words, n, worker_cache("words", Hashes)))
                 keys1.append((key >> 64) - (1 << 63))
                 keys2.append((key & ((1 << 64) - 1)) - (1 << 63))
                 sizes.append(len(grams))
                 all_bands.append(band_keys(grams, factors, rows) if len(grams) else [])
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "k1": keys1, "k2": keys2, "n_grams": sizes, "bands": all_bands})
 
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts_of(docs.where("doc_id is not null"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return texts.mapInPandas(run, "doc_id long, k1 long, k2 long, n_grams long, bands array<long>")
 
 
@@ -174,7 +173,7 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOL
             sets = [ngram_set(t, n).tobytes() for t in pdf["text"]]
             yield pdf.drop(columns="text").assign(grams=sets)
 
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts_of(docs.where("doc_id is not null"), F.col("doc_id").cast("long").alias("rep"), F.coalesce("text", F.lit("")).alias("text"))
     chosen = texts.join(small_or_shuffled(members.select("rep", "copies", "posts"), members.count()), "rep")
     # doc_id may repeat: the verified sets are those of the texts that the signatures came from
     chosen = chosen.select("rep", "copies", F.col("posts.bucket").alias("buckets"), F.col("posts"), "text")

@@ -32,6 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dunecorpus.llm.common import texts_of, worker_cache
+
 WINDOW, END_ID, POOL = 4096, 2, 1024
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -46,7 +48,7 @@ _WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\s{_LETT
 class Tokens:
     """word -> its ids as little-endian 32-bit bytes, filled by the tokenizer; bounded."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -84,16 +86,6 @@ class Tokens:
         return [self.whole(t).tobytes() if p is None else b"".join(p) for t, p in zip(texts, parts, strict=True)]
 
 
-_kept: dict[str, Tokens] = {}
-
-
-def tokens_of(path: str) -> Tokens:
-    """The tokenizer and the words that this worker's earlier tasks have met."""
-    if path not in _kept:
-        _kept[path] = Tokens(path)
-    return _kept[path]
-
-
 def fill(counts: dict[int, int], window: int, first: int) -> dict[int, int]:
     """How many pieces of each length fill ``window`` with the least slack, ``first`` among them."""
     room = window - first
@@ -180,7 +172,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, pool: int = POOL
     """One row per piece: where it lies in its document and in its sequence."""
 
     def run(batches):
-        tokens, packer = tokens_of(tokenizer), Packer(window, pool, TaskContext.get().partitionId() << 36)
+        tokens, packer = worker_cache(tokenizer, lambda: Tokens(tokenizer)), Packer(window, pool, TaskContext.get().partitionId() << 36)
         end = np.array([END_ID], "<u4").tobytes()
 
         def rows():
@@ -200,4 +192,4 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, pool: int = POOL
         if packer.pieces:
             yield rows()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, SCHEMA)
+    return texts_of(docs, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, SCHEMA)

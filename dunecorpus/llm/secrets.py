@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dunecorpus.llm.common import cut
+from dunecorpus.llm.common import cut, texts_of
 
 BASE_KINDS = ("assign", "access", "hex")
 REJECT, FDR = 1e-3, 0.01
@@ -142,7 +142,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 "runs": [[{"start": s, "stop": e, "encoding": n, "band": g, "bin": p} for s, e, n, g, p in r] for r in runs],
             })
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts_of(docs, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return texts.mapInPandas(run, f"doc_id long, base array<struct<start:int,stop:int,kind:string>>, runs {CANDIDATE}")
 
 
@@ -225,4 +225,4 @@ def redact(docs: DataFrame) -> DataFrame:
             pdf["text"] = texts
             yield pdf
 
-    return docs.mapInPandas(run, docs.schema)
+    return texts_of(docs, "*").mapInPandas(run, docs.schema)

@@ -28,18 +28,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dunecorpus.llm.common import Hashes, block_pairs, blocks_of, cut, ngram_hashes
+from dunecorpus.llm.common import Hashes, block_pairs, blocks_of, cut, ngram_hashes, texts_of, worker_cache
 
 WORD = re.compile(r"\w+")
 BITS, RADIUS, BLOCKS = 64, 3, 6
 BLOCK_ROWS = 192
 #: Rows that one range of neighbouring documents holds, about.
 RANGE_ROWS = 1200
-_words = Hashes()
 
 
 def fingerprint(text: str) -> int:
-    terms = ngram_hashes(WORD.findall(text.lower()), 2, _words)
+    terms = ngram_hashes(WORD.findall(text.lower()), 2, worker_cache("words", Hashes))
     if not len(terms):
         return 0
     terms, counts = np.unique(terms, return_counts=True)
@@ -65,7 +64,7 @@ def _with_neighbours(docs: DataFrame) -> DataFrame:
 
     The only shuffle of the texts; one more row for each range.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = texts_of(docs, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ids = docs.select("doc_id").where("doc_id is not null")
     stats = ids.agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
     if stats["n"] < 2:

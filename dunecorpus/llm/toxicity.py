@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dunecorpus.llm.common import cut
+from dunecorpus.llm.common import cut, texts_of
 
 DECAY, SPAN, LONGEST = 0.7, 7, 40
 #: The sample's bound: so many labelled documents of either kind, by hash of doc_id.
@@ -262,7 +262,7 @@ def score_texts(texts: list[str], machine: Machine, cache: dict[str, float]) ->
         return [p] * len(texts)
     out = []
     for at in range(0, len(texts), 256):
-        if len(cache) > 400_000:
+        if len(cache) > 250_000:
             cache.clear()
         found = [chunks(t) for t in texts[at : at + 256]]
         new = sorted(set().union(*found).difference(cache))
@@ -309,7 +309,7 @@ def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": score_texts(list(pdf["text"]), shipped.value, cache)})
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return texts_of(docs, "doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -328,4 +328,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             p = np.array(score_texts([t if isinstance(t, str) else "" for t in pdf["text"]], machine.value, cache))
             yield pdf[p < 0.5]
 
-    return docs.mapInPandas(run, docs.schema)
+    return texts_of(docs, "*").mapInPandas(run, docs.schema)
