@@ -80,20 +80,22 @@ def shorten_phrases(t: str | None) -> str | None:
     out, i, copied = [], 0, 0
     while i <= len(t) - PHRASE * PHRASE_TIMES:
         places = at[t[i : i + PHRASE]]
+        period = 0
         for j in places[bisect_left(places, i + PHRASE) :] if len(places) >= PHRASE_TIMES else ():
             p = j - i
             if i + 3 * p > len(t):
                 break
-            unit = t[i:j]
-            if t.startswith(unit, j) and t.startswith(unit, j + p):
-                end = j + 2 * p
-                while t.startswith(unit, end):
-                    end += p
-                out += [t[copied:i], unit, unit]
-                i = copied = end
+            if t.startswith(t[i:j], j) and t.startswith(t[i:j], j + p):
+                period = p
                 break
-        else:
+        if not period:
             i += 1
+            continue
+        unit, end = t[i : i + period], i + 3 * period
+        while t.startswith(unit, end):
+            end += period
+        out += [t[copied:i], unit, unit]
+        i = copied = end
     return "".join([*out, t[copied:]])
 
 
