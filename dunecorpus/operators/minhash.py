@@ -2,7 +2,8 @@
 
 Equal texts fold into one before anything is paired.  A band's bucket is
 joined to its smallest member only, and labels then flow along those links
-until nothing changes, so no bucket emits all its pairs.  Likeness is judged
+until nothing changes, so no bucket emits all its pairs.  As in a greedy
+walk, a text that is like a later member only is not flagged.  Likeness is judged
 on the signatures (128 hashes), as the persisted index does.
 """
 
@@ -12,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dunecorpus.functions import text as cleaning
 from dunecorpus.functions.tokens import _grams
@@ -32,7 +34,7 @@ def _signature(t: str) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("struct<sig array<long>, digest string, bands array<string>>")
+@F.pandas_udf(T.StructType().add("sig", T.ArrayType(T.LongType())).add("digest", T.StringType()).add("bands", T.ArrayType(T.StringType())))
 def _sign(texts: pd.Series) -> pd.DataFrame:
     rows = []
     for t in texts:

@@ -250,9 +250,3 @@ def w13_token_budget(spark, sf_dir):
     return token_count(spark, sf_dir).select("source", "doc_id", before.alias("before")).where("before < 5000")
 
 
-@query()
-def w15_profiles(spark, sf_dir):
-    """Per language, the 300 most frequent character grams of one to five."""
-    from dunecorpus.operators import modelling
-
-    return modelling.profiles(table(spark, sf_dir, "documents"), "lang", "text")
