@@ -23,7 +23,7 @@ def m2_profiles(spark, sf_dir):
     return ops.profiles(table(spark, sf_dir, "documents"), "lang", "text")
 
 
-_CT = f"WITH {_grams('documents', 'lang')}, cls AS (SELECT * FROM prof), {_grams('benchmark', 'item_id').replace('w AS', 'w2 AS', 1).replace('FROM w ', 'FROM w2 ').replace('FROM w)', 'FROM w2)').replace('g AS (', 'g2 AS (').replace('FROM g ', 'FROM g2 ').replace('n AS (SELECT item_id, gram', 'n2 AS (SELECT item_id, gram').replace('FROM n)', 'FROM n2)').replace('prof AS', 'dp AS')}, worst AS (SELECT lang, max(rank) AS worst FROM cls GROUP BY lang), d AS (SELECT item_id, worst.lang, sum(coalesce(abs(cls.rank - dp.rank), worst + 1)) AS distance FROM dp CROSS JOIN worst LEFT JOIN cls ON cls.lang = worst.lang AND cls.gram = dp.gram GROUP BY ALL)"
+_CT = f"WITH {_grams('documents', 'lang')}, cls AS MATERIALIZED (SELECT lang, gram, rank FROM prof), {_grams('benchmark', 'item_id').replace('w AS', 'w2 AS', 1).replace('FROM w ', 'FROM w2 ').replace('FROM w)', 'FROM w2)').replace('g AS (', 'g2 AS (').replace('FROM g ', 'FROM g2 ').replace('n AS (SELECT item_id, gram', 'n2 AS (SELECT item_id, gram').replace('FROM n)', 'FROM n2)').replace('prof AS', 'dp AS MATERIALIZED')}, worst AS (SELECT lang, max(rank) AS worst FROM cls GROUP BY lang), d AS (SELECT item_id, worst.lang, sum(coalesce(abs(cls.rank - dp.rank), worst + 1)) AS distance FROM dp CROSS JOIN worst LEFT JOIN cls ON cls.lang = worst.lang AND cls.gram = dp.gram GROUP BY ALL)"
 
 
 @query(f"{_CT}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY distance, lang) AS place FROM d) SELECT item_id, lang, CAST(distance AS BIGINT) AS distance FROM r WHERE place = 1")
