@@ -48,3 +48,30 @@ def first_of(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFram
 def dedup(df: DataFrame, id_column: str, key: Column, order: list[Column]) -> DataFrame:
     """First by id, then by key among those left: a repeated id does not register its key."""
     return first_of(first_of(df, [F.col(id_column)], order), [key], order)
+
+
+def uniform(seed: int, id_column: str) -> Column:
+    """A whole number under 2^28, drawn by seed and id."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}-"), F.col(id_column).cast("string"))), 1, 7), 16, 10).cast("long")
+
+
+def sorted_batches(df: DataFrame, length: str, id_column: str, size: int, seed: int) -> DataFrame:
+    """(columns of df, batch): batches of ``size`` rows in order of length, in drawn order within a length.
+
+    Only the histogram of lengths is summed in one task; each length's rows are placed on their own.
+    """
+    before = Window.orderBy(length).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = df.groupBy(length).agg(F.count("*").alias("_rows")).select(length, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    drawn = F.md5(F.concat(F.lit(f"{seed}-"), F.col(id_column).cast("string")))
+    place = F.row_number().over(Window.partitionBy(length).orderBy(drawn, id_column))
+    at = df.withColumn("_place", place).join(offsets, length)
+    return at.select(*df.columns, F.floor((F.col("_before") + F.col("_place") - 1) / size).alias("batch"))
+
+
+def nearest_to_centroid(df: DataFrame, by: str, id_column: str, vector: str) -> DataFrame:
+    """(by, id, distance): the vector of each group nearest (squared) to the group's mean; partial aggregations only."""
+    sums = df.select(by, F.posexplode(vector).alias("_i", "_x")).groupBy(by, "_i").agg(F.avg(F.col("_x").cast("double")).alias("_c"))
+    centre = sums.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_c"))), lambda s: s["_c"]).alias("_centre"))
+    apart = F.aggregate(F.zip_with(vector, "_centre", lambda x, c: (x - c) * (x - c)), F.lit(0.0), lambda s, x: s + x)
+    near = df.join(centre, by).select(by, id_column, apart.alias("distance"))
+    return near.groupBy(by).agg(F.min_by(id_column, F.struct("distance", id_column)).alias(id_column), F.min("distance").alias("distance"))
