@@ -3,11 +3,12 @@
 Texts become words (A-Z lower-cased; anything of ASCII but letters and digits
 parts them).  The templates' words, but for common ones, form a small
 vocabulary whose document frequencies are counted over all texts.  For each
-file its ``RARE`` words of the highest inverse document frequency are looked up
-in the templates' postings; each posting votes for a template at a relative
-position (place in the file minus place in the template).  An alignment with
-votes from at least half of the template's weight is a candidate, and counts
-once the template's mandatory key phrase stands in the file.
+file all its vocabulary words are looked up in the postings of the templates
+whose mandatory key phrase stands in the file, so one notice takes no votes
+from another; each posting votes for a template at a relative position (place
+in the file minus place in the template).  An alignment counts with votes from
+at least half of the template's weight, that of its own ``RARE`` words of the
+highest inverse document frequency.
 
 SQL functions only; at most a few hundred word counts reach the driver.
 
@@ -99,7 +100,6 @@ def scan(docs: DataFrame) -> DataFrame:
     df = {r["word"]: r["count"] for r in rows.select(F.explode(F.array_distinct(F.transform("held", lambda s: s["word"]))).alias("word")).groupBy("word").count().collect()}
     idf = {i: math.log((1 + n_docs) / (1 + df.get(i, 0))) + 1e-3 for i in range(1, len(vocabulary) + 1)}
     weight = F.array(*[F.lit(idf[i]) for i in range(1, len(vocabulary) + 1)])
-    rank = F.array(*[F.lit(r) for r in [sorted(idf, key=lambda i: (-idf[i], i)).index(i) for i in range(1, len(vocabulary) + 1)]])
     postings: dict[str, list[tuple[int, int]]] = {w: [] for w in vocabulary}
     total = []
     for t, (_, words, _) in enumerate(TEMPLATES):
@@ -109,16 +109,15 @@ def scan(docs: DataFrame) -> DataFrame:
         rare = sorted({vocabulary.index(w) + 1 for w, _ in own}, key=lambda i: (-idf[i], i))[:RARE]
         total.append(sum(idf[i] for i in rare))
     posted = F.array(*[F.array(*[F.struct(F.lit(t).alias("t"), F.lit(at).alias("pos")) for t, at in postings[w]]) for w in vocabulary])
-    chosen = F.slice(F.array_sort(F.array_distinct(F.transform("held", lambda s: F.struct(F.element_at(rank, s["word"]).alias("rank"), s["word"].alias("word"))))), F.lit(1), F.lit(RARE))
-    some = rows.where(F.size("held") > 0).select("row", "keys", "held", chosen.alias("chosen"))
-    votes = some.select("row", "keys", F.explode(F.filter("held", lambda s: F.exists("chosen", lambda c: c["word"] == s["word"]))).alias("s"))
-    votes = votes.select("row", "keys", "s.word", "s.at", F.explode(F.element_at(posted, F.col("s.word"))).alias("p"))
-    lined = votes.groupBy("row", F.col("p.t").alias("t"), (F.col("at") - F.col("p.pos")).alias("shift")).agg(F.sum(F.element_at(weight, F.col("word"))).alias("votes"), F.count("*").alias("n"), F.first("keys").alias("keys"))
     label = F.array(*[F.lit(x) for x, _, _ in TEMPLATES])
     key = F.array(*[F.lit(k) for _, _, k in TEMPLATES])
     whole = F.array(*[F.lit(x) for x in total])
+    some = rows.where((F.size("held") > 0) & (F.size("keys") > 0)).select("row", "keys", F.explode("held").alias("s"))
+    sure = F.filter(F.element_at(posted, F.col("s.word")), lambda p: F.array_contains("keys", F.element_at(key, p["t"] + 1)))
+    votes = some.select("row", "s.word", "s.at", F.explode(sure).alias("p"))
+    lined = votes.groupBy("row", F.col("p.t").alias("t"), (F.col("at") - F.col("p.pos")).alias("shift")).agg(F.sum(F.element_at(weight, F.col("word"))).alias("votes"))
     at = F.col("t") + 1
-    fits = lined.select("row", F.element_at(label, at).alias("label"), F.least(F.lit(1.0), F.col("votes") / F.element_at(whole, at)).alias("score"), F.array_contains("keys", F.element_at(key, at)).alias("sure")).where(F.col("sure") & (F.col("score") >= SHARE))
+    fits = lined.select("row", F.element_at(label, at).alias("label"), F.least(F.lit(1.0), F.col("votes") / F.element_at(whole, at)).alias("score")).where(F.col("score") >= SHARE)
     best = fits.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("score").alias("score"))
     base = F.concat(*[F.when(F.size(f"p{i}") > 0, F.array(F.lit(x))).otherwise(F.array().cast("array<string>")) for i, (_, x) in enumerate(PHRASES)])
     every = F.concat(*[F.col(f"p{i}") for i in range(len(PHRASES))])

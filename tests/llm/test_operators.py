@@ -235,6 +235,16 @@ def test_licenses_against_brute_force(spark, docs):
     assert got[10**6 + 1][5] == "mit" and got[10**6 + 2][5] == ""
 
 
+def test_licenses_of_several_notices(spark):
+    notices = [*combinations(licenses.TEMPLATES, 2), *[pair[::-1] for pair in combinations(licenses.TEMPLATES, 2)], *combinations(licenses.TEMPLATES, 3), licenses.TEMPLATES]
+    plain = [(10**6 + i, sentence(i)) for i in range(200)]
+    table = spark.createDataFrame([(i, f" {sentence(i, 5)} ".join(words for _, words, _ in some)) for i, some in enumerate(notices)] + plain, "doc_id long, text string")
+    got = by_id(licenses.scan(table), "labels")
+    for i, some in enumerate(notices):
+        assert {label for label, _, _ in some} <= set(got[i][0].split(",")), some
+    assert all(got[i] == ("",) for i, _ in plain)
+
+
 # n-gram join
 
 
