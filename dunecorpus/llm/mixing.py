@@ -3,16 +3,17 @@
 A classifier trained on the labelled table gives each document posteriors over
 domains (here: ``poor`` for quality 0, ``rude`` for toxic 1, ``good`` for the
 rest).  It is multinomial naive Bayes on hashed words, fitted on a bounded
-sample of labelled rows and tempered by text length.  Rates r_d >= 0 then
-minimise
+sample of labelled rows and tempered by text length.  Of the rates r_d >= 0
+whose expected tokens meet the targets, A r = t, those nearest to the base rate
+are taken: they minimise the token-weighted sum of (r - base)^2.  Column d of A
+is n_d tokens times the posteriors, t the target tokens.  Such rates are
 
-    | S (A r - t) |^2 + RIDGE * |W^(1/2) (r - base)|^2
+    r_d = max(0, base + p_d . mu)
 
-where column d of A is n_d tokens times the posteriors, t the target tokens, W
-the token counts over their mean and S whitens A's Gram matrix, so projected
-gradient steps settle in a few rounds.  A round's step depends on a document
-only through its own row and a vector of one number per domain, so a round is
-one distributed sum, and the rates are a fold over the vectors so far.
+with one multiplier in mu per domain.  Newton steps on the convex dual find mu;
+a step is one distributed sum of a few numbers, and they start from the
+solution on a bounded sample.  Targets that no rates meet are met as nearly as
+can be (whitened by A's Gram matrix); steps that don't settle are an error.
 
 Edge cases: a null text counts as empty and has no tokens, so its rate stays
 at the base rate; documents repeat as often as in the input; a domain without
@@ -36,7 +37,9 @@ DOMAINS = ("good", "poor", "rude")
 TARGETS = (0.96, 0.035, 0.005)
 #: The classifier's bound: so many labelled documents of each domain, by hash of doc_id.
 SAMPLE = 700
-BUCKETS, TEMPER, RIDGE, ROUNDS, MOST = 1 << 16, 48, 0.05, 25, 2.0
+BUCKETS, TEMPER, MOST = 1 << 16, 48, 2.0
+#: Ridges of the dual on the way to the last, which is then centred anew and leaves nothing of a gap.
+RIDGES, ROUNDS, START_ROWS = (1e-2, 1e-4, 1e-6, 1e-8), 200, 20_000
 WORD = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -115,8 +118,62 @@ def posteriors(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return texts.mapInPandas(run, "doc_id long, n_tokens long, p array<double>")
 
 
-def fit_rates(members: DataFrame, targets: tuple[float, ...] = TARGETS, volume: float | None = None) -> Column:
-    """The rate of a row of ``members`` (n_tokens, p), as an expression on its columns.
+def settle(measure, gram: np.ndarray, want: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(multipliers, totals reached) for the totals ``want``.
+
+    ``measure`` takes a list of multipliers and gives for each the dual's sum,
+    the totals, and the Gram matrix of the rows whose rate isn't clipped.
+    """
+    value, vector = np.linalg.eigh(gram)
+    keep = value > 1e-9 * value.max()
+    white = vector[:, keep] / np.sqrt(value[keep])
+    size = want.sum()
+    rounds = 0
+
+    def look(nus, ridge, centre):
+        nonlocal rounds
+        rounds += 1
+        out = []
+        for nu, (dual, totals, curve) in zip(nus, measure([white @ nu for nu in nus]), strict=True):
+            off = nu - centre
+            out.append((dual - want @ (white @ nu) + ridge / 2 * off @ off, white.T @ (totals - want) + ridge * off, white.T @ curve @ white + ridge * np.eye(len(nu)), nu, totals))
+        return out
+
+    def gap(now):
+        return np.abs(gram @ white @ now[1]).max()
+
+    def descend(nu, ridge, centre):
+        now = look([nu], ridge, centre)[0]
+        while gap(now) > 1e-8 * size:
+            if rounds > ROUNDS:
+                raise RuntimeError(f"mixing rates did not settle in {ROUNDS} rounds")
+            push = np.linalg.solve(now[2], now[1])
+            for steps in ([1.0], *[[4.0 ** -(4 * i + j) for j in range(1, 5)] for i in range(6)]):
+                best = min(look([now[3] - s * push for s in steps], ridge, centre), key=lambda x: x[0])
+                if best[0] < now[0]:
+                    break
+            else:  # as near as the sums' rounding allows
+                if gap(now) > 1e-6 * size:
+                    raise RuntimeError(f"mixing rates did not settle: {gap(now) / size:.1e} of the tokens are off")
+                break
+            now = best
+        return now
+
+    nu = np.zeros(white.shape[1]) if start is None else np.linalg.pinv(white) @ start
+    if start is None:
+        for ridge in RIDGES:
+            nu = descend(nu, ridge, np.zeros(len(nu)))[3]
+    before = None
+    while True:
+        now = descend(nu, RIDGES[-1], nu)
+        nu, totals = now[3], now[4]
+        if (np.abs(totals - want) <= 1e-4 * want).all() or (before is not None and np.abs(totals - before).max() <= 1e-6 * size):
+            return white @ nu, totals
+        before = totals
+
+
+def fitted(members: DataFrame, targets: tuple[float, ...] = TARGETS, volume: float | None = None) -> tuple[Column, np.ndarray, np.ndarray]:
+    """(the rate of a row of ``members`` (n_tokens, p) as an expression on its columns, tokens wanted, tokens reached).
 
     ``volume`` is the share of all tokens wanted, and the base rate; by default
     the most that the domain of the largest share can give when used once.  No
@@ -125,47 +182,58 @@ def fit_rates(members: DataFrame, targets: tuple[float, ...] = TARGETS, volume:
     k = len(targets)
     p = [F.element_at("p", i + 1) for i in range(k)]
     n = F.col("n_tokens").cast("double")
-    sums = members.agg(F.sum(n).alias("n"), F.count("*").alias("docs"), *[F.sum(n * p[i]).alias(f"t{i}") for i in range(k)], *[F.sum(n * p[i] * p[j]).alias(f"g{i}{j}") for i in range(k) for j in range(i, k)]).first()
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = members.agg(F.sum(n).alias("n"), F.count("*").alias("docs"), *[F.sum(n * p[i]).alias(f"t{i}") for i in range(k)], *[F.sum(n * p[i] * p[j]).alias(f"g{i}{j}") for i, j in pairs]).first()
     total = sums["n"] or 0.0
     if not total:
-        return F.lit(float(volume or 1.0))
-    mean = total / sums["docs"]
-    # with v = W^(1/2)(r - base), W = n/mean: the columns become n p / sqrt(n/mean), whose Gram matrix is mean * sum n p p'
-    gram = np.array([[sums[f"g{min(i, j)}{max(i, j)}"] for j in range(k)] for i in range(k)]) * mean
+        return F.lit(float(volume or 1.0)), np.zeros(k), np.zeros(k)
+    gram = np.array([[sums[f"g{min(i, j)}{max(i, j)}"] for j in range(k)] for i in range(k)])
     now = np.array([sums[f"t{i}"] for i in range(k)])
     share = np.array(targets) / sum(targets)
     if volume is None:
         volume = float(min(1.0, now[share.argmax()] / share.max() / total))
     want = np.minimum(share * volume * total, MOST * now)
-    value, vector = np.linalg.eigh(gram)
-    keep = value > 1e-9 * value.max()
-    white = (vector[:, keep] / np.sqrt(value[keep])).T  # S
-    step = 1 / (1 + RIDGE)
-    history: list[np.ndarray] = []
-
-    def rate() -> Column:
-        r = F.lit(volume)
-        if not history:
-            return r
-        rows = F.array(*[F.array(*[F.lit(float(x)) for x in e]) for e in history])
-
-        def fold(r, e):
-            push = sum((F.element_at(e, i + 1) * p[i] for i in range(1, k)), F.element_at(e, F.lit(1)) * p[0])
-            return F.greatest(F.lit(0.0), r - step * (F.lit(mean) * push + F.lit(RIDGE) * (r - F.lit(volume))))
-
-        return F.when(F.col("n_tokens") > 0, F.aggregate(rows, r, fold)).otherwise(r)
-
-    got = now * volume
-    for _ in range(ROUNDS):
-        residual = white.T @ (white @ (got - want))
-        history.append(residual)
-        r = rate()
-        new = members.agg(*[F.coalesce(F.sum(n * p[i] * r), F.lit(0.0)).alias(f"t{i}") for i in range(k)]).first()
-        new = np.array([new[f"t{i}"] for i in range(k)])
-        if np.abs(new - got).max() <= 1e-6 * total:
-            break
-        got = new
-    return rate()
+
+    def free(mu) -> Column:
+        return sum((F.lit(float(mu[i])) * p[i] for i in range(k)), F.lit(volume))
+
+    def clipped(z: Column) -> Column:
+        return F.greatest(F.lit(0.0), z)
+
+    def measure(mus):
+        aggs = []
+        for at, mu in enumerate(mus):
+            z = free(mu)
+            r = clipped(z)
+            aggs += [F.sum(n * (r * z - r * r / 2)).alias(f"d{at}"), *[F.sum(n * p[i] * r).alias(f"t{at}_{i}") for i in range(k)]]
+            aggs += [F.coalesce(F.sum(F.when(r == z, n * p[i] * p[j])), F.lit(0.0)).alias(f"g{at}_{i}{j}") for i, j in pairs]
+        row = members.agg(*aggs).first()
+        return [(row[f"d{at}"], np.array([row[f"t{at}_{i}"] for i in range(k)]), np.array([[row[f"g{at}_{min(i, j)}{max(i, j)}"] for j in range(k)] for i in range(k)])) for at in range(len(mus))]
+
+    # about START_ROWS rows, drawn by their hash, reach the driver
+    some = members.where("n_tokens > 0").where(F.pmod(F.xxhash64("n_tokens", "p"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, START_ROWS / sums["docs"]))).select("n_tokens", "p").collect()
+    start = None
+    if some:
+        own_n, own_p = np.array([r["n_tokens"] for r in some], np.float64), np.array([r["p"] for r in some])
+        own_n *= total / own_n.sum()
+
+        def measure_some(mus):
+            out = []
+            for mu in mus:
+                z = volume + own_p @ mu
+                r = np.maximum(z, 0)
+                whole = own_p[r == z]
+                out.append((float((own_n * (r * z - r * r / 2)).sum()), (own_n * r) @ own_p, (whole * own_n[r == z, None]).T @ whole))
+            return out
+
+        start = settle(measure_some, gram, want)[0]
+    mu, reached = settle(measure, gram, want, start)
+    return F.when(F.col("n_tokens") > 0, clipped(free(mu))).otherwise(F.lit(volume)), want, reached
+
+
+def fit_rates(members: DataFrame, targets: tuple[float, ...] = TARGETS, volume: float | None = None) -> Column:
+    """The rate of :func:`fitted`."""
+    return fitted(members, targets, volume)[0]
 
 
 def document_rates(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS, volume: float | None = None) -> DataFrame:

@@ -129,6 +129,17 @@ def test_mixing_meets_targets(spark):
     assert np.abs(got / n.sum() - 0.5 * np.array(want)).max() < 0.02
 
 
+def test_mixing_meets_small_targets(spark):
+    rng = np.random.default_rng(8)
+    hard = np.eye(3)[rng.choice(3, 3000, p=[0.74, 0.145, 0.115])]
+    for p in (0.98 * hard + 0.02 * rng.dirichlet([1, 1, 1], 3000), hard):
+        n = rng.integers(1, 400, 3000)
+        members = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "n_tokens long, p array<double>")
+        r = np.array([x["r"] for x in members.select(mixing.fit_rates(members, mixing.TARGETS, 0.7).alias("r")).collect()])
+        assert (r >= 0).all()
+        assert (n * r) @ p == pytest.approx(0.7 * n.sum() * np.array(mixing.TARGETS), rel=1e-3)
+
+
 def test_mixing_rates_shift_shares(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     out = mixing.document_rates(docs, labels).join(labels, "doc_id").toPandas()
