@@ -37,7 +37,7 @@ DOMAINS = ("good", "poor", "rude")
 TARGETS = (0.96, 0.035, 0.005)
 #: The classifier's bound: so many labelled documents of each domain, by hash of doc_id.
 SAMPLE = 700
-BUCKETS, TEMPER, MOST = 1 << 16, 48, 2.0
+BUCKETS, TEMPER = 1 << 16, 48
 #: Ridges of the dual on the way to the last, which is then centred anew and leaves nothing of a gap.
 RIDGES, ROUNDS, START_ROWS = (1e-2, 1e-4, 1e-6, 1e-8), 200, 20_000
 WORD = re.compile(r"\w+|[^\w\s]+")
@@ -176,8 +176,8 @@ def fitted(members: DataFrame, targets: tuple[float, ...] = TARGETS, volume: flo
     """(the rate of a row of ``members`` (n_tokens, p) as an expression on its columns, tokens wanted, tokens reached).
 
     ``volume`` is the share of all tokens wanted, and the base rate; by default
-    the most that the domain of the largest share can give when used once.  No
-    domain is asked for more than ``MOST`` times what it has.
+    the most that the domain of the largest share can give when used once.  The
+    rates of scarce domains rise as far as their targets need.
     """
     k = len(targets)
     p = [F.element_at("p", i + 1) for i in range(k)]
@@ -192,7 +192,7 @@ def fitted(members: DataFrame, targets: tuple[float, ...] = TARGETS, volume: flo
     share = np.array(targets) / sum(targets)
     if volume is None:
         volume = float(min(1.0, now[share.argmax()] / share.max() / total))
-    want = np.minimum(share * volume * total, MOST * now)
+    want = np.where(now > 0, share * volume * total, 0.0)
 
     def free(mu) -> Column:
         return sum((F.lit(float(mu[i])) * p[i] for i in range(k)), F.lit(volume))
@@ -237,9 +237,11 @@ def fit_rates(members: DataFrame, targets: tuple[float, ...] = TARGETS, volume:
 
 
 def document_rates(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS, volume: float | None = None) -> DataFrame:
-    """(doc_id, n_tokens, p_<domain>, rate) for every document."""
+    """(doc_id, n_tokens, p_<domain>, rate, wanted_<domain>, reached_<domain>) for every document; the last are expected tokens of all documents."""
     members = cut(posteriors(docs, labels))
-    return members.select("doc_id", "n_tokens", *[F.element_at("p", i + 1).alias(f"p_{d}") for i, d in enumerate(DOMAINS)], fit_rates(members, targets, volume).alias("rate"))
+    rate, want, reached = fitted(members, targets, volume)
+    totals = [F.lit(float(x)).alias(f"{name}_{d}") for name, all_ in (("wanted", want), ("reached", reached)) for x, d in zip(all_, DOMAINS, strict=True)]
+    return members.select("doc_id", "n_tokens", *[F.element_at("p", i + 1).alias(f"p_{d}") for i, d in enumerate(DOMAINS)], rate.alias("rate"), *totals)
 
 
 def thin(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS, volume: float | None = None) -> DataFrame:

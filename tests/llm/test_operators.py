@@ -140,6 +140,26 @@ def test_mixing_meets_small_targets(spark):
         assert (n * r) @ p == pytest.approx(0.7 * n.sum() * np.array(mixing.TARGETS), rel=1e-3)
 
 
+def test_mixing_raises_scarce_domains(spark):
+    rng = np.random.default_rng(9)
+    want = np.array([0.6, 0.3, 0.1])
+    p = np.eye(3)[rng.choice(3, 4000, p=[0.957, 0.039, 0.004])]
+    n = rng.integers(1, 400, 4000)
+    members = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "n_tokens long, p array<double>")
+    rate, wanted, reached = mixing.fitted(members, tuple(want))
+    r = np.array([x["r"] for x in members.select(rate.alias("r")).collect()])
+    assert wanted / wanted.sum() == pytest.approx(want)
+    assert (n * r) @ p == pytest.approx(wanted, rel=1e-3) and reached == pytest.approx(wanted, rel=1e-3)
+
+
+def test_mixing_reports_totals(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    out = mixing.document_rates(docs, labels).toPandas()
+    for d, share in zip(mixing.DOMAINS, mixing.TARGETS, strict=True):
+        assert out[f"wanted_{d}"].iloc[0] == pytest.approx(share / mixing.TARGETS[0] * out.wanted_good.iloc[0])
+        assert (out.n_tokens * out[f"p_{d}"] * out.rate).sum() == pytest.approx(out[f"reached_{d}"].iloc[0], rel=1e-6) == pytest.approx(out[f"wanted_{d}"].iloc[0], rel=1e-3)
+
+
 def test_mixing_rates_shift_shares(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     out = mixing.document_rates(docs, labels).join(labels, "doc_id").toPandas()
