@@ -14,6 +14,8 @@ with one multiplier in mu per domain.  Newton steps on the convex dual find mu;
 a step is one distributed sum of a few numbers, and they start from the
 solution on a bounded sample.  Targets that no rates meet are met as nearly as
 can be (whitened by A's Gram matrix); steps that don't settle are an error.
+Documents kept at most once have rates of at most 1: then the volume is a
+variable too, and as much of it is kept as the shares of the targets allow.
 
 Edge cases: a null text counts as empty and has no tokens, so its rate stays
 at the base rate; documents repeat as often as in the input; a domain without
@@ -40,6 +42,8 @@ SAMPLE = 700
 BUCKETS, TEMPER = 1 << 16, 48
 #: Ridges of the dual on the way to the last, which is then centred anew and leaves nothing of a gap.
 RIDGES, ROUNDS, START_ROWS = (1e-2, 1e-4, 1e-6, 1e-8), 200, 20_000
+#: What a token of volume is worth against the squared distance from the base rate: at most 1/2000 of the wanted volume is given up for nearness.
+WORTH = 1000.0
 WORD = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -118,10 +122,11 @@ def posteriors(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return texts.mapInPandas(run, "doc_id long, n_tokens long, p array<double>")
 
 
-def settle(measure, gram: np.ndarray, want: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(multipliers, totals reached) for the totals ``want``.
+def settle(measure, gram: np.ndarray, want: np.ndarray, start: np.ndarray | None = None, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(multipliers, totals aimed at, totals reached) for the totals ``want``.
 
-    ``measure`` takes a list of multipliers and gives for each the dual's sum,
+    With ``lower``, the totals aimed at are the largest part of ``want`` that
+    can be reached, in its proportions.  ``measure`` takes a list of multipliers and gives for each the dual's sum,
     the totals, and the Gram matrix of the rows whose rate isn't clipped.
     """
     value, vector = np.linalg.eigh(gram)
@@ -135,8 +140,14 @@ def settle(measure, gram: np.ndarray, want: np.ndarray, start: np.ndarray | None
         rounds += 1
         out = []
         for nu, (dual, totals, curve) in zip(nus, measure([white @ nu for nu in nus]), strict=True):
-            off = nu - centre
-            out.append((dual - want @ (white @ nu) + ridge / 2 * off @ off, white.T @ (totals - want) + ridge * off, white.T @ curve @ white + ridge * np.eye(len(nu)), nu, totals))
+            off, part, gain = nu - centre, 1.0, want @ (white @ nu)
+            if lower:
+                push = WORTH - gain / size
+                part = min(1.0, max(0.0, push))
+                gain = -size * (part * push - part * part / 2)
+                if 0 < push < 1:
+                    curve = curve + np.outer(want, want) / size
+            out.append((dual - gain + ridge / 2 * off @ off, white.T @ (totals - part * want) + ridge * off, white.T @ curve @ white + ridge * np.eye(len(nu)), nu, totals, part * want))
         return out
 
     def gap(now):
@@ -166,18 +177,20 @@ def settle(measure, gram: np.ndarray, want: np.ndarray, start: np.ndarray | None
     before = None
     while True:
         now = descend(nu, RIDGES[-1], nu)
-        nu, totals = now[3], now[4]
-        if (np.abs(totals - want) <= 1e-4 * want).all() or (before is not None and np.abs(totals - before).max() <= 1e-6 * size):
-            return white @ nu, totals
+        nu, totals, aim = now[3:]
+        if (np.abs(totals - aim) <= 1e-4 * aim).all() or (before is not None and np.abs(totals - before).max() <= 1e-6 * size):
+            return white @ nu, aim, totals
         before = totals
 
 
-def fitted(members: DataFrame, targets: tuple[float, ...] = TARGETS, volume: float | None = None) -> tuple[Column, np.ndarray, np.ndarray]:
+def fitted(members: DataFrame, targets: tuple[float, ...] = TARGETS, volume: float | None = None, once: bool = False) -> tuple[Column, np.ndarray, np.ndarray]:
     """(the rate of a row of ``members`` (n_tokens, p) as an expression on its columns, tokens wanted, tokens reached).
 
     ``volume`` is the share of all tokens wanted, and the base rate; by default
     the most that the domain of the largest share can give when used once.  The
-    rates of scarce domains rise as far as their targets need.
+    rates of scarce domains rise as far as their targets need.  With ``once``
+    no rate is over 1, and the volume is lowered until all shares hold (those
+    that rates without a bound reach, should the targets be out of reach).
     """
     k = len(targets)
     p = [F.element_at("p", i + 1) for i in range(k)]
@@ -197,8 +210,10 @@ def fitted(members: DataFrame, targets: tuple[float, ...] = TARGETS, volume: flo
     def free(mu) -> Column:
         return sum((F.lit(float(mu[i])) * p[i] for i in range(k)), F.lit(volume))
 
+    top = np.inf
+
     def clipped(z: Column) -> Column:
-        return F.greatest(F.lit(0.0), z)
+        return F.least(F.lit(top), F.greatest(F.lit(0.0), z))
 
     def measure(mus):
         aggs = []
@@ -221,13 +236,17 @@ def fitted(members: DataFrame, targets: tuple[float, ...] = TARGETS, volume: flo
             out = []
             for mu in mus:
                 z = volume + own_p @ mu
-                r = np.maximum(z, 0)
+                r = np.clip(z, 0, top)
                 whole = own_p[r == z]
                 out.append((float((own_n * (r * z - r * r / 2)).sum()), (own_n * r) @ own_p, (whole * own_n[r == z, None]).T @ whole))
             return out
 
         start = settle(measure_some, gram, want)[0]
-    mu, reached = settle(measure, gram, want, start)
+    mu, want, reached = settle(measure, gram, want, start)
+    if once:
+        top = 1.0
+        start = settle(measure_some, gram, reached, lower=True)[0] if some else None
+        mu, want, reached = settle(measure, gram, reached, start, lower=True)
     return F.when(F.col("n_tokens") > 0, clipped(free(mu))).otherwise(F.lit(volume)), want, reached
 
 
@@ -245,14 +264,14 @@ def document_rates(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...
 
 
 def thin(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS, volume: float | None = None) -> DataFrame:
-    """The documents that a draw at their rate keeps; the draw is a hash of doc_id.
+    """The documents that a draw at their rate, at most 1, keeps; the draw is a hash of doc_id.
 
     Rows without a doc_id have no draw and stay.  Rows that repeat a doc_id
     share its draw, and stay or go together by the largest of their rates.
     """
     members = cut(posteriors(docs, labels))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    kept = members.withColumn("rate", fit_rates(members, targets, volume)).where("doc_id is not null").where(draw < F.col("rate"))
+    kept = members.withColumn("rate", fitted(members, targets, volume, once=True)[0]).where("doc_id is not null").where(draw < F.col("rate"))
     ids = cut(kept.select(F.col("doc_id").alias("kept_id")).distinct())
     named = docs.join(small_or_shuffled(ids, ids.count()), F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
     return named.unionByName(docs.where("doc_id is null"))

@@ -160,6 +160,20 @@ def test_mixing_reports_totals(spark):
         assert (out.n_tokens * out[f"p_{d}"] * out.rate).sum() == pytest.approx(out[f"reached_{d}"].iloc[0], rel=1e-6) == pytest.approx(out[f"wanted_{d}"].iloc[0], rel=1e-3)
 
 
+@pytest.mark.parametrize("volume", [None, 0.3])
+def test_mixing_keeps_target_totals(spark, monkeypatch, volume):
+    rng = np.random.default_rng(10)
+    want = np.array([0.6, 0.3, 0.1])
+    p = rng.dirichlet([3, 0.4, 0.2], 20_000)
+    members = spark.createDataFrame([(i, 100, [float(x) for x in b]) for i, b in enumerate(p)], "doc_id long, n_tokens long, p array<double>")
+    docs = members.select("doc_id", F.lit("x").alias("text"))
+    monkeypatch.setattr(mixing, "posteriors", lambda docs, labels: members)
+    kept = [r["doc_id"] for r in mixing.thin(docs, None, tuple(want), volume).collect()]
+    _, wanted, reached = mixing.fitted(members, tuple(want), volume, once=True)
+    assert reached == pytest.approx(wanted, rel=1e-3) and wanted / wanted.sum() == pytest.approx(want, rel=1e-3)
+    assert 100 * p[kept].sum(0) == pytest.approx(wanted, rel=0.05)
+
+
 def test_mixing_rates_shift_shares(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     out = mixing.document_rates(docs, labels).join(labels, "doc_id").toPandas()
@@ -176,6 +190,15 @@ def test_kernel_tolerates_gaps():
     assert "idiot" in toxicity.units("i.d.i.o.t") and "stupid" in toxicity.chunks("you s t u p i d man")
 
 
+def test_long_joined_runs_are_read():
+    run = "you.are.an.i.d.i.o.t.and.the.whole.town.has.known.it.for.years"
+    assert any("idiot" in u for u in toxicity.units(run)) and all(len(u) <= toxicity.LONGEST for u in toxicity.units(run))
+    joined = "".join(run.split("."))
+    for at in range(200):  # wherever the windows are cut
+        assert any("idiot" in u for u in toxicity.units("." .join("ab" * at) + "." + run)), at
+    assert set(joined) <= set("".join(toxicity.units(run)))
+
+
 def test_table_lookup_equals_kernel():
     rng = np.random.default_rng(1)
     table = rng.normal(size=toxicity.SYMBOLS**3 + toxicity.SYMBOLS**2)
