@@ -77,9 +77,7 @@ def units(chunk: str) -> list[str]:
         return [chunk]
     parts = [p for p in _inner.split(chunk) if p]
     if len(parts) > 1:
-        joined = "".join(parts)
-        if len(joined) <= LONGEST:
-            parts.append(joined)
+        parts.append("".join(parts))
     out = []
     for p in parts:
         out += [p] if len(p) <= LONGEST else [p[i : i + LONGEST] for i in range(0, len(p) - LONGEST // 2, LONGEST // 2)]
