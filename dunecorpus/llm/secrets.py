@@ -1,9 +1,10 @@
 """Secret scans: known shapes, and a randomness test battery.
 
 Known shapes (``BASE_KINDS``) are found by pattern.  The battery judges every
-other run of 16 or more letters, digits, ``+ / _ = -`` that mixes digits with
-letters: it infers the encoding (the smallest alphabet that holds the run) and
-tests the run against a uniform draw from it:
+other run of 16 or more letters, digits, ``+ / _ = -`` that isn't all digits,
+and its pieces of that length between ``/ _ = -``: up to ``JOINED`` parts in a
+row, and all parts up to or from a place.  It infers the encoding (the smallest
+alphabet that holds the run) and tests the run against a uniform draw from it:
 
 * chi-squared of the symbol counts,
 * Wald-Wolfowitz runs of symbols below and above the alphabet's middle,
@@ -15,7 +16,7 @@ ordinary writing could look as random: the chi-squared that writing of that
 length would have follows from how unevenly it uses the alphabet (``UNEVEN``),
 so longer runs give smaller p-values.  Benjamini-Hochberg at ``FDR`` over all
 candidate runs of an encoding and length band decides which are reported (kind
-``random``); the p-values are counted in log bins, so its threshold comes from
+``random``; of pieces that overlap, the longest); the p-values are counted in log bins, so its threshold comes from
 a table of fixed size, and rounding up to a bin's edge keeps it conservative.
 
 Edge cases: a null text counts as empty; rows repeat as often as in the input;
@@ -36,6 +37,7 @@ from dunecorpus.llm.common import cut, texts_of
 
 BASE_KINDS = ("assign", "access", "hex")
 REJECT, FDR = 1e-3, 0.01
+SHORTEST, JOINED = 16, 8
 MARK = "[SECRET]"
 
 # The patterns of the known shapes, from the contract.
@@ -43,6 +45,7 @@ _ASSIGN = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_PART = re.compile(r"[A-Za-z0-9+]+")
 
 #: Alphabets from the narrowest to the widest, and how uneven ordinary writing is on each:
 #: K * sum of squared symbol shares - 1 (0 for a uniform draw).
@@ -50,6 +53,9 @@ ENCODINGS = {
     "decimal": ("0123456789", 0.6),
     "hex": ("0123456789abcdef", 0.9),
     "HEX": ("0123456789ABCDEF", 0.9),
+    "lower": ("abcdefghijklmnopqrstuvwxyz", 0.7),
+    "upper": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.7),
+    "letters": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 1.9),
     "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 1.2),
     "base36": ("abcdefghijklmnopqrstuvwxyz0123456789", 1.4),
     "BASE36": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 1.4),
@@ -111,21 +117,41 @@ def band(n: int) -> int:
     return min(12, int(4 * math.log2(n / 16)))
 
 
+def pieces(run: str) -> list[tuple[int, int]]:
+    """The whole run and its pieces to test, the longest first."""
+    out = {(0, len(run))}
+    parts = [m.span() for m in _PART.finditer(run)]
+    for i, (start, _) in enumerate(parts):
+        out.update((start, stop) for _, stop in parts[i : i + JOINED])
+        out.update(((start, parts[-1][1]), (parts[0][0], parts[i][1])))
+    return sorted((s for s in out if s[1] - s[0] >= SHORTEST), key=lambda s: (s[0] - s[1], s[0]))
+
+
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str, int, int]]:
-    """(start, end, encoding, length band, log bin of p) of the runs that pass the battery."""
+    """(start, end, encoding, length band, log bin of p) of the tested runs and pieces; the bin is -1 if the battery rejects it."""
     out = []
     for m in _RUN.finditer(text):
-        run = m[0]
-        if not any(c.isdigit() for c in run) or run.isdigit() or any(s <= m.start() and m.end() <= e for s, e, _ in base):
-            continue
-        name, p_uniform, p_writing = battery(run)
-        if p_uniform >= REJECT:
-            out.append((m.start(), m.end(), name, band(len(run)), min(60, int(-4 * math.log10(max(p_writing, 1e-15))))))
-        else:
-            out.append((m.start(), m.end(), name, band(len(run)), -1))
+        for at, to in pieces(m[0]):
+            run, start, stop = m[0][at:to], m.start() + at, m.start() + to
+            if run.isdigit() or any(s <= start and stop <= e for s, e, _ in base):
+                continue
+            name, p_uniform, p_writing = battery(run)
+            if p_uniform >= REJECT:
+                out.append((start, stop, name, band(len(run)), min(60, int(-4 * math.log10(max(p_writing, 1e-15))))))
+            else:
+                out.append((start, stop, name, band(len(run)), -1))
     return out
 
 
+def longest(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of spans that overlap, the longest, then the first."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans, key=lambda x: (x[0] - x[1], x[0])):
+        if all(e <= a or b <= s for a, b in out):
+            out.append((s, e))
+    return sorted(out)
+
+
 CANDIDATE = "array<struct<start:int,stop:int,encoding:string,band:int,bin:int>>"
 
 
@@ -148,7 +174,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def thresholds(scanned: DataFrame, fdr: float = FDR) -> dict[tuple[str, int], int]:
     """The smallest log bin that Benjamini-Hochberg accepts, by encoding and length band."""
-    counts = scanned.select(F.explode("runs").alias("r")).groupBy("r.encoding", "r.band", "r.bin").count().collect()  # at most 8 * 13 * 62 rows
+    counts = scanned.select(F.explode("runs").alias("r")).groupBy("r.encoding", "r.band", "r.bin").count().collect()  # at most 11 * 13 * 62 rows
     by: dict[tuple[str, int], dict[int, int]] = {}
     for r in counts:
         by.setdefault((r["encoding"], r["band"]), {})[r["bin"]] = r["count"]
@@ -173,7 +199,10 @@ def find_secrets(docs: DataFrame) -> DataFrame:
             test = test | ((r["encoding"] == encoding) & (r["band"] == length) & (r["bin"] >= b))
         return test
 
-    random = F.transform(F.filter("runs", passes), lambda r: F.struct(r["start"].alias("start"), r["stop"].alias("stop"), F.lit("random").alias("kind")))
+    spans = F.array_sort(F.transform(F.filter("runs", passes), lambda r: F.struct((r["start"] - r["stop"]).alias("less"), r["start"].alias("start"), r["stop"].alias("stop"))))
+    apart = F.aggregate(spans, F.filter(spans, lambda _: F.lit(False)), lambda a, s: F.when(F.exists(a, lambda x: (x["start"] < s["stop"]) & (s["start"] < x["stop"])), a).otherwise(F.concat(a, F.array(s))))
+    random = F.transform(apart, lambda r: F.struct(r["start"].alias("start"), r["stop"].alias("stop"), F.lit("random").alias("kind")))
+    random = F.array_sort(random)
     return scanned.select("doc_id", "base", random.alias("found"))
 
 
@@ -208,7 +237,7 @@ def redact(docs: DataFrame) -> DataFrame:
         if not isinstance(text, str):
             return text
         base = known_shapes(text)
-        spans = [(s, e) for s, e, _ in base] + [(s, e) for s, e, n, g, p in candidates(text, base) if p >= limits.get((n, g), 99)]
+        spans = [(s, e) for s, e, _ in base] + longest([(s, e) for s, e, n, g, p in candidates(text, base) if p >= limits.get((n, g), 99)])
         if not spans:
             return text
         out, at = [], 0

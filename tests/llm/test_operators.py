@@ -361,6 +361,27 @@ def test_secrets_base_spans(spark):
     assert clean[3] == ("😂 [SECRET] DEADBEEFDEADBEEF", len(clean[3][0])) and clean[4] == ("x" * 50, 0)
 
 
+def test_glued_and_alphabetic_keys_are_found(spark):
+    rng = np.random.default_rng(6)
+    chars = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
+    texts, held = [], []
+    for i in range(240):
+        before = ("/api/v1/users/session/verify/", "AWS_SECRET_ACCESS_KEY=", "see ")[i % 3]
+        key = "".join(rng.choice(chars[:52] if i % 3 == 2 else chars, 48))
+        texts.append(f"{sentence(i)} {before}{key} {sentence(i + 1000)}")
+        held.append((len(sentence(i)) + 1 + len(before), len(sentence(i)) + 1 + len(before) + len(key)))
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], SCHEMA)
+    got = by_id(secrets.find_secrets(docs), "found")
+    clean = by_id(secrets.redact(docs), "text")
+    share = [[], [], []]
+    for i, (start, stop) in enumerate(held):
+        spans = [(s["start"], s["stop"]) for s in got[i][0]]
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+        share[i % 3].append(sum(max(0, min(e, stop) - max(s, start)) for s, e in spans) >= 0.8 * (stop - start))
+        assert (secrets.MARK in clean[i][0]) == bool(spans)
+    assert all(np.mean(s) > 0.9 for s in share), [np.mean(s) for s in share]
+
+
 def test_battery_tells_random_from_writing():
     rng = np.random.default_rng(0)
     random = ["".join(rng.choice(list("0123456789abcdefghijklmnopqrstuvwxyz"), 40)) for _ in range(50)]
