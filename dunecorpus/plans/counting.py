@@ -237,7 +237,7 @@ def m20_ngram_counts(spark, sf_dir):
 
 @query(f"{_POS}, c2 AS (SELECT conv_id, turn, (i - 1) // 64 AS chunk, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS t FROM p GROUP BY ALL) SELECT conv_id, turn, CAST(chunk AS BIGINT) AS chunk, n, md5(t) AS digest FROM c2")
 def w12_chunks(spark, sf_dir):
-    """Chunks of at most 64 tokens."""
+    """Chunks of at most 64 tokens."""
     t = turns(spark, sf_dir).where(F.size("w") > 0)
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 64)), lambda k: F.struct(k.alias("chunk"), F.slice("w", (k * 64 + 1).cast("int"), 64).alias("x")))
     return t.select("conv_id", "turn", F.inline(cut)).select("conv_id", "turn", F.col("chunk").cast("bigint").alias("chunk"), F.size("x").cast("bigint").alias("n"), F.md5(F.array_join("x", " ")).alias("digest"))

@@ -79,13 +79,13 @@ def _nearest(spark, sf_dir, k):
 
 @query(f"{_NN} SELECT q, id, rank, round(score, 6) AS score FROM r WHERE rank <= 10")
 def j10_nearest(spark, sf_dir):
-    """The stated queries' ten nearest of all vectors."""
+    """The stated queries' ten nearest of all vectors."""
     return _nearest(spark, sf_dir, 10).select("q", "id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(f"{_NN}, k AS (SELECT q, qlabel, label, score - min(score) OVER (PARTITION BY q) + 1e-6 AS w FROM r WHERE rank <= 10), v AS (SELECT q, qlabel, label, sum(w) AS w FROM k GROUP BY ALL) SELECT q, qlabel AS truth, arg_max(label, w) AS predicted FROM v GROUP BY ALL")
 def m11_knn_vote(spark, sf_dir):
-    """Votes of the ten nearest, weighted by their scores."""
+    """Votes of the ten nearest, weighted by their scores."""
     lab = table(spark, sf_dir, "embeddings").select("vec_id", "label")
     k = _nearest(spark, sf_dir, 10).withColumn("w", F.col("score") - F.min("score").over(Window.partitionBy("q")) + 1e-6)
     v = k.join(lab, k["id"] == lab["vec_id"]).groupBy("q", "label").agg(F.sum("w").alias("w")).groupBy("q").agg(F.max_by("label", "w").alias("predicted"))
@@ -117,7 +117,7 @@ def a48_power_law(spark, sf_dir):
 
 @query()
 def m7_kmeans(spark, sf_dir):
-    """Clusters of vectors (k-means||), with sizes and the label most have."""
+    """Clusters of vectors (k-means||), with sizes and the label most have."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
