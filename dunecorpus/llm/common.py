@@ -14,21 +14,41 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a local session that names none gets a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="dunecorpus-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
 
-    The folder is the one named by ``spark.checkpoint.dir``; only a session
-    that names none (unit tests) gets a temporary one.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the cluster's shared checkpoint folder."""
     sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="dunecorpus-"))
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def small_or_shuffled(df: DataFrame, rows: int, limit: int = 2_000_000) -> DataFrame:
-    """Broadcast ``df`` only when its counted rows stay under ``limit``; otherwise the join shuffles."""
-    return F.broadcast(df) if rows <= limit else df
+#: A side of a join is broadcast only up to so many bytes, as counted.
+BROADCAST_BYTES = 32 << 20
+
+
+def small_or_shuffled(df: DataFrame, arrays: dict[str, int] | None = None) -> DataFrame:
+    """``df`` to be broadcast if its counted bytes are at most ``BROADCAST_BYTES``; otherwise as it is, and the join shuffles.
+
+    ``df`` has to be materialised.  ``arrays`` names array columns and the
+    bytes of an element; every other column counts as 16 bytes.
+    """
+    fixed = 16 * (len(df.columns) + 1)
+    row = sum((F.greatest(F.size(c), F.lit(0)) * size for c, size in (arrays or {}).items()), F.lit(fixed))
+    total = df.agg(F.sum(row.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -76,8 +96,8 @@ def block_pairs(members: DataFrame, group: list[str], member: str, n_blocks: str
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """Connected components: ``(v, label)`` with the smallest vertex as label.
 
-    Minimum propagation with pointer jumping, cut after each round; ends when
-    no label changes.
+    Vertices may be of any type that has an order.  Minimum propagation with
+    pointer jumping, cut after each round; ends when no label changes.
     """
     both = edges.select(F.col(a).alias("v"), F.col(b).alias("u")).union(edges.select(F.col(b), F.col(a))).where("v <> u").distinct()
     both = cut(both)
@@ -95,12 +115,57 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def texts_of(docs: DataFrame, *columns, rows: int = 1000) -> DataFrame:
-    """Select for a Python stage, with Arrow batches of at most ``rows`` texts to bound its memory."""
-    conf = docs.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, rows + 1):
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return docs.select(*columns)
+#: A slice of an Arrow batch that a Python stage works on at once: so many bytes of text, and rows.
+SLICE_BYTES, SLICE_ROWS = 2 << 20, 1000
+
+
+def slices(batches, column: str = "text"):
+    """The Arrow batches cut by the bytes of ``column``, so that memory doesn't go by a batch's rows; a longer text is alone."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        at = total = 0
+        for i, size in enumerate(sizes.tolist()):
+            if i > at and (total + size > SLICE_BYTES or i - at >= SLICE_ROWS):
+                yield batch.slice(at, i - at)
+                at, total = i, 0
+            total += size
+        if len(sizes):
+            yield batch.slice(at)
+
+
+def texts(batch, column: str = "text") -> list[str]:
+    """The texts of a batch; a null is empty."""
+    return [t or "" for t in batch.column(column).to_pylist()]
+
+
+def arrow_schema(ddl: str):
+    """The Arrow schema of a Python stage's rows."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+def over_texts(docs: DataFrame, keep: list[str], found: str, read: Callable) -> DataFrame:
+    """The columns ``keep`` as they are, and those of ``found`` (name and type each) that ``read`` finds in the texts.
+
+    ``read`` takes a list of texts and gives a list or array for each column.
+    What is kept stays in Arrow: ids don't pass through floating point.
+    """
+    import pyarrow as pa
+
+    more = arrow_schema(found)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
+
+    def run(batches):
+        for part in slices(batches):
+            own = [part.column(name) for name in keep]
+            new = [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(read(texts(part)), more, strict=True)]
+            yield pa.RecordBatch.from_arrays(own + new, [*keep, *more.names])
+
+    return docs.select(*keep, "text").mapInArrow(run, f"{kept}, {found}" if kept else found)
 
 
 _caches: dict[str, object] = {}

@@ -28,11 +28,10 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dunecorpus.llm.common import cut, small_or_shuffled, texts_of, worker_cache
+from dunecorpus.llm.common import cut, over_texts, small_or_shuffled, worker_cache
 
 DOMAINS = ("good", "poor", "rude")
 #: Target shares of the tokens, by domain.
@@ -101,25 +100,23 @@ def posteriors(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, p): domain posteriors of every document."""
     model = docs.sparkSession.sparkContext.broadcast(fit(*sample(docs, labels)))
 
-    def run(batches):
+    def read(some: list[str]):
         buckets = worker_cache("buckets", Buckets)
-        for pdf in batches:
-            tokens, shares = [], []
-            for text in pdf["text"]:
-                found, n, total = counted(text, buckets)
-                if model.value is None or not total:
-                    p = np.full(len(DOMAINS), 1 / len(DOMAINS))
-                else:
-                    logs, prior = model.value
-                    z = prior + (logs[:, found] @ n) * (TEMPER / (12 + n.sum()))
-                    p = np.exp(z - z.max())
-                    p /= p.sum()
-                tokens.append(total)
-                shares.append(p)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": tokens, "p": shares})
-
-    texts = texts_of(docs, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInPandas(run, "doc_id long, n_tokens long, p array<double>")
+        tokens, shares = [], []
+        for text in some:
+            found, n, total = counted(text, buckets)
+            if model.value is None or not total:
+                p = np.full(len(DOMAINS), 1 / len(DOMAINS))
+            else:
+                logs, prior = model.value
+                z = prior + (logs[:, found] @ n) * (TEMPER / (12 + n.sum()))
+                p = np.exp(z - z.max())
+                p /= p.sum()
+            tokens.append(total)
+            shares.append(p)
+        return tokens, shares
+
+    return over_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], "n_tokens long, p array<double>", read)
 
 
 def settle(measure, gram: np.ndarray, want: np.ndarray, start: np.ndarray | None = None, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -273,5 +270,5 @@ def thin(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGET
     draw = F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     kept = members.withColumn("rate", fitted(members, targets, volume, once=True)[0]).where("doc_id is not null").where(draw < F.col("rate"))
     ids = cut(kept.select(F.col("doc_id").alias("kept_id")).distinct())
-    named = docs.join(small_or_shuffled(ids, ids.count()), F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
+    named = docs.join(small_or_shuffled(ids), F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
     return named.unionByName(docs.where("doc_id is null"))

@@ -2,9 +2,10 @@
 
 Texts are lower-cased and read as ``\\w+`` words; a text's set holds its word
 five-grams (a shorter text is one n-gram).  Texts with the same words in the
-same order are copies and meet once, through one representative, the smallest
-doc_id.  Representatives whose MinHash bands agree meet in a band's bucket and
-are compared on their full n-gram sets.
+same order are copies and meet once, through one representative: the row of
+the smallest doc_id, then of the smallest hash of the text.  Representatives
+whose MinHash bands agree meet in a band's bucket and are compared on their
+full n-gram sets.  Rows and bands are chosen together (:func:`banding`).
 
 Large buckets are split into blocks, and every two blocks meet in a task of
 their own, so no bucket is gathered whole.  A pair that shares several buckets
@@ -12,9 +13,13 @@ is counted in the first of them only.
 
 Edge cases: a null text counts as empty; texts without any word are copies if
 they are equal as strings and have no further links; repeated rows are copies
-of each other, and rows that repeat a doc_id with another text count as one
-document; rows with a null doc_id are dropped, as nothing can name them;
-additional columns are ignored; an empty table gives an empty result.
+of each other; rows that repeat a doc_id with another text are documents of
+their own, and classes whose smallest doc_id is the same have the same
+class_id; rows with a null doc_id are dropped, as nothing can name them;
+additional columns are ignored; an empty table gives an empty result.  Very
+long texts are read whole and alone (``common.slices``), and share a block
+with fewer others (``BLOCK_NGRAMS``).  A pair of exactly the threshold is a
+link; the representative of a class is the smallest, so there are no ties.
 """
 
 from __future__ import annotations
@@ -22,16 +27,18 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dunecorpus.llm.common import Hashes, block_pairs, blocks_of, components, cut, ngram_hashes, small_or_shuffled, texts_of, worker_cache
+from dunecorpus.llm.common import Hashes, arrow_schema, block_pairs, blocks_of, components, cut, ngram_hashes, over_texts, slices, small_or_shuffled, texts, worker_cache
 
 WORD = re.compile(r"\w+")
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.9999
-ROWS_PER_BAND = 4
-BLOCK_DOCS, BLOCK_NGRAMS = 160, 2_000_000
+#: The most hash functions of a signature: what bounds its cost.
+HASHES = 200
+BLOCK_DOCS, BLOCK_NGRAMS = 256, 400_000
+#: Texts whose signature a worker keeps, for copies; and representatives that a task remembers to have read.
+KEPT, REMEMBERED = 20_000, 200_000
 
 
 def band_count(threshold: float, recall: float, rows: int) -> int:
@@ -42,163 +49,208 @@ def band_count(threshold: float, recall: float, rows: int) -> int:
     return bands
 
 
-def ngram_set(text: str, n: int) -> np.ndarray:
-    return np.unique(ngram_hashes(WORD.findall(text.lower()), n, worker_cache("words", Hashes)))
+def banding(threshold: float, recall: float, hashes: int = HASHES) -> tuple[int, int]:
+    """(bands, rows): the steepest banding of that recall with at most ``hashes`` hash functions.
 
-
-def minhash(grams: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    out = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(grams), 1 << 14):
-        part = grams[at : at + (1 << 14)]
-        np.minimum(out, (factors[:, None] * part[None, :]).min(1), out=out)
+    More rows let fewer pairs below the threshold meet, and need more bands.
+    """
+    rows = 1
+    while (rows + 1) * band_count(threshold, recall, rows + 1) <= hashes:
+        rows += 1
+    return band_count(threshold, recall, rows), rows
+
+
+def minhash(grams: np.ndarray, turns: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """The least value of each hash function over the n-grams; chunks stay in the processor's cache."""
+    half = (grams >> np.uint64(32)).astype(np.uint32) ^ grams.astype(np.uint32)
+    out = np.full(len(factors), np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(half), 256):
+        part = half[at : at + 256, None] ^ turns
+        part *= factors
+        np.minimum(out, part.min(0), out=out)
     return out
 
 
-def band_keys(grams: np.ndarray, factors: np.ndarray, rows: int) -> list[int]:
-    sig = minhash(grams, factors).reshape(-1, rows)
+def band_keys(grams: np.ndarray, turns: np.ndarray, factors: np.ndarray, rows: int) -> np.ndarray:
+    sig = minhash(grams, turns, factors).reshape(-1, rows).astype(np.uint64)
     h = np.arange(len(sig), dtype=np.uint64) + np.uint64(1)
     for j in range(rows):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + (sig[:, j] >> np.uint64(20))
+        h = h * np.uint64(0x9E3779B97F4A7C15) + sig[:, j]
         h ^= h >> np.uint64(31)
-    return h.view(np.int64).tolist()
+    return h.view(np.int64)
 
 
-def _factors(bands: int, rows: int) -> np.ndarray:
-    return np.random.default_rng(20).integers(0, 1 << 63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
+def hash_functions(bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(what each hash function turns over, its odd factor)."""
+    rng = np.random.default_rng(20)
+    turns, factors = rng.integers(0, 1 << 32, (2, bands * rows), np.uint32)
+    return turns, factors | np.uint32(1)
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, k1, k2, n_grams, bands): a 128-bit key of the word sequence and the band keys."""
-    factors = _factors(bands, rows)
+    """(doc_id, h, k1, k2, n_grams, bands): a hash of the text, a 128-bit key of the word sequence, and the band keys."""
+    turns, factors = hash_functions(bands, rows)
 
-    def run(batches):
+    def signature(text: str) -> tuple:
         import xxhash
 
-        for pdf in batches:
-            keys1, keys2, sizes, all_bands = [], [], [], []
-            for text in pdf["text"]:
-                words = WORD.findall(text.lower())
-                key = xxhash.xxh3_128_intdigest("\x1f".join(words) if words else "\x1e" + text)
-                grams = np.unique(ngram_hashes(words, n, worker_cache("words", Hashes)))
-                keys1.append((key >> 64) - (1 << 63))
-                keys2.append((key & ((1 << 64) - 1)) - (1 << 63))
-                sizes.append(len(grams))
-                all_bands.append(band_keys(grams, factors, rows) if len(grams) else [])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "k1": keys1, "k2": keys2, "n_grams": sizes, "bands": all_bands})
-
-    texts = texts_of(docs.where("doc_id is not null"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInPandas(run, "doc_id long, k1 long, k2 long, n_grams long, bands array<long>")
-
-
-def _intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections, in column chunks of bounded width."""
-    m = len(sets)
-    out = np.zeros((m, m), np.float32)
-    _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.cumsum(counts > 1) - 1
-    shared = counts > 1
-    owner = np.repeat(np.arange(m), [len(s) for s in sets])
-    keep = shared[inverse]
-    owner, col = owner[keep], rank[inverse[keep]]
-    order = np.argsort(col, kind="stable")
-    owner, col = owner[order], col[order]
-    width = 8192
-    for at in range(0, int(col[-1]) + 1 if len(col) else 0, width):
-        a, b = np.searchsorted(col, [at, at + width])
+        words = WORD.findall(text.lower())
+        key = xxhash.xxh3_128_intdigest("\x1f".join(words) if words else "\x1e" + text)
+        grams = np.unique(ngram_hashes(words, n, worker_cache("words", Hashes)))
+        return (key >> 64) - (1 << 63), (key & ((1 << 64) - 1)) - (1 << 63), len(grams), band_keys(grams, turns, factors, rows) if len(grams) else np.empty(0, np.int64)
+
+    known: dict[bytes, tuple] = {}
+
+    def read(some: list[str]):
+        import pyarrow as pa
+        import xxhash
+
+        out = []
+        for text in some:
+            own = xxhash.xxh3_128_digest(text)
+            if own not in known:
+                if len(known) >= KEPT:
+                    known.clear()
+                known[own] = signature(text)
+            out.append(known[own])
+        k1, k2, sizes, keys = zip(*out, strict=True)
+        ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+        return k1, k2, sizes, pa.ListArray.from_arrays(ends, np.concatenate(keys))
+
+    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return over_texts(named.withColumn("h", F.xxhash64("text")), ["doc_id", "h"], "k1 long, k2 long, n_grams long, bands array<long>", read)
+
+
+def shared(owner: np.ndarray, value: np.ndarray, m: int) -> np.ndarray:
+    """How many values every two of ``m`` owners share; an owner has a value once.  Works on chunks of bounded width."""
+    order = np.argsort(value)
+    value, owner = value[order], owner[order]
+    del order
+    first = np.ones(len(value), bool)
+    first[1:] = value[1:] != value[:-1]
+    column = np.cumsum(first) - 1
+    often = np.bincount(column) > 1
+    keep = often[column]
+    owner, column = owner[keep], (np.cumsum(often) - 1)[column[keep]]
+    out, width = np.zeros((m, m)), 4096
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [at, at + width])
         x = np.zeros((m, width), np.float32)
-        x[owner[a:b], col[a:b] - at] = 1
+        x[owner[a:b], column[a:b] - at] = 1
         out += x @ x.T
     return out
 
 
-def _first_shared(a: np.ndarray, b: np.ndarray) -> int:
-    return int(np.intersect1d(a, b)[0])
+def classes_of(linked: np.ndarray) -> np.ndarray:
+    """The smallest member of each one's connected class, by a symmetric matrix of links."""
+    label = np.arange(len(linked))
+    while True:
+        new = np.minimum(label, np.where(linked, label[None, :], len(linked)).min(1))
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
 
+FOUND = "rep long, h long, root long, root_h long, links long"
 
-def verify_block(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
+
+def verify_block(table, threshold: float, schema):
     """Count the links within one pair of blocks and name each member's local root."""
-    key, lo, hi = int(pdf["bucket"].iloc[0]), int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
-    pdf = pdf.sort_values("rep", kind="stable")
-    reps, side, copies = pdf["rep"].to_numpy(), pdf["side"].to_numpy(), pdf["copies"].to_numpy()
-    sets = [np.frombuffer(x, np.uint64) for x in pdf["grams"]]
-    mine = [np.sort(np.asarray(x, np.int64)) for x in pdf["buckets"]]
-    size = np.array([len(s) for s in sets], np.float64)
-    m = len(sets)
-    root = np.arange(m)
-    links = np.zeros(m, np.int64)
-    if m > 1:
-        both = _intersections(sets)
-        i, j = np.nonzero(np.triu(both >= threshold * (size[:, None] + size[None, :] - both) - 1e-6, 1))
-        if lo != hi:
-            apart = side[i] != side[j]
-            i, j = i[apart], j[apart]
-
-        def top(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for x, y in zip(i.tolist(), j.tolist(), strict=True):
-            if _first_shared(mine[x], mine[y]) == key:
-                links[x] += copies[y]
-                links[y] += copies[x]
-                p, q = top(x), top(y)
-                root[max(p, q)] = min(p, q)
-        root = np.array([top(x) for x in range(m)])
+    import pyarrow as pa
+
+    key, lo, hi = (table.column(c)[0].as_py() for c in ("bucket", "lo", "hi"))
+    rep, h, side, copies = (table.column(c).to_numpy() for c in ("rep", "h", "side", "copies"))
+    order = np.lexsort((h, rep))
+    again = np.r_[False, (rep[order][1:] == rep[order][:-1]) & (h[order][1:] == h[order][:-1])]
+    order = order[~again]  # a row that stands in the table more than once
+    rep, h, side, copies = rep[order], h[order], side[order], copies[order]
+    m = len(order)
+
+    def flat(column: str, read) -> tuple[np.ndarray, np.ndarray]:
+        parts = [read(table.column(column)[i]) for i in order.tolist()]
+        return np.repeat(np.arange(m, dtype=np.int32), [len(x) for x in parts]), np.concatenate(parts)
+
+    owner, grams = flat("grams", lambda x: np.frombuffer(x.as_buffer(), np.uint64))
+    size = np.bincount(owner, minlength=m).astype(np.float64)
+    both = shared(owner, grams, m)
+    del owner, grams
+    near = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-6
+    np.fill_diagonal(near, False)
+    if lo != hi:
+        near &= side[:, None] != side[None, :]
+    if near.any():  # a pair that an earlier bucket holds is counted there
+        owner, bucket = flat("buckets", lambda x: np.asarray(x.as_py(), np.int64))
+        early = bucket < key
+        near &= shared(owner[early], bucket[early], m) == 0
+    root, links = classes_of(near), near @ copies
     keep = links > 0
-    return pd.DataFrame({"rep": reps[keep], "root": reps[root][keep], "links": links[keep]})
+    return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in (rep[keep], h[keep], rep[root][keep], h[root][keep], links[keep])], schema=schema)
 
 
-def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS_PER_BAND) -> DataFrame:
+def classes(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """(the rows' signatures, the distinct word sequences): the latter have k1, k2, the representative, the class's, copies and n_links."""
+    bands, rows = banding(threshold, recall)
+    sig = cut(signatures(docs, n, bands, rows))
+    reps = sig.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "h", "n_grams", "bands")).alias("r"), F.count("*").alias("copies"))
+    reps = cut(reps.select("k1", "k2", F.col("r.doc_id").alias("rep"), F.col("r.h").alias("h"), "copies", F.col("r.n_grams").alias("n_grams"), F.col("r.bands").alias("bands")))
+    met = reps.select(F.explode("bands").alias("bucket")).groupBy("bucket").count().where("count > 1").select("bucket")
+    posted = cut(reps.select("rep", "h", "n_grams", F.explode("bands").alias("bucket")).join(met, "bucket"))
+    same = [F.bit_xor(F.xxhash64("rep", "h", F.lit(seed))).alias(f"f{seed}") for seed in (1, 2)]
+    buckets = posted.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_grams").alias("total"), *same)
+    # buckets with just the same members would only repeat each other's pairs
+    buckets = buckets.groupBy("n", "f1", "f2").agg(F.min("bucket").alias("bucket"), F.max("total").alias("total"))
+    split = F.greatest(blocks_of(F.col("n"), BLOCK_DOCS), blocks_of(F.col("total"), BLOCK_NGRAMS)).alias("n_blocks")
+    members = posted.join(buckets.select("bucket", split), "bucket").groupBy("rep", "h").agg(F.collect_list(F.struct("bucket", "n_blocks")).alias("posts"))
+    members = cut(members.join(reps.select("rep", "h", "copies"), ["rep", "h"]))
+    passed, schema = arrow_schema("rep long, h long, copies long, posts array<struct<bucket:long,n_blocks:int>>, grams binary"), arrow_schema(FOUND)
+
+    def sets(batches):
+        import pyarrow as pa
+
+        seen: set[tuple] = set()
+        for part in slices(batches):
+            ids = list(zip(part.column("rep").to_pylist(), part.column("h").to_pylist(), strict=True))
+            new = [i for i, x in enumerate(ids) if x not in seen and not (len(seen) < REMEMBERED and seen.add(x))]
+            part = part.take(pa.array(new, pa.int64()))
+            grams = [np.unique(ngram_hashes(WORD.findall(t.lower()), n, worker_cache("words", Hashes))).tobytes() for t in texts(part)]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in passed.names[:-1]], pa.array(grams, pa.binary())], schema=passed)
+
+    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    chosen = named.join(small_or_shuffled(members, {"posts": 32}), ["rep", "h"]).select("rep", "h", "copies", "posts", "text")
+    placed = chosen.mapInArrow(sets, "rep long, h long, copies long, posts array<struct<bucket:long,n_blocks:int>>, grams binary")
+    placed = placed.select("rep", "h", "copies", F.col("posts.bucket").alias("buckets"), "grams", F.explode("posts").alias("p")).select("rep", "h", "copies", "buckets", "grams", "p.bucket", "p.n_blocks")
+    placed = block_pairs(placed, ["bucket", "h"], "rep", "n_blocks")
+    found = cut(placed.groupBy("bucket", "lo", "hi").applyInArrow(lambda table: verify_block(table, threshold, schema), FOUND))
+    own, root = F.struct("rep", "h"), F.struct(F.col("root").alias("rep"), F.col("root_h").alias("h"))
+    degree = found.groupBy("rep", "h").agg(F.sum("links").alias("links"))
+    labels = components(found.select(own.alias("a"), root.alias("b")).where("a <> b"))
+    linked = degree.join(labels.select("v.rep", "v.h", "label"), ["rep", "h"], "left")
+    known = reps.select("k1", "k2", "rep", "h", "copies").join(linked, ["rep", "h"], "left")
+    return sig, cut(known.select("k1", "k2", "rep", "h", "copies", F.coalesce("label", own).alias("label"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+
+
+def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row per document: (doc_id, class_id, n_links, copies).
 
     ``class_id`` is the smallest doc_id of the connected class; ``n_links``
     counts the other documents of similarity ``threshold`` or more, copies
     included; ``copies`` counts the rows with the same words.
     """
-    bands = band_count(threshold, recall, rows)
-    sig = cut(signatures(docs, n, bands, rows))
-    reps = cut(sig.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")))
-    posted = reps.select("rep", "n_grams", F.explode("bands").alias("bucket"))
-    buckets = posted.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_grams").alias("total"), F.bit_xor(F.xxhash64("rep")).alias("f1"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("f2")).where("n > 1")
-    # buckets with just the same members would only repeat each other's pairs
-    buckets = cut(buckets.groupBy("n", "f1", "f2").agg(F.min("bucket").alias("bucket"), F.max("total").alias("total")))
-    split = F.greatest(blocks_of(F.col("n"), BLOCK_DOCS), blocks_of(F.col("total"), BLOCK_NGRAMS)).alias("n_blocks")
-    members = posted.join(buckets.select("bucket", split), "bucket").groupBy("rep").agg(F.collect_list(F.struct("bucket", "n_blocks")).alias("posts"))
-    members = cut(members.join(reps.select("rep", "copies"), "rep"))
-
-    def grams_of(batches):
-        for pdf in batches:
-            sets = [ngram_set(t, n).tobytes() for t in pdf["text"]]
-            yield pdf.drop(columns="text").assign(grams=sets)
-
-    texts = texts_of(docs.where("doc_id is not null"), F.col("doc_id").cast("long").alias("rep"), F.coalesce("text", F.lit("")).alias("text"))
-    chosen = texts.join(small_or_shuffled(members.select("rep", "copies", "posts"), members.count()), "rep")
-    # doc_id may repeat: the verified sets are those of the texts that the signatures came from
-    chosen = chosen.select("rep", "copies", F.col("posts.bucket").alias("buckets"), F.col("posts"), "text")
-    with_sets = chosen.select("rep", "copies", "buckets", "posts", "text").mapInPandas(grams_of, "rep long, copies long, buckets array<long>, posts array<struct<bucket:long,n_blocks:int>>, grams binary")
-    placed = with_sets.select("rep", "copies", "buckets", "grams", F.explode("posts").alias("p")).select("rep", "copies", "buckets", "grams", "p.bucket", "p.n_blocks")
-    placed = block_pairs(placed, ["bucket"], "rep", "n_blocks")
-    found = cut(placed.groupBy("bucket", "lo", "hi").applyInPandas(lambda pdf: verify_block(pdf, threshold), "rep long, root long, links long"))
-    degree = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    labels = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    linked = cut(degree.join(labels, degree.rep == labels.v, "left").select("rep", "links", F.coalesce("label", "rep").alias("label")))
-    known = reps.select("k1", "k2", "rep", "copies").join(linked, "rep", "left")
-    known = cut(known.select("k1", "k2", "copies", F.coalesce("label", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
-    return sig.select("doc_id", "k1", "k2").join(known, ["k1", "k2"]).select("doc_id", "class_id", "n_links", "copies")
+    sig, known = classes(docs, n, threshold, recall)
+    return sig.select("doc_id", "k1", "k2").join(known, ["k1", "k2"]).select("doc_id", F.col("label.rep").alias("class_id"), "n_links", "copies")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents without all but the first of each class of near duplicates.
+    """The documents without all but one of each class of near duplicates: the one of the smallest doc_id.
 
+    Of rows that repeat both doc_id and text, the smallest by all columns stays.
     Rows without a doc_id can't be named and all stay.
     """
-    classes = near_duplicates(docs, **options).select("doc_id", "class_id")
-    kept = cut(classes.where("doc_id = class_id").groupBy("doc_id").count())
-    ids = kept.select(F.col("doc_id").alias("kept_id"))
-    named = docs.where("doc_id is not null")
-    out = named.join(small_or_shuffled(ids, kept.count()), F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
-    if kept.where("count > 1").limit(1).count():  # only then is a shuffle of the texts needed
-        out = out.dropDuplicates(["doc_id"])
+    sig, known = classes(docs, **options)
+    kept = cut(known.where(F.col("label") == F.struct("rep", "h")).select(F.col("rep").alias("kept_id"), F.col("h").alias("kept_h")))
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    out = docs.where("doc_id is not null").join(small_or_shuffled(kept), (F.col("doc_id").cast("long") == F.col("kept_id")) & (text == F.col("kept_h")), "left_semi")
+    if sig.groupBy("doc_id", "h").count().where("count > 1").limit(1).count():  # only then is a shuffle of the texts needed
+        out = out.groupBy(F.col("doc_id").alias("kept_id"), text.alias("kept_h")).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
     return out.unionByName(docs.where("doc_id is null"))

@@ -27,12 +27,11 @@ import zlib
 from collections import Counter, defaultdict, deque
 
 import numpy as np
-import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dunecorpus.llm.common import texts_of, worker_cache
+from dunecorpus.llm.common import arrow_schema, slices, texts, worker_cache
 
 WINDOW, END_ID, POOL = 4096, 2, 1024
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -171,25 +170,29 @@ class Packer:
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, pool: int = POOL) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence."""
 
+    schema = arrow_schema(SCHEMA)
+
     def run(batches):
+        import pyarrow as pa
+
         tokens, packer = worker_cache(tokenizer, lambda: Tokens(tokenizer)), Packer(window, pool, TaskContext.get().partitionId() << 36)
         end = np.array([END_ID], "<u4").tobytes()
 
         def rows():
-            out = pd.DataFrame(packer.pieces, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
+            out = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*packer.pieces, strict=True)], schema=schema)
             packer.pieces = []
             return out
 
-        for pdf in batches:
-            for at in range(0, len(pdf), 128):
-                part = pdf.iloc[at : at + 128]
-                for doc_id, ids in zip(part["doc_id"], tokens.encode(list(part["text"])), strict=True):
-                    packer.add(None if pd.isna(doc_id) else int(doc_id), ids + end)
+        for part in slices(batches):
+            ids = part.column("doc_id").to_pylist()
+            words = texts(part)
+            for at in range(0, len(ids), 128):
+                for doc_id, found in zip(ids[at : at + 128], tokens.encode(words[at : at + 128]), strict=True):
+                    packer.add(doc_id, found + end)
                 if len(packer.pieces) >= 20_000:
                     yield rows()
         packer.flush()
         if packer.pieces:
             yield rows()
 
-    return texts_of(docs, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)

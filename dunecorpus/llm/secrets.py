@@ -29,11 +29,10 @@ import math
 import re
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dunecorpus.llm.common import cut, texts_of
+from dunecorpus.llm.common import cut, over_texts, slices
 
 BASE_KINDS = ("assign", "access", "hex")
 REJECT, FDR = 1e-3, 0.01
@@ -158,18 +157,15 @@ CANDIDATE = "array<struct<start:int,stop:int,encoding:string,band:int,bin:int>>"
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, base, runs): spans of known shapes and tested runs, one row per document."""
 
-    def run(batches):
-        for pdf in batches:
-            base = [known_shapes(t) for t in pdf["text"]]
-            runs = [candidates(t, b) for t, b in zip(pdf["text"], base, strict=True)]
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"],
-                "base": [[{"start": s, "stop": e, "kind": k} for s, e, k in b] for b in base],
-                "runs": [[{"start": s, "stop": e, "encoding": n, "band": g, "bin": p} for s, e, n, g, p in r] for r in runs],
-            })
+    def read(some: list[str]):
+        base = [known_shapes(t) for t in some]
+        runs = [candidates(t, b) for t, b in zip(some, base, strict=True)]
+        return (
+            [[{"start": s, "stop": e, "kind": k} for s, e, k in b] for b in base],
+            [[{"start": s, "stop": e, "encoding": n, "band": g, "bin": p} for s, e, n, g, p in r] for r in runs],
+        )
 
-    texts = texts_of(docs, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInPandas(run, f"doc_id long, base array<struct<start:int,stop:int,kind:string>>, runs {CANDIDATE}")
+    return over_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], f"base array<struct<start:int,stop:int,kind:string>>, runs {CANDIDATE}", read)
 
 
 def thresholds(scanned: DataFrame, fdr: float = FDR) -> dict[tuple[str, int], int]:
@@ -226,7 +222,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The documents with every secret replaced by ``MARK`` and ``n_chars`` counted anew.
+    """The documents with every secret replaced by ``MARK`` and ``n_chars``, where there is such a column, counted anew.
 
     The first pass gathers the battery's p-values for the false-discovery
     threshold; the second rewrites the texts with it, so no text is shuffled.
@@ -248,10 +244,15 @@ def redact(docs: DataFrame) -> DataFrame:
         return "".join(out) + text[at:]
 
     def run(batches):
-        for pdf in batches:
-            texts = [clean(t) for t in pdf["text"]]
-            pdf["n_chars"] = [len(new) if isinstance(new, str) and new != old else n for new, old, n in zip(texts, pdf["text"], pdf["n_chars"], strict=True)]
-            pdf["text"] = texts
-            yield pdf
-
-    return texts_of(docs, "*").mapInPandas(run, docs.schema)
+        import pyarrow as pa
+
+        for part in slices(batches):
+            new = [clean(t) for t in part.column("text").to_pylist()]
+            columns = dict(zip(part.schema.names, part.columns, strict=True))
+            if "n_chars" in columns:
+                own = columns["n_chars"]
+                columns["n_chars"] = pa.array([n if t == old else len(t) for t, old, n in zip(new, part.column("text").to_pylist(), own.to_pylist(), strict=True)], own.type)
+            columns["text"] = pa.array(new, columns["text"].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), schema=part.schema)
+
+    return docs.mapInArrow(run, docs.schema)

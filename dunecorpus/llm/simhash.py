@@ -25,10 +25,10 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dunecorpus.llm.common import Hashes, block_pairs, blocks_of, cut, ngram_hashes, texts_of, worker_cache
+from dunecorpus.llm.common import Hashes, arrow_schema, block_pairs, blocks_of, cut, ngram_hashes, slices, worker_cache
 
 WORD = re.compile(r"\w+")
 BITS, RADIUS, BLOCKS = 64, 3, 6
@@ -64,7 +64,7 @@ def _with_neighbours(docs: DataFrame) -> DataFrame:
 
     The only shuffle of the texts; one more row for each range.
     """
-    docs = texts_of(docs, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ids = docs.select("doc_id").where("doc_id is not null")
     stats = ids.agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
     if stats["n"] < 2:
@@ -102,6 +102,9 @@ def _rank(x, bounds: list[int]):
     return tree(0, len(bounds))
 
 
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, bits long"
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """For every document: its fingerprint, its edited text's digest and fingerprint, and the next document's fingerprint.
 
@@ -109,11 +112,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     SHA-256; rows without doc_id come last; after the last comes the first.
     """
     placed = _with_neighbours(docs)
+    arrow = arrow_schema(SCHEMA)
 
     def run(batches):
+        import pyarrow as pa
+
         def rows():
-            for pdf in batches:
-                yield from zip(pdf["part"], pdf["doc_id"], pdf["text"], pdf["ghost"], strict=True)
+            for some in slices(batches):
+                yield from zip(*[some.column(c).to_pylist() for c in ("part", "doc_id", "text", "ghost")], strict=True)
+
+        def frame(found: list[tuple]):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), arrow.types, strict=True)], schema=arrow)
 
         out: list[tuple] = []
         before = None  # the row above: (part, doc_id, text, fingerprint)
@@ -125,25 +134,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             return (doc_id, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), f"{own:016x}", f"{other:016x}", likeness(own, other), likeness(own, next_print), own - (1 << 64) if own >> 63 else own)
 
         for part, doc_id, text, ghost in rows():
-            now = (part, None if pd.isna(doc_id) else int(doc_id), text, fingerprint(text))
+            now = (part, doc_id, text, fingerprint(text))
             if before is not None and before[0] == part:
                 out.append(done(before, text, now[3]))
             before = None if ghost else now
             if len(out) >= 2000:
-                yield _frame(out)
+                yield frame(out)
                 out = []
         if out:
-            yield _frame(out)
+            yield frame(out)
 
     order = [F.col("part"), F.col("ghost"), F.col("doc_id").desc_nulls_last(), F.sha2("text", 256).desc()]
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, bits long"
-    return placed.repartition("part").sortWithinPartitions(*order).select("part", "doc_id", "text", "ghost").mapInPandas(run, schema)
-
-
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "bits"])
-    out["doc_id"] = out["doc_id"].astype("Int64")
-    return out
+    return placed.repartition("part").sortWithinPartitions(*order).select("part", "doc_id", "text", "ghost").mapInArrow(run, SCHEMA)
 
 
 def masks(blocks: int = BLOCKS, radius: int = RADIUS) -> list[int]:

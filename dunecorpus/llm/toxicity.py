@@ -31,11 +31,10 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dunecorpus.llm.common import cut, texts_of
+from dunecorpus.llm.common import cut, over_texts, slices, texts
 
 DECAY, SPAN, LONGEST = 0.7, 7, 40
 #: The sample's bound: so many labelled documents of either kind, by hash of doc_id.
@@ -301,13 +300,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
 def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
     """(doc_id, score) for every row."""
     shipped = docs.sparkSession.sparkContext.broadcast(machine)
-
-    def run(batches):
-        cache: dict[str, float] = {}
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": score_texts(list(pdf["text"]), shipped.value, cache)})
-
-    return texts_of(docs, "doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    cache: dict[str, float] = {}
+    return over_texts(docs, ["doc_id"], "score double", lambda some: [score_texts(some, shipped.value, cache)])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -321,9 +315,10 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     machine = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     def run(batches):
+        import pyarrow as pa
+
         cache: dict[str, float] = {}
-        for pdf in batches:
-            p = np.array(score_texts([t if isinstance(t, str) else "" for t in pdf["text"]], machine.value, cache))
-            yield pdf[p < 0.5]
+        for part in slices(batches):
+            yield part.filter(pa.array([p < 0.5 for p in score_texts(texts(part), machine.value, cache)], pa.bool_()))
 
-    return texts_of(docs, "*").mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
