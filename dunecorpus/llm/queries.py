@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dunecorpus.llm import ann, licenses, mixing, ngram_join, packing, pii, secrets, simhash, toxicity, url_reputation
+from dunecorpus.llm import ann, base_sql, licenses, mixing, ngram_join, packing, pii, secrets, simhash, toxicity, url_reputation
 from dunecorpus.llm.common import read_table
 
 #: Name of the tokenizer file that op9 packs for.
@@ -62,10 +62,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def _own() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in (op1_pii, op2_mixing, op3_toxicity, op4_neighbours, op5_url_filter, op6_licenses, op7_ngram_join, op8_secrets, op9_packing, op10_simhash)}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_pii, op2_mixing, op3_toxicity, op4_neighbours, op5_url_filter, op6_licenses, op7_ngram_join, op8_secrets, op9_packing, op10_simhash]
-    return {f.__name__: f for f in own}
+    own = _own()
+    return own | {name: f for name, (f, _) in base_sql.base_queries(own).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_ngram_join": base_sql.NEAR_SQL} | {name: sql for name, (_, sql) in base_sql.base_queries(_own()).items()}

@@ -63,6 +63,32 @@ def test_odd_tables(spark):
         assert out.where("doc_id is null").count() == 1
 
 
+BIG = (2**60 + 1, 2**60 + 3)
+
+
+def test_ids_stay_whole(spark):
+    texts = [sentence(1), None, sentence(2), sentence(3), "password: abcdefghijklmnopq " + sentence(4)]
+    docs = spark.createDataFrame(list(zip([BIG[0], None, BIG[1], 5, 6], texts, ["a"] * 5, ["b"] * 5, [BIG[1], None, 1, 2, 3], strict=True)), SCHEMA).coalesce(1)
+    labels = spark.createDataFrame([(BIG[0], 1, 0), (BIG[1], 0, 0), (5, 1, 1)], LABELS)
+    ids = sorted([*BIG, 5, 6])
+    tables = [
+        pii.digest(pii.find_personal_data(docs)), mixing.document_rates(docs, labels), toxicity.toxicity(docs, labels), licenses.scan(docs), ngram_join.near_duplicates(docs),
+        secrets.digest(secrets.find_secrets(docs)), packing.pack(docs, queries.tokenizer_path()), simhash.near_fingerprints(docs),
+    ]
+    for i, out in enumerate(tables):
+        assert sorted({r["doc_id"] for r in out.select("doc_id").collect()} - {None}) == ids, i
+    for out in (toxicity.drop_toxic(docs, labels), ngram_join.keep_one(docs), secrets.redact(docs)):
+        assert sorted({r["doc_id"] for r in out.collect()} - {None}) == ids
+        assert {r["n_chars"] for r in out.collect() if r["doc_id"] == BIG[0]} == {BIG[1]}
+    kept = mixing.thin(docs, labels).collect()
+    assert {r["doc_id"] for r in kept} <= {*ids, None} and len(kept) > 1
+    pages = spark.createDataFrame([(BIG[0], "http://a.b/c"), (None, None), (BIG[1], "http://a.b/d")], "page_id long, url string")
+    assert {r["page_id"] for r in url_reputation.judge(pages, spark.createDataFrame([(BIG[0], 1)], "page_id long, bad int")).collect()} == {*BIG, None}
+    vectors = spark.createDataFrame([(2**60, [1.0, 2.0]), (None, [1.0, 1.0]), (BIG[0], [1.0, 2.1]), (BIG[1], [1.0, 3.0])], "vec_id long, embedding array<double>")
+    out = ann.search(vectors, every=2**60).collect()
+    assert [(r["query_id"], r["vec_id"]) for r in sorted(out, key=lambda r: r["rank"])] == [(2**60, BIG[0]), (2**60, BIG[1])]
+
+
 def test_empty_tables(spark):
     docs, labels = empty(spark), no_labels(spark)
     assert pii.digest(pii.find_personal_data(docs)).count() == 0
@@ -224,23 +250,58 @@ def test_toxicity_held_out(spark):
 # nearest neighbours
 
 
-def test_neighbours_against_brute_force(spark):
-    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    rows = table.toPandas()
-    ids, x = rows.vec_id.to_numpy(), np.stack(rows.embedding).astype(np.float64)
-    norm = np.linalg.norm(x, axis=1)
+def test_neighbours_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ann, "FILE_BLOCK", 3000)  # so that vectors are spread over several blocks
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 50)
+    rng = np.random.default_rng(7)
+    given = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    ids, x = given.vec_id.to_numpy(), np.stack(given.embedding).astype(np.float32)
+    ids, x = np.r_[ids, ids.max() + 1 + np.arange(9000)], np.r_[x, rng.normal(size=(9000, x.shape[1])).astype(np.float32)]
+    table = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")
     got = ann.search(table).toPandas()
-    hits, total = 0, 0
+    x = x.astype(np.float64)
+    norm = np.linalg.norm(x, axis=1)
+    hits, total, place = 0, 0, {v: i for i, v in enumerate(ids)}
     for q in np.flatnonzero(ids % 50 == 0):
         like = (x @ x[q]) / (norm * norm[q])
         like[q] = -9
         own = got[got.query_id == ids[q]].sort_values("rank")
         assert list(own["rank"]) == [1, 2, 3, 4, 5]
-        place = {v: i for i, v in enumerate(ids)}
         assert np.allclose(own.score, [like[place[v]] for v in own.vec_id], atol=1e-12)
         hits += len(set(own.vec_id) & set(ids[np.argsort(-like, kind="stable")[:5]]))
         total += 5
-    assert hits / total >= 0.9
+    assert ann.DEPTH <= 0.05 and hits / total >= 0.9, hits / total
+
+
+def test_neighbours_of_equal_cosine(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=8)
+    rows = [(i, (v * (1 + 0.37 * i)).tolist()) for i in range(80)] + [(100 + i, rng.normal(size=8).tolist()) for i in range(300)] + [(1000, [1e200] * 8), (1001, [-0.0] * 7 + [1e-300]), (1050, [0.0] * 7 + [1e-300])]
+    out = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas().sort_values(["query_id", "rank"])
+    assert list(out[out.query_id == 0].vec_id) == [1, 2, 3, 4, 5] and list(out[out.query_id == 50].vec_id) == [0, 1, 2, 3, 4]
+    assert np.allclose(out[out.query_id == 0].score, 1) and out.score.notna().all()
+    assert list(out[out.query_id == 1050].vec_id)[0] == 1001
+
+
+def test_neighbours_of_repeated_ids_and_more_columns(spark):
+    rows = [(0, [1.0, 0.0], "a"), (0, [1.0, 0.0], "b"), (0, [0.0, 1.0], "c"), (1, [1.0, 0.1], "d"), (1, [1.0, 0.2], "e"), (2, [0.1, 1.0], "f")]
+    out = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rep string").withColumn("score", F.lit(1)).withColumn("h", F.lit(2))).collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in sorted(out, key=lambda r: r["rank"])] == [(0, 1, 1), (0, 2, 2)]
+
+
+def test_files_rank_by_footrule():
+    rng = np.random.default_rng(1)
+    pivots, prefix = 20, 6
+    perm = np.stack([rng.permutation(pivots)[:prefix] for _ in range(200)]).astype(np.int16)
+    query = rng.permutation(pivots)[:prefix]
+
+    def footrule(a, b):
+        places = [{p: i for i, p in enumerate(x)} for x in (a.tolist(), b.tolist())]
+        return sum(abs(places[0].get(p, prefix) - places[1].get(p, prefix)) for p in range(pivots))
+
+    want = [footrule(query, p) for p in perm]
+    got = prefix * (prefix + 1) - 2 * ann.Files(perm, pivots).shared(query)
+    assert got.tolist() == want
 
 
 def test_neighbours_ties_and_odd_vectors(spark):
@@ -332,6 +393,32 @@ def test_near_duplicates_against_brute_force(spark):
     assert kept == set(root)
 
 
+def test_banding_is_the_steepest_within_its_cost():
+    bands, rows = ngram_join.banding(0.8, 0.9999)
+    assert bands * rows <= ngram_join.HASHES and 1 - (1 - 0.8**rows) ** bands >= 0.9999
+    assert ngram_join.band_count(0.8, 0.9999, rows + 1) * (rows + 1) > ngram_join.HASHES
+
+
+def test_ids_that_repeat_with_other_texts(spark):
+    near = sentence(1, 50)
+    rows = [(1, near), (1, sentence(2, 50)), (2, near + " more"), (2, sentence(3, 50)), (2, sentence(3, 50)), (3, near + " again"), (4, sentence(2, 50))]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], SCHEMA)
+    got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.near_duplicates(docs).collect())
+    assert got == [(1, 1, 1), (1, 1, 2), (2, 1, 2), (2, 2, 1), (2, 2, 1), (3, 1, 2), (4, 1, 1)]
+    assert sorted((r["doc_id"], r["text"]) for r in ngram_join.keep_one(docs).collect()) == sorted([(1, near), (1, sentence(2, 50)), (2, sentence(3, 50))])
+
+
+def test_one_group_of_thousands_of_near_copies(spark):
+    base = sentence(1, 120).split()
+    texts = [" ".join([*base[: i % 110], f"x{i}", *base[i % 110 + 1 :]]) for i in range(3000)]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], SCHEMA).repartition(8)
+    got = by_id(ngram_join.near_duplicates(docs), "class_id", "n_links")
+    grams = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    for i in range(0, 3000, 500):
+        assert got[i] == (0, sum(j != i and len(grams[i] & g) >= 0.8 * len(grams[i] | g) for j, g in enumerate(grams))), i
+    assert {c for c, _ in got.values()} == {0}
+
+
 def test_large_groups_are_split(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 8)
     base = sentence(1, 80).split()
