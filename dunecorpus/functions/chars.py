@@ -17,3 +17,5 @@ EMOJI = r"\x{1F300}-\x{1F5FF}\x{1F600}-\x{1F64F}\x{1F680}-\x{1F6FF}\x{1F900}-\x{
 WORD = r"[\p{L}\p{N}_]"
 GRAPHEME = f"[{EMOJI}]{VS16}?(?:{ZWJ}[{EMOJI}]{VS16}?)*"
 PUNCTUATION = ("!", r"\?", r"\x{061F}", ",", r"\x{060C}")
+#: What counts as blank at a text's ends.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"

@@ -10,35 +10,46 @@ HASH_BUCKETS = 200_000
 SIZE_BANDS = ((1_000, "n<1K"), (10_000, "1K<n<10K"), (100_000, "10K<n<100K"), (1_000_000, "100K<n<1M"), (10_000_000, "1M<n<10M"))
 
 
+def _address(v: Column) -> tuple[Column, Column, Column]:
+    """(host, the path's non-empty parts, the value of the parameter v) of an absolute address; empty for others."""
+    host, path = (F.regexp_extract(v, r"^[a-zA-Z]+://([^/?#]*)([^?#]*)", i) for i in (1, 2))
+    return host, F.filter(F.split(path, "/"), lambda p: p != ""), F.regexp_extract(v, r"[?&]v=([^&#]+)", 1)
+
+
 def video_id(v: Column) -> Column:
+    """The id in a video's address; anything that isn't one is an id itself."""
     v = F.trim(v)
-    path = F.regexp_replace(F.regexp_extract(v, r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1), "/+$", "")
-    host = F.regexp_extract(v, r"^[a-zA-Z]+://([^/?#]*)", 1)
-    param = F.regexp_extract(v, r"[?&]v=([^&#]+)", 1)
-    last = F.element_at(F.split(path, "/"), -1)
-    kind = F.regexp_extract(path, "^/(?:shorts|embed|live)/([^/]*)", 1)
-    return F.when(~(v.contains("youtube.com") | v.contains("youtu.be")), v).when(host.isin("youtu.be", "www.youtu.be"), F.regexp_extract(path, "^/*([^/]*)", 1)).when((path == "/watch") & (param != ""), param).when(kind != "", kind).otherwise(last)
+    host, parts, parameter = _address(v)
+    first, second = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    last = F.coalesce(F.get(parts, F.size(parts) - 1), F.lit(""))
+    site = v.contains("youtube.com") | v.contains("youtu.be")
+    of_site = F.when(host.endswith("youtu.be"), F.coalesce(first, F.lit(""))).when((first == "watch") & (parameter != ""), parameter)
+    return F.when(site, of_site.when(first.isin("shorts", "embed", "live") & second.isNotNull(), second).otherwise(last)).otherwise(v)
 
 
 def channel_ref(v: Column) -> Column:
-    """struct(channel_id, handle): exactly one is set, none for other urls of the site."""
+    """struct(channel_id, handle): exactly one is set, none for other addresses of the site."""
     v = F.trim(v)
-    parts = F.filter(F.split(F.regexp_extract(v, r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1), "/"), lambda p: p != "")
+    _, parts, _ = _address(v)
     first, second = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
-    site = v.contains("youtube.com")
-    bare = v.rlike("^UC[A-Za-z0-9_-]{22}$")
-    cid = F.when(site & (first == "channel"), second).when(~site & bare, v)
-    handle = F.when(site & first.startswith("@"), first).when(site & first.isin("c", "user") & second.isNotNull(), F.concat(F.lit("@"), second)).when(~site & ~bare, F.when(v.startswith("@"), v).otherwise(F.concat(F.lit("@"), v)))
-    return F.struct(cid.alias("channel_id"), handle.alias("handle"))
+    site, bare = v.contains("youtube.com"), v.rlike("^UC[A-Za-z0-9_-]{22}$")
+    # what names the channel, and whether it is an id
+    name = F.when(site, F.when(first.isin("channel", "c", "user"), second).when(first.startswith("@"), first)).otherwise(v)
+    is_id = F.coalesce(F.when(site, first == "channel").otherwise(bare), F.lit(False))
+    return F.struct(F.when(is_id, name).alias("channel_id"), F.when(~is_id & name.isNotNull(), F.concat(F.lit("@"), F.ltrim(name, F.lit("@")))).alias("handle"))
 
 
 def username(v: Column) -> Column:
+    """The name in a profile's address, or a bare one without its mark and slashes."""
     v = F.trim(v)
-    return F.when(v.rlike("/@"), F.regexp_extract(v, "/@([^/?#]+)", 1)).otherwise(F.regexp_replace(v, "^@", ""))
+    own = F.regexp_extract(v, r"tiktok\.com/@([^/?#]+)", 1)
+    return F.when(own != "", F.ltrim(own, F.lit("@"))).otherwise(F.btrim(F.ltrim(v, F.lit("@")), F.lit("/")))
 
 
 def cookies(v: Column) -> Column:
-    return F.str_to_map(v, F.lit(r"\s*;\s*"), F.lit("="))
+    """array of struct(name, value) of a cookie header, in order; parts without ``=`` are skipped."""
+    parts = F.filter(F.transform(F.split(v, ";"), F.trim), lambda p: p.contains("="))
+    return F.transform(parts, lambda p: F.struct(F.trim(F.regexp_extract(p, "(?s)^([^=]*)=", 1)).alias("name"), F.trim(F.regexp_extract(p, "(?s)^[^=]*=(.*)$", 1)).alias("value")))
 
 
 def size_band(n: Column) -> Column:

@@ -8,8 +8,7 @@ to find the least repeated unit) and run as Arrow-batched Pandas UDFs.
 from __future__ import annotations
 
 import unicodedata
-from bisect import bisect_left
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,7 +19,7 @@ from dunecorpus.functions import chars as C
 # Patterns of the noise that the rules remove.
 URL = r"(?i)(?:https?://\S+|www\.\S+)"
 MENTION = r"@[\p{L}\p{N}_.]+"
-TIMESTAMP = r"\b[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?\b"
+TIMESTAMP = r"\b\p{Nd}{1,2}:\p{Nd}{2}(?::\p{Nd}{2})?\b"
 QUOTE = "اقتباس:\\s*\\nالمشاركة الأصلية كتبت بواسطة\\s+\\S+"
 WIDGET = "(?s)أكبر تواجد بالمنتدى كان.*"
 BBCODE = r"\[/?(?!URL\])[a-zA-Z]+(?:=[^\]]*)?\s*\]"
@@ -38,7 +37,14 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 
 
 def nfkc(text: Column | str) -> Column:
-    return _nfkc(_col(text))
+    """ASCII texts are their own form and stay in the JVM."""
+    t = _col(text)
+    return F.coalesce(_nfkc(F.when(t.rlike(r"[^\x00-\x7F]"), t)), t)
+
+
+def strip(t: Column) -> Column:
+    """Without blanks of any kind at either end."""
+    return F.btrim(t, F.lit(C.BLANKS))
 
 
 def strip_invisible(text: Column | str) -> Column:
@@ -53,49 +59,57 @@ def strip_tachkil(text: Column | str) -> Column:
 
 
 def replace_mentions(text: Column | str) -> Column:
-    return F.regexp_replace(_col(text), MENTION, " [MENTION] ")
+    t = _col(text)
+    return F.when(t.contains("@"), F.regexp_replace(t, MENTION, " [MENTION] ")).otherwise(t)
 
 
 def replace_urls(text: Column | str) -> Column:
-    return F.regexp_replace(_col(text), URL, " [URL] ")
+    t = _col(text)
+    return F.when(t.contains("://") | F.lower(t).contains("www."), F.regexp_replace(t, URL, " [URL] ")).otherwise(t)
 
 
 def strip_timestamps(text: Column | str) -> Column:
-    return F.regexp_replace(_col(text), "(?U)" + TIMESTAMP, " ")
+    t = _col(text)
+    return F.when(t.contains(":"), F.regexp_replace(t, "(?U)" + TIMESTAMP, " ")).otherwise(t)
 
 
 def shorten_phrases(t: str | None) -> str | None:
     """The least unit of 12 or more characters that stands three or more times in a row is kept twice.
 
-    Units are looked for at the later places of the 12 characters that start
-    here, so ordinary text takes near-linear time.
+    A unit can only start where 12 characters stand three times in the text;
+    hashes of all 12-character windows find these places in a few array passes.
     """
     if t is None or len(t) < PHRASE * PHRASE_TIMES:
         return t
-    at: dict[str, list[int]] = {}
-    for i in range(len(t) - PHRASE + 1):
-        at.setdefault(t[i : i + PHRASE], []).append(i)
-    if all(len(x) < PHRASE_TIMES for x in at.values()):
+    codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = np.zeros(len(t) - PHRASE + 1, np.uint64)
+    for k in range(PHRASE):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + len(h)]
+    order = np.argsort(h, kind="stable")
+    new = np.r_[True, h[order][1:] != h[order][:-1]]
+    group, starts = np.cumsum(new) - 1, np.append(np.flatnonzero(new), len(h))
+    often = np.diff(starts)[group] >= PHRASE_TIMES
+    if not often.any():
         return t
-    out, i, copied = [], 0, 0
-    while i <= len(t) - PHRASE * PHRASE_TIMES:
-        places = at[t[i : i + PHRASE]]
-        period = 0
-        for j in places[bisect_left(places, i + PHRASE) :] if len(places) >= PHRASE_TIMES else ():
+    where = np.empty(len(h), np.int64)  # a place's own place among equal windows
+    where[order] = np.arange(len(h))
+    ends = np.empty(len(h), np.int64)
+    ends[order] = starts[group + 1]
+    out, copied = [], 0
+    for i in np.sort(order[often]).tolist():
+        if i < copied:
+            continue
+        for j in order[where[i] + 1 : ends[i]].tolist():
             p = j - i
             if i + 3 * p > len(t):
                 break
-            if t.startswith(t[i:j], j) and t.startswith(t[i:j], j + p):
-                period = p
+            if p >= PHRASE and t.startswith(t[i:j], j) and t.startswith(t[i:j], j + p):
+                unit, end = t[i:j], i + 3 * p
+                while t.startswith(unit, end):
+                    end += p
+                out += [t[copied:i], unit, unit]
+                copied = end
                 break
-        if not period:
-            i += 1
-            continue
-        unit, end = t[i : i + period], i + 3 * period
-        while t.startswith(unit, end):
-            end += period
-        out += [t[copied:i], unit, unit]
-        i = copied = end
     return "".join([*out, t[copied:]])
 
 
@@ -109,7 +123,9 @@ def collapse_phrases(text: Column | str) -> Column:
 
 
 def collapse_words(text: Column | str) -> Column:
-    return F.regexp_replace(_col(text), r"(?U)(\S+)(?:\s+\1\b){4,}", "$1 $1")
+    """Only texts with three equal tokens in a row, found in one linear pass, can hold a run and are searched for it."""
+    t = _col(text)
+    return F.when(t.rlike(r"(?U)(?<!\S)(\S++)\s++\1\s++\1(?!\S)"), F.regexp_replace(t, r"(?U)(\S+)(?:\s+\1\b){4,}", "$1 $1")).otherwise(t)
 
 
 def collapse_elongation(text: Column | str) -> Column:
@@ -117,10 +133,7 @@ def collapse_elongation(text: Column | str) -> Column:
 
 
 def normalize_punctuation(text: Column | str) -> Column:
-    t = F.regexp_replace(_col(text), r"\.{2,}", "...")
-    for p in C.PUNCTUATION:
-        t = F.regexp_replace(t, f"({p}){p}{{2,}}", "$1$1")
-    return t
+    return F.regexp_replace(F.regexp_replace(_col(text), r"\.{2,}", "..."), f"([{''.join(C.PUNCTUATION)}])\\1{{2,}}", "$1$1")
 
 
 def collapse_emoji(text: Column | str) -> Column:
@@ -128,19 +141,20 @@ def collapse_emoji(text: Column | str) -> Column:
 
 
 def normalize_whitespace(text: Column | str) -> Column:
-    t = F.regexp_replace(F.regexp_replace(_col(text), r"[ \t]{2,}", " "), r"\n{3,}", "\n\n")
-    return F.regexp_replace(t, r"(?U)^\s+|\s+\z", "")
+    return strip(F.regexp_replace(F.regexp_replace(_col(text), r"[ \t]{2,}", " "), r"\n{3,}", "\n\n"))
 
 
-def residual_letters(text: Column | str, placeholders: bool = True) -> Column:
-    t = F.regexp_replace(_col(text), PLACEHOLDERS, "") if placeholders else _col(text)
-    return F.length(F.regexp_replace(F.regexp_replace(t, f"[{C.EMOJI}]", ""), rf"[^\p{{L}}\p{{N}}_{C.ARABIC_BASIC}]", ""))
+def has_letters(text: Column | str, placeholders: bool = True) -> Column:
+    """Whether two letters are left beside placeholders and emoji; reads no further than the second."""
+    letter = rf"[\p{{L}}\p{{N}}_{C.ARABIC_BASIC}&&[^{C.EMOJI}]]"
+    other = rf"(?:{PLACEHOLDERS + '|' if placeholders else ''}(?!{letter})(?s:.))*+"
+    return _col(text).rlike("^" + (other + letter) * MIN_LETTERS)
 
 
 def drop_near_empty(text: Column | str, placeholders: bool = True) -> Column:
     """Null where fewer than two letters would be left."""
     t = _col(text)
-    return F.when(residual_letters(t, placeholders) >= MIN_LETTERS, t)
+    return F.when(has_letters(t, placeholders), t)
 
 
 def strip_widget(text: Column | str) -> Column:
@@ -178,7 +192,7 @@ def clean(df, column: str = "text", rules=COMMENT_RULES, keep_null: bool = False
 def clean_for_classification(text: Column | str) -> Column:
     t = F.regexp_replace(_col(text), r"\[MENTION\](?:\s*-\S{1,10})?", "")
     t = F.regexp_replace(F.replace(t, F.lit("[URL]"), F.lit("")), r"[ \t]+", " ")
-    return F.regexp_replace(t, r"(?U)^\s+|\s+\z", "")
+    return strip(t)
 
 
 def strip_noise(text: Column | str, placeholder: str = " ") -> Column:
@@ -187,4 +201,4 @@ def strip_noise(text: Column | str, placeholder: str = " ") -> Column:
 
 
 def shingle_form(text: Column | str) -> Column:
-    return F.regexp_replace(F.lower(F.regexp_replace(_col(text), r"(?U)^\s+|\s+\z", "")), r"(?U)\s+", " ")
+    return F.regexp_replace(F.lower(strip(_col(text))), r"(?U)\s+", " ")

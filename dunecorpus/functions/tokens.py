@@ -15,10 +15,13 @@ def whitespace_tokens(t: Column) -> Column:
     return F.filter(F.split(t, r"(?U)\s+"), lambda x: x != "")
 
 
+#: A word with something other than digits in it; starts at a word's first character only.
+NOT_A_NUMBER = rf"(?<!{C.WORD})\p{{Nd}}*+[\p{{L}}\p{{N}}_&&[^\p{{Nd}}]]{C.WORD}*+"
+
+
 def words(t: Column) -> Column:
     """Lower-cased word tokens without pure numbers and placeholders."""
-    found = F.regexp_extract_all(F.lower(t), F.lit(C.WORD + "+"), F.lit(0))
-    return F.filter(found, lambda w: ~w.rlike(r"^\p{Nd}+$") & ~w.isin("url", "mention"))
+    return F.filter(F.regexp_extract_all(F.lower(t), F.lit(NOT_A_NUMBER), F.lit(0)), lambda w: ~w.isin("url", "mention"))
 
 
 def words_and_marks(t: Column) -> Column:

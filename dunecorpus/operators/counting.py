@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BEGIN, END = "<s>", "</s>"
+#: Neighbouring values of an order that are summed up in one task.
+RANGE = 4096
 
 
-def frequencies(df: DataFrame, tokens: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, token, n, docs): occurrences and rows that hold the token, in one shuffle."""
+def frequencies(df: DataFrame, tokens: str, by: tuple[str, ...] = (), docs: bool = False) -> DataFrame:
+    """(by, token, n): occurrences; with ``docs`` also the rows that hold the token, still in one shuffle."""
+    if not docs:
+        return df.select(*by, F.explode(tokens).alias("token")).groupBy(*by, "token").agg(F.count("*").alias("n"))
     every = F.transform(tokens, lambda x: F.struct(x.alias("token"), F.lit(1).alias("n"), F.lit(0).alias("d")))
     once = F.transform(F.array_distinct(tokens), lambda x: F.struct(x.alias("token"), F.lit(0).alias("n"), F.lit(1).alias("d")))
     return df.select(*by, F.inline(F.concat(every, once))).groupBy(*by, "token").agg(F.sum("n").alias("n"), F.sum("d").alias("docs"))
@@ -37,21 +41,67 @@ def top(df: DataFrame, k: int, n: str, *ties: str, by: tuple[str, ...] = ()) ->
 
 
 def ngrams(df: DataFrame, tokens: str, n: int) -> DataFrame:
-    """(order, gram, n) for orders 1 to n, with n-1 begin marks and one end mark."""
+    """(order, gram, n) for orders 1 to n, with n-1 begin marks and one end mark.
+
+    Only the longest order is counted over the rows.  Each token ends one gram
+    of every order, so shorter ones are sums over the distinct longer ones; the
+    begin marks alone are added from the number of rows.
+    """
     padded = df.select(F.concat(F.array_repeat(F.lit(BEGIN), n - 1), F.col(tokens), F.array(F.lit(END))).alias("p"))
+    size = F.size("p") - (n - 1)
+    shifted = [F.slice("p", F.lit(k + 1), size).alias(f"w{k}") for k in range(n)]
+    longest = padded.select(F.inline(F.arrays_zip(*shifted))).groupBy(*[f"w{k}" for k in range(n)]).agg(F.count("*").alias("n"))
+    out, rows = None, df.agg(F.count("*").alias("rows"))
+    for order in range(n, 0, -1):
+        names = [f"w{k}" for k in range(n - order, n)]
+        now = longest if order == n else longest.groupBy(*names).agg(F.sum("n").alias("n"))
+        now = now.select(F.lit(order).alias("order"), F.concat_ws(" ", *names).alias("gram"), "n")
+        if order < n:  # grams that end before the first token
+            now = now.unionByName(rows.where("rows > 0").select(F.lit(order).alias("order"), F.lit(" ".join([BEGIN] * order)).alias("gram"), (F.col("rows") * (n - order)).alias("n")))
+        out = now if out is None else out.unionByName(now)
+    return out
+
 
-    def of(k: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size("p") - k + 1), lambda i: F.struct(F.lit(k).alias("order"), F.array_join(F.slice("p", i, k), " ").alias("gram")))
+def window_pairs(df: DataFrame, tokens: str, reach: int) -> DataFrame:
+    """(row columns, centre, context, distance) of tokens at most reach apart, made inside the row: size * 2 * reach pairs at most."""
+    keep = [c for c in df.columns if c != tokens]
+    t, size = F.col(tokens), F.size(tokens)
 
-    return padded.select(F.inline(F.concat(*[of(k) for k in range(1, n + 1)]))).groupBy("order", "gram").agg(F.count("*").alias("n"))
+    def apart(d: int) -> Column:
+        left, right = F.slice(t, F.lit(1), size - d), F.slice(t, F.lit(d + 1), size - d)
+        pair = lambda a, b: F.struct(a.alias("centre"), b.alias("context"), F.lit(d).alias("distance"))
+        both = F.flatten(F.zip_with(left, right, lambda a, b: F.array(pair(a, b), pair(b, a))))
+        return F.when(size > d, both).otherwise(F.array().cast("array<struct<centre:string,context:string,distance:int>>"))
 
+    return df.select(*keep, F.inline(F.concat(*[apart(d) for d in range(1, reach + 1)])))
 
-def window_pairs(df: DataFrame, tokens: str, reach: int) -> DataFrame:
-    """(row columns, centre, context, distance) of tokens at most reach apart; each row yields size * 2 * reach pairs at most."""
+
+def contexts(df: DataFrame, tokens: str, reach: int) -> DataFrame:
+    """(row columns, i, centre, context): for each token the list of those at most reach places away, without itself."""
     keep = [c for c in df.columns if c != tokens]
-    at = df.select(*keep, tokens, F.posexplode(tokens).alias("i", "centre"))
-    near = F.transform(F.sequence(F.greatest(F.col("i") - reach, F.lit(0)), F.least(F.col("i") + reach, F.size(tokens) - 1)), lambda j: F.struct(F.get(F.col(tokens), j).alias("context"), F.abs(j - F.col("i")).alias("distance")))
-    return at.select(*keep, "centre", F.inline(F.filter(near, lambda s: s["distance"] > 0)))
+    t = F.col(tokens)
+    around = F.transform(t, lambda x, i: F.struct(i.alias("i"), x.alias("centre"), F.concat(F.slice(t, F.greatest(i - reach + 1, F.lit(1)), F.least(i, F.lit(reach))), F.slice(t, i + 2, F.lit(reach))).alias("context")))
+    return df.select(*keep, F.inline(around))
+
+
+def stream_blocks(df: DataFrame, order: str, tokens: str, size: int) -> DataFrame:
+    """(block, tokens): blocks of ``size`` tokens over all rows' tokens in a row, in order; the tail is dropped.
+
+    Places follow from token counts: rows are dealt to ranges of the order, the
+    ranges' sums are added up in one small table, and each row's tokens go to
+    the blocks that they fall into.
+    """
+    lengths = df.select(order, tokens, F.size(tokens).cast("long").alias("_n")).withColumn("_range", F.floor(F.col(order) / RANGE))
+    sums = lengths.groupBy("_range").agg(F.sum("_n").alias("_n"))
+    offset = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("_range", offset.alias("_offset"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = lengths.withColumn("_before", before).join(sums, "_range").where("_n > 0").withColumn("_at", F.col("_offset") + F.col("_before"))
+    first, last = F.floor(F.col("_at") / size), F.floor((F.col("_at") + F.col("_n") - 1) / size)
+    parts = F.transform(F.sequence(first, last), lambda b: F.struct(b.alias("block"), F.greatest(F.col("_at"), b * size).alias("_start"), F.slice(tokens, (F.greatest(F.col("_at"), b * size) - F.col("_at") + 1).cast("int"), (F.least(F.col("_at") + F.col("_n"), (b + 1) * size) - F.greatest(F.col("_at"), b * size)).cast("int")).alias("_part")))
+    blocks = placed.select("_total", F.inline(parts)).where((F.col("block") + 1) * size <= F.col("_total"))
+    joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_start", "_part"))), lambda s: s["_part"]))
+    return blocks.groupBy("block").agg(joined.alias("tokens"))
 
 
 def cooccurrence(df: DataFrame, tokens: str, reach: int) -> DataFrame:

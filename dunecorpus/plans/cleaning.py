@@ -24,7 +24,9 @@ def chain(expr: str, *steps: tuple[str, str]) -> str:
     return expr
 
 
-TIME = r"\b[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?\b"
+# RE2's \b knows ASCII alone: the neighbours are matched and put back, twice because they may be shared.
+TIME = r"(^|[^\p{L}\p{N}_])\p{Nd}{1,2}:\p{Nd}{2}(?::\p{Nd}{2})?($|[^\p{L}\p{N}_])"
+TIMES = ((TIME, r"\1 \2"),) * 2
 PUNCT = ((r"\.{2,}", "..."), *((f"({p}){p}{{2,}}", r"\1\1") for p in C.PUNCTUATION))
 SPACES = ((r"[ \t]{2,}", " "), (r"\n{3,}", "\n\n"), (STRIP, ""))
 LEFT = ((text.PLACEHOLDERS, ""), (f"[{C.EMOJI}]", ""), (rf"[^\p{{L}}\p{{N}}_{C.ARABIC_BASIC}]", ""))
@@ -32,6 +34,11 @@ CHARS = "regexp_extract_all(text, '(?s).')"
 GRAPHEMES = f"({C.GRAPHEME})({C.GRAPHEME})(?:{C.GRAPHEME})+"
 
 
+#: RE2 has no look-around: what is kept has a private character meanwhile.
+BBCODE = r"\[/?[a-zA-Z]+(?:=[^\]]*)?\s*\]"
+KEPT_JOINER = "\\1\ue000\\2"
+
+
 def rule(name: str, f, sql: str | None) -> None:
     """One cleaning rule: per document the digest and length of what it leaves."""
 
@@ -43,11 +50,11 @@ def rule(name: str, f, sql: str | None) -> None:
 
 
 rule("c1_nfkc", text.nfkc, None)
-rule("c2_strip_invisible", text.strip_invisible, None)
+rule("c2_strip_invisible", text.strip_invisible, f"replace({chain('text', (f'[{C.ZERO_WIDTH}]', ''), *((f'([{C.EMOJI}]){C.ZWJ}([{C.EMOJI}])', KEPT_JOINER),) * 2, (C.ZWJ, ''))}, chr(57344), chr(8205))")
 rule("c3_strip_tachkil", text.strip_tachkil, r("text", f"[{C.TACHKIL}]", ""))
 rule("c4_mentions", text.replace_mentions, r("text", text.MENTION, " [MENTION] "))
 rule("c5_urls", text.replace_urls, r("text", text.URL, " [URL] "))
-rule("c6_timestamps", text.strip_timestamps, r("text", TIME, " "))
+rule("c6_timestamps", text.strip_timestamps, chain("text", *TIMES))
 rule("c7_repeated_phrases", text.collapse_phrases, None)
 rule("c8_repeated_words", text.collapse_words, None)
 rule("c10_punctuation", text.normalize_punctuation, chain("text", *PUNCT))
@@ -56,7 +63,7 @@ rule("c12_whitespace", text.normalize_whitespace, chain("text", *SPACES))
 rule("c13_near_empty", text.drop_near_empty, f"CASE WHEN length({chain('text', *LEFT)}) >= {text.MIN_LETTERS} THEN text END")
 rule("c14_widget", text.strip_widget, r("text", text.WIDGET, ""))
 rule("c15_quote", text.strip_quote, r("text", "اقتباس:\\s*\\nالمشاركة الأصلية كتبت بواسطة\\s+\\S+", ""))
-rule("c16_bbcode", text.strip_bbcode, None)
+rule("c16_bbcode", text.strip_bbcode, f"replace(replace({r('replace(replace(text, ' + quoted('[URL]') + ', chr(57344)), ' + quoted('[/URL]') + ', chr(57345))', BBCODE, '')}, chr(57344), '[URL]'), chr(57345), '[/URL]')")
 rule("c17_tatweel", text.strip_tatweel, r("text", C.TATWEEL + "+", ""))
 rule("c18_for_classification", text.clean_for_classification, chain("text", (r"\[MENTION\](?:\s*-\S{1,10})?", ""), (r"\[URL\]", ""), (r"[ \t]+", " "), (STRIP, "")))
 rule("c19_noise", text.strip_noise, chain("text", (r"https?://\S+", " "), (r"@[\p{L}\p{N}_]+", " ")))
@@ -75,7 +82,7 @@ def c9_elongation(spark, sf_dir):
 
 
 NATIVE = (text.strip_tachkil, text.replace_mentions, text.replace_urls, text.strip_timestamps, text.normalize_punctuation, text.normalize_whitespace)
-NATIVE_SQL = chain("text", (f"[{C.TACHKIL}]", ""), (text.MENTION, " [MENTION] "), (text.URL, " [URL] "), (TIME, " "), *PUNCT, *SPACES)
+NATIVE_SQL = chain("text", (f"[{C.TACHKIL}]", ""), (text.MENTION, " [MENTION] "), (text.URL, " [URL] "), *TIMES, *PUNCT, *SPACES)
 SCRIPT_SQL = f"CASE WHEN regexp_matches(t, '[{C.ARABIC_FULL_BOM}]') AND regexp_matches(t, '[{C.LATIN_WIDE}]') THEN 'mixed' WHEN regexp_matches(t, '[{C.ARABIC_FULL_BOM}]') THEN 'arabic' WHEN regexp_matches(t, '[{C.LATIN_WIDE}]') THEN 'latin' ELSE 'other' END"
 
 
@@ -186,28 +193,30 @@ def p17_word_range(spark, sf_dir):
     return corpus(spark, sf_dir).where(F.size(W(F.col("text"))).between(3, 140)).select("doc_id")
 
 
-@query()
+SENTENCES_SQL = f"list_filter(string_split(regexp_replace(text, '([.!?\\n])[\\s\\x{{0B}}]+', '\\1' || chr(57344), 'g'), chr(57344)), lambda x: x <> '')"
+
+
+@query(f"{WITH}, s AS (SELECT doc_id, {SENTENCES_SQL} AS s FROM corpus), n AS (SELECT doc_id, s, unnest(range(0, len(s))) AS i FROM s) SELECT doc_id, CAST(i AS BIGINT) AS i, CASE WHEN i % 3 = 0 THEN array_to_string(s[i + 1:i + 3], ' ') ELSE s[i + 1] END AS span FROM n")
 def p18_sentence_spans(spark, sf_dir):
     """Spans of one and of up to three sentences, in turn."""
     s = corpus(spark, sf_dir).select("doc_id", F.filter(F.split("text", r"(?<=[.!?\n])\s+"), lambda x: x != "").alias("s"))
-    at = s.select("doc_id", "s", F.posexplode("s").alias("i", "one"))
-    return at.select("doc_id", F.col("i").cast("bigint").alias("i"), F.when(F.col("i") % 3 == 0, F.concat_ws(" ", F.slice("s", F.col("i") + 1, 3))).otherwise(F.col("one")).alias("span"))
+    spans = F.transform("s", lambda one, i: F.struct(i.cast("bigint").alias("i"), F.when(i % 3 == 0, F.concat_ws(" ", F.slice("s", i + 1, 3))).otherwise(one).alias("span")))
+    return s.select("doc_id", F.inline(spans))
 
 
 URL_SQL = {k: f"regexp_extract(url, {quoted(p)}, 1)" for k, p in {"host": "^[a-zA-Z]+://([^/?#]*)", "path": "^[a-zA-Z]+://[^/?#]*([^?#]*)", "v": "[?&]v=([^&#]+)", "page": "[?&]page=([^&#]+)"}.items()}
 
 
-@query(f"SELECT page_id, {URL_SQL['host']} AS host, {URL_SQL['path']} AS path, {URL_SQL['page']} AS page, CASE WHEN regexp_matches(trim(url), '/@') THEN regexp_extract(trim(url), '/@([^/?#]+)', 1) ELSE regexp_replace(trim(url), '^@', '') END AS username, url AS video_id, CASE WHEN url LIKE '@%' THEN url ELSE '@' || url END AS handle FROM pages")
+@query(f"SELECT page_id, {URL_SQL['host']} AS host, {URL_SQL['path']} AS path, {URL_SQL['page']} AS page FROM pages")
 def p21_url_parts(spark, sf_dir):
-    u = F.col("url")
-    part = lambda p: F.regexp_extract(u, p, 1)
-    return table(spark, sf_dir, "pages").select("page_id", part("^[a-zA-Z]+://([^/?#]*)").alias("host"), part("^[a-zA-Z]+://[^/?#]*([^?#]*)").alias("path"), part("[?&]page=([^&#]+)").alias("page"), ids.username(u).alias("username"), ids.video_id(u).alias("video_id"), ids.channel_ref(u)["handle"].alias("handle"))
+    part = lambda p: F.regexp_extract("url", p, 1)
+    return table(spark, sf_dir, "pages").select("page_id", part("^[a-zA-Z]+://([^/?#]*)").alias("host"), part("^[a-zA-Z]+://[^/?#]*([^?#]*)").alias("path"), part("[?&]page=([^&#]+)").alias("page"))
 
 
-@query()
+@query("SELECT page_id, regexp_extract('id=' || page_id || '; lang=' || regexp_extract(url, '/([a-z]{2})/', 1), 'lang=([^;]*)', 1) AS lang FROM pages")
 def p24_cookies(spark, sf_dir):
     u = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("id="), F.col("page_id"), F.lit("; lang="), F.regexp_extract("url", "/([a-z]{2})/", 1)).alias("h"))
-    return u.select("page_id", ids.cookies(F.col("h"))["lang"].alias("lang"))
+    return u.select("page_id", F.filter(ids.cookies(F.col("h")), lambda c: c["name"] == "lang")[0]["value"].alias("lang"))
 
 
 # name: (Java pattern, RE2 pattern or None)

@@ -15,6 +15,12 @@ LITERALS = (
     "www.site.dz/x   two  spaces\n\n\n\nlines @a.b_c",
     "واش راك خويا،،،، لاباس",
     "éè déjà vu naïve 99",
+    "موضوع جديد\nأكبر تواجد بالمنتدى كان 512 عضو\nبتاريخ 2014",
+    "اقتباس:\nالمشاركة الأصلية كتبت بواسطة حَمزة\nهذا رد على الكلام",
+    "[b]bold[/b] [URL] [url=http://a.dz]here[/url] [QUOTE=x y ]said[/QUOTE] [/URL]",
+    "عـــيد مبـــارك الساعة ١٢:٣٠ ثم 7:45:10 8:00 9:15 و a10:20 99:99:99:99",
+    "zero\u200bwidth a\u200db \U0001f469\u200d\U0001f680 \U0001f468\u200d\U0001f469\u200d\U0001f467 \u200eend\ufeff \u200d",
+    "[URL] [MENTION] a \u2776 \U0001f602",
 )
 SOURCE = "fixture"
 

@@ -22,7 +22,9 @@ def words(spark, sf_dir):
 
 
 def frequencies(spark, sf_dir):
-    return ops.frequencies(words(spark, sf_dir), "w")
+    """Tokens are counted as they come; numbers and placeholders are left out of the distinct ones."""
+    raw = corpus(spark, sf_dir).select(F.regexp_extract_all(F.lower("text"), F.lit(C.WORD + "++"), F.lit(0)).alias("w"))
+    return ops.frequencies(raw, "w").where(~F.col("token").rlike(r"^\p{Nd}+$") & ~F.col("token").isin("url", "mention"))
 
 
 def token_count(spark, sf_dir):
@@ -60,11 +62,16 @@ def a5_release_table(spark, sf_dir):
     return token_count(spark, sf_dir).groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens"), F.round(F.try_divide(F.sum("tokens"), F.count("*")), 6).alias("mean_tokens"))
 
 
-@query(f"{FREQ} SELECT * FROM freq")
+@query(f"{FREQ} SELECT token, n FROM freq")
 def a6_word_frequency(spark, sf_dir):
     return frequencies(spark, sf_dir)
 
 
+@query(f"{FREQ} SELECT * FROM freq")
+def a6_document_frequency(spark, sf_dir):
+    return ops.frequencies(words(spark, sf_dir), "w", docs=True)
+
+
 @query(f"{WORDS} SELECT token, count(*) FILTER (source = 'fixture') AS own, count(*) FILTER (source <> 'fixture') AS rest FROM words GROUP BY token")
 def j6_source_union(spark, sf_dir):
     """Counts of two vocabularies side by side, 0 where a word is missing."""
@@ -220,10 +227,22 @@ def turns(spark, sf_dir):
 
 @query(f"{_POS} SELECT a.x AS centre, b.x AS context, count(*) AS n FROM p a JOIN p b ON a.conv_id = b.conv_id AND a.turn = b.turn AND abs(a.i - b.i) BETWEEN 1 AND 8 GROUP BY ALL")
 def w7_skip_gram_pairs(spark, sf_dir):
-    """(centre, context) pairs within eight places."""
+    """(centre, context) pairs within eight places."""
     return ops.window_pairs(turns(spark, sf_dir).select("w"), "w", 8).groupBy("centre", "context").agg(F.count("*").alias("n"))
 
 
+@query(f"{_POS} SELECT a.conv_id, a.turn, CAST(a.i - 1 AS INT) AS i, a.x AS centre, md5(coalesce(string_agg(b.x, ' ' ORDER BY b.i), '')) AS context FROM p a LEFT JOIN p b ON a.conv_id = b.conv_id AND a.turn = b.turn AND abs(a.i - b.i) BETWEEN 1 AND 8 GROUP BY ALL")
+def w6_context_windows(spark, sf_dir):
+    """Each token with the list of those within eight places."""
+    return ops.contexts(turns(spark, sf_dir), "w", 8).withColumn("context", F.md5(F.array_join("context", " ")))
+
+
+@query(f"{WITH}, t AS (SELECT doc_id, unnest({WORDS_SQL}) AS x, generate_subscripts({WORDS_SQL}, 1) AS i FROM corpus), n AS (SELECT x, row_number() OVER (ORDER BY doc_id, i) - 1 AS place, count(*) OVER () AS total FROM t) SELECT CAST(place // 129 AS BIGINT) AS block, md5(string_agg(x, ' ' ORDER BY place)) AS digest FROM n WHERE (place // 129 + 1) * 129 <= total GROUP BY place // 129")
+def w10_stream_blocks(spark, sf_dir):
+    """Blocks of 129 tokens over one stream, without the tail."""
+    return ops.stream_blocks(words(spark, sf_dir), "doc_id", "w", 129).select("block", F.md5(F.array_join("tokens", " ")).alias("digest"))
+
+
 @query(f"{_POS} SELECT a.x AS centre, b.x AS context, round(sum(1.0 / abs(a.i - b.i)), 5) AS weight FROM p a JOIN p b ON a.conv_id = b.conv_id AND a.turn = b.turn AND abs(a.i - b.i) BETWEEN 1 AND 10 GROUP BY ALL")
 def w8_cooccurrence(spark, sf_dir):
     return ops.cooccurrence(turns(spark, sf_dir), "w", 10).withColumn("weight", F.round("weight", 5))
