@@ -19,22 +19,47 @@ def sample(df: DataFrame, k: int, id_column: str, seed: int = 42) -> DataFrame:
     return df.orderBy(draw(id_column, seed), id_column).limit(k)
 
 
+#: A group is placed by so many leading hex digits of the draw: the most rows of its histogram are 16 ** PREFIX.
+PREFIX = 3
+
+
 def ranked(df: DataFrame, by: str, id_column: str, seed: int = 42) -> DataFrame:
     """Rows with their place (from 1) and the size of their group, in drawn order.
 
-    A group can hold most rows: the window's sort spills, and nothing of a group is held in memory.
+    A group can hold most rows: its draws are counted by their leading digits,
+    the counts are summed up in order, and rows are only sorted among those
+    with the same digits, in a task of their own.
     """
-    w = Window.partitionBy(by)
-    size = df.groupBy(by).agg(F.count("*").alias("group_size"))
-    place = df.withColumn("place", F.row_number().over(w.orderBy(draw(id_column, seed), id_column)).cast("bigint"))
-    return place.join(size, place[by].eqNullSafe(size[by])).drop(size[by])
+    drawn = df.withColumn("_draw", draw(id_column, seed)).withColumn("_slot", F.substring("_draw", 1, PREFIX))
+    slots = drawn.groupBy(by, "_slot").agg(F.count("*").alias("_rows"))
+    group = Window.partitionBy(by)
+    before = F.coalesce(F.sum("_rows").over(group.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    slots = slots.select(F.col(by).alias("_by"), F.col("_slot").alias("_at"), before.alias("_before"), F.sum("_rows").over(group).alias("group_size"))
+    inner = F.row_number().over(Window.partitionBy(by, "_slot").orderBy("_draw", id_column))
+    placed = drawn.withColumn("_inner", inner).join(slots, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_slot") == F.col("_at")))
+    return placed.select(*df.columns, (F.col("_before") + F.col("_inner")).cast("bigint").alias("place"), "group_size")
 
 
 def quotas(df: DataFrame, by: str, id_column: str, targets: dict[str, int], default: int = 0, seed: int = 42) -> DataFrame:
     """At most targets[group] rows a group."""
     quota = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in targets.items() for x in kv]), F.col(by)), F.lit(default)) if targets else F.lit(default)
-    r = df.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(draw(id_column, seed), id_column)))
-    return r.where(F.col("place") <= quota).drop("place")
+    return ranked(df, by, id_column, seed).where(F.col("place") <= quota).drop("place", "group_size")
+
+
+def until_budget(df: DataFrame, by: str, order: str, cost: Column, budget: int, width: int = 4096) -> DataFrame:
+    """Rows of each group, in order, while the costs of those before are under the budget, with that sum as ``before``.
+
+    Costs are summed up by ranges of ``width`` values of the order first; only
+    ranges that start under the budget have their rows sorted.
+    """
+    priced = df.withColumn("_cost", cost).withColumn("_range", F.floor(F.col(order) / width))
+    sums = priced.groupBy(by, "_range").agg(F.sum("_cost").alias("_sum"))
+    run = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(F.col(by).alias("_by"), F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(run), F.lit(0)).alias("_start")).where(F.col("_start") < budget)
+    inside = Window.partitionBy(by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = priced.join(starts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_r")))
+    out = placed.withColumn("before", F.col("_start") + F.coalesce(F.sum("_cost").over(inside), F.lit(0)))
+    return out.where(F.col("before") < budget).select(*df.columns, "before")
 
 
 def first_of(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dunecorpus.functions import chars as C
 from dunecorpus.functions import script, tokens
 from dunecorpus.operators import counting as ops
+from dunecorpus.operators import selecting
 from dunecorpus.plans.cleaning import WORDS_SQL, kind_sql, toks
 from dunecorpus.plans.corpus import WITH, corpus, table
 from dunecorpus.plans.registry import query
@@ -265,7 +266,5 @@ def w12_chunks(spark, sf_dir):
 @query(f"{TC}, r AS (SELECT source, doc_id, tokens, coalesce(sum(tokens + 2) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM tc) SELECT source, doc_id, CAST(before AS BIGINT) AS before FROM r WHERE before < 5000")
 def w13_token_budget(spark, sf_dir):
     """Documents of each source until 5,000 tokens with their two marks are reached."""
-    before = F.coalesce(F.sum(F.col("tokens") + 2).over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return token_count(spark, sf_dir).select("source", "doc_id", before.alias("before")).where("before < 5000")
-
-
+    t = token_count(spark, sf_dir).select("source", "doc_id", "tokens")
+    return selecting.until_budget(t, "source", "doc_id", F.col("tokens") + 2, 5000).select("source", "doc_id", "before")

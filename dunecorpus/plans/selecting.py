@@ -9,6 +9,7 @@ from dunecorpus.functions import text, tokens
 from dunecorpus.operators import selecting as ops
 from dunecorpus.plans.cleaning import BLANKS, STRIP, WORDS_SQL, r
 from dunecorpus.plans.corpus import WITH, corpus, table
+from dunecorpus.plans import counting
 from dunecorpus.plans.registry import query
 
 DRAW = "md5('42:' || doc_id)"
@@ -107,20 +108,23 @@ def u15_set_operations(spark, sf_dir):
     return both.unionByName(ids("benchmark", "item_id").subtract(ids("labels", "doc_id")))
 
 
-_P = f"{WITH}, f AS (SELECT token, count(*) AS n FROM (SELECT unnest({WORDS_SQL}) AS token FROM corpus) GROUP BY token)"
+_P = f"{WITH}, f AS MATERIALIZED (SELECT token, count(*) AS n FROM (SELECT unnest({WORDS_SQL}) AS token FROM corpus) GROUP BY token)"
 
 
 @query(f"{_P}, s AS (SELECT sum(n) AS total, sum(n ** 0.75) AS mass FROM f) SELECT token, round(least(1, sqrt(1e-3 * total / n)), 6) AS keep, CAST(round(n ** 0.75 / mass * 10000000) AS BIGINT) AS slots FROM f, s")
 def u17_subsampling(spark, sf_dir):
     """Chance to keep a frequent word, and its slots among negatives."""
-    f = corpus(spark, sf_dir).select(F.explode(tokens.words(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    f = counting.frequencies(spark, sf_dir).checkpoint()  # used twice: counted once
     s = f.agg(F.sum("n").alias("total"), F.sum(F.pow("n", F.lit(0.75))).alias("mass"))
     return f.join(F.broadcast(s)).select("token", F.round(F.least(F.lit(1.0), F.sqrt(F.col("total") * 1e-3 / F.col("n"))), 6).alias("keep"), F.round(F.pow("n", F.lit(0.75)) / F.col("mass") * 10000000).cast("bigint").alias("slots"))
 
 
-@query()
+_SHINGLES = f"WITH t AS (SELECT doc_id, {r('lower(' + r('text', STRIP, '') + ')', BLANKS, ' ')} AS t FROM documents), c AS (SELECT doc_id, t, regexp_extract_all(t, '(?s).') AS c FROM t)"
+
+
+@query(f"{_SHINGLES} SELECT doc_id, CAST(CASE WHEN t = '' THEN 0 WHEN len(c) <= 4 THEN 1 ELSE len(list_distinct(list_transform(range(1, len(c) - 2), lambda i: c[i] || c[i + 1] || c[i + 2] || c[i + 3]))) END AS BIGINT) AS shingles FROM c")
 def d1_shingle_counts(spark, sf_dir):
-    """Distinct four-character shingles of each document; tests hold them against a plain set."""
+    """Distinct four-character shingles of each document."""
     d = table(spark, sf_dir, "documents").select("doc_id", text.shingle_form("text").alias("t"))
     return d.select("doc_id", F.size(tokens.shingles(F.col("t"))).cast("bigint").alias("shingles"))
 
