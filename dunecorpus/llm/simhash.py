@@ -14,7 +14,9 @@ two by two, and a pair is counted only in the first table that holds it.
 
 Edge cases: a null text counts as empty and has fingerprint 0; equal texts have
 equal fingerprints; additional columns are ignored; rows that repeat are
-documents of their own; a table of one row has itself as the next document.
+documents of their own, in the order of a hash of their texts where they share a
+doc_id; a table of one row has itself as the next document; an empty table
+gives no rows.  Very long texts are read whole, one at a time.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ WORD = re.compile(r"\w+")
 BITS, RADIUS, BLOCKS = 64, 3, 6
 BLOCK_ROWS = 192
 #: Rows that one range of neighbouring documents holds, about.
-RANGE_ROWS = 1200
+RANGE_ROWS, MOST_RANGES = 1200, 20_000
 
 
 def fingerprint(text: str) -> int:
@@ -62,44 +64,40 @@ def edited(text: str, following: str) -> str:
 def _with_neighbours(docs: DataFrame) -> DataFrame:
     """(part, doc_id, text, ghost): rows by ranges of doc_id, each range with the next document after its last.
 
-    The only shuffle of the texts; one more row for each range.
+    The texts are read and shuffled once; ids alone decide the ranges.  The rows
+    of a range's largest id go to the range above as well, as ghosts.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ids = docs.select("doc_id").where("doc_id is not null")
-    stats = ids.agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
-    if stats["n"] < 2:
-        bounds: list[int] = []
-    else:
-        k = max(1, min(20_000, stats["n"] // RANGE_ROWS))
-        bounds = sorted({int(x) for x in ids.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", [i / k for i in range(1, k)], 0.2 / k)}) if k > 1 else []
+    n = ids.count()
+    k = max(1, min(MOST_RANGES, n // RANGE_ROWS))
+    bounds = sorted({int(x) for x in ids.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", [i / k for i in range(1, k)], 0.2 / k)}) if k > 1 else []
     # range 0 holds rows without doc_id, then ranges go upwards
-    part = F.when(F.col("doc_id").isNull(), 0).otherwise(F.lit(1) + _rank(F.col("doc_id"), bounds)).cast("int")
-    docs = docs.withColumn("part", part)
-    # the row that comes last of those below a range follows the range's own last row
-    tops = {r["part"]: r["top"] for r in docs.groupBy("part").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.sha2("text", 256).alias("hash"))).alias("top")).collect()}
-    parts = sorted(tops)
-    above = {p: (parts[i + 1] if i + 1 < len(parts) else parts[0]) for i, p in enumerate(parts)}
-    if not parts:
-        return docs.withColumn("ghost", F.lit(False))
-    pairs = [(p, above[p], int(tops[p]["id"]), tops[p]["hash"]) for p in parts]
-    small = docs.sparkSession.createDataFrame(pairs, "part int, above int, top long, hash string")  # a row for each range
-    ghosts = docs.join(F.broadcast(small), "part").where("coalesce(doc_id, -9223372036854775808L) = top and sha2(text, 256) = hash")
-    ghosts = ghosts.select("doc_id", "text", F.col("above").alias("part"), F.lit(True).alias("ghost"))
-    return docs.withColumn("ghost", F.lit(False)).unionByName(ghosts)
+    own = F.when(F.col("doc_id").isNull(), 0).otherwise(F.lit(1) + _rank(F.col("doc_id"), bounds)).cast("int")
+    tops = docs.select(own.alias("part"), "doc_id").groupBy("part").agg(F.max("doc_id").alias("top")).orderBy("part").collect()  # a row for each range
+    if not tops:
+        return docs.select(F.lit(0).alias("part"), "doc_id", "text", F.lit(False).alias("ghost"))
+    parts = [r["part"] for r in tops]
+    ends = [(r["part"], parts[(i + 1) % len(parts)], r["top"]) for i, r in enumerate(tops)]
+    small = docs.sparkSession.createDataFrame(ends, "part int, above int, top long")
+    placed = docs.withColumn("part", own).join(F.broadcast(small), "part")
+    here, there = (F.struct(F.col(c).alias("part"), F.lit(ghost).alias("ghost")) for c, ghost in (("part", False), ("above", True)))
+    spots = F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("top")), F.array(here, there)).otherwise(F.array(here)))
+    return placed.select("doc_id", "text", spots.alias("spot")).select("spot.part", "doc_id", "text", "spot.ghost")
 
 
 def _rank(x, bounds: list[int]):
-    """How many bounds are at or below x, by a balanced tree of comparisons."""
+    """How many bounds are at or below x, by bisection of a literal array."""
     if not bounds:
         return F.lit(0)
+    known, low, high = F.lit(bounds).cast("array<long>"), F.lit(0), F.lit(len(bounds))
 
-    def tree(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(x >= bounds[mid], tree(mid + 1, hi)).otherwise(tree(lo, mid))
+    def halve(s, _):
+        mid = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        up = F.coalesce(F.get(known, mid) <= x, F.lit(False)) & (s["low"] < s["high"])
+        return F.struct(F.when(up, mid + 1).otherwise(s["low"]).alias("low"), F.when(up, s["high"]).otherwise(mid).alias("high"))
 
-    return tree(0, len(bounds))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1)), F.struct(low.alias("low"), high.alias("high")), halve)["low"]
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, bits long"
@@ -108,8 +106,8 @@ SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 def fingerprints(docs: DataFrame) -> DataFrame:
     """For every document: its fingerprint, its edited text's digest and fingerprint, and the next document's fingerprint.
 
-    The next document is that of the next smaller doc_id, ties by the text's
-    SHA-256; rows without doc_id come last; after the last comes the first.
+    The next document is that of the next smaller doc_id, ties by a hash of the
+    text; rows without doc_id come last; after the last comes the first.
     """
     placed = _with_neighbours(docs)
     arrow = arrow_schema(SCHEMA)
@@ -144,7 +142,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         if out:
             yield frame(out)
 
-    order = [F.col("part"), F.col("ghost"), F.col("doc_id").desc_nulls_last(), F.sha2("text", 256).desc()]
+    order = [F.col("part"), F.col("ghost"), F.col("doc_id").desc_nulls_last(), F.xxhash64("text").desc()]
     return placed.repartition("part").sortWithinPartitions(*order).select("part", "doc_id", "text", "ghost").mapInArrow(run, SCHEMA)
 
 
