@@ -9,15 +9,17 @@ window is the fill of least slack, and going back through the bitsets gives
 the count of each length.  The longest waiting piece always takes part, so
 none waits forever.
 
-At a partition's end the pool is emptied; the last window is cut into pieces
-whose lengths are powers of two, which need no padding.  Packing needs no
+At a partition's end the pool is emptied; windows that it can't fill are cut
+into pieces whose lengths are powers of two, which need no padding.  Packing needs no
 shuffle: each task packs its own documents, with a pool of bounded size.
 Sequence ids hold the partition number, so they are unique, and a task that
 runs again gives the same rows.
 
 Edge cases: a null text counts as empty and has the end id alone; a document
 without doc_id is packed like any other; repeated rows are packed as often as
-they come; additional columns are ignored; an empty table gives no pieces.
+they come; additional columns are ignored; an empty table gives no pieces; a
+very long text is encoded whole and cut at the windows' ends.  Pieces of equal
+length are taken in the order in which they came.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-įı-ɏ]*\Z")
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _DIGIT = "0-9²³¹¼-¾"
-# The tokenizer's own rule for words, for the characters of _PLAIN.
+# Fixed value: the tokenizer's own rule for words, for the characters of _PLAIN.
 _WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\s{_LETTER}{_DIGIT}]+")
 
 
@@ -59,15 +61,16 @@ class Tokens:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def learn(self, words: list[str]) -> None:
-        """Encode new words in one call; each word's ids end at a final one."""
+    def learn(self, words: list[str]) -> bool:
+        """Encode new words in one call; each word's ids end at a final one.  False if the tokenizer parts them in another way."""
         ids = self.whole(" ".join(words))
         ends = (4 * (np.flatnonzero(self.final[ids]) + 1)).tolist()
         if len(ends) != len(words):
-            raise RuntimeError("the tokenizer parts these words in another way")
+            return False
         raw = ids.tobytes()
         for word, start, end in zip(words, [0, *ends], ends, strict=False):
             self.ids[word] = raw[start:end]
+        return True
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The texts' ids: word by word where that is sure to be the same, else at once."""
@@ -78,10 +81,9 @@ class Tokens:
         if len(self.ids) + len(new) > self.most:
             self.ids.clear()
             new = set().union(*[words[i] for i in lacking])
-        if new:
-            self.learn(sorted(new))
+        learnt = not new or self.learn(sorted(new))
         for i in lacking:
-            parts[i] = map(self.ids.__getitem__, words[i])
+            parts[i] = map(self.ids.__getitem__, words[i]) if learnt else None
         return [self.whole(t).tobytes() if p is None else b"".join(p) for t, p in zip(texts, parts, strict=True)]
 
 
