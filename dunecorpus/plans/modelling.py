@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dunecorpus.operators import modelling as ops
+from dunecorpus.operators import models, vectors
 from dunecorpus.plans import counting
 from dunecorpus.plans.cleaning import WORDS_SQL
 from dunecorpus.plans.corpus import WITH, table
@@ -54,42 +55,102 @@ def m21_backoff(spark, sf_dir):
     return a.select("h", "next", "order", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("h")), 6).alias("p"))
 
 
-_TOK = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
+_CHARS = "c AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '(?s).') AS c FROM documents), g AS (SELECT doc_id, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram FROM c)"
 
 
-@query(f"WITH d AS (SELECT item_id, unnest({_TOK}) AS token FROM benchmark), n AS (SELECT item_id, token, count(*) AS tf FROM d GROUP BY ALL), f AS (SELECT token, count(*) AS df FROM n GROUP BY token HAVING count(*) >= 2), w AS (SELECT item_id, token, tf * (ln((1 + (SELECT count(*) FROM benchmark)) / (1 + df)) + 1) AS w FROM n JOIN f USING (token)) SELECT item_id, token, round(w / sqrt(sum(w * w) OVER (PARTITION BY item_id)), 6) AS weight FROM w")
+@query(f"WITH {_CHARS}, n AS (SELECT doc_id, gram, count(*) AS tf FROM g GROUP BY ALL), f AS (SELECT gram, count(*) AS df, sum(tf) AS freq FROM n GROUP BY gram HAVING count(*) >= 2 ORDER BY freq DESC, gram LIMIT 3000), w AS (SELECT doc_id, gram, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM n JOIN f USING (gram)) SELECT doc_id, gram, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w")
 def m5_tf_idf(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("token"))
-    n = b.groupBy("item_id", "token").agg(F.count("*").alias("tf"))
-    rows = table(spark, sf_dir, "benchmark").agg(F.count("*").alias("rows"))
-    idf = n.groupBy("token").agg(F.count("*").alias("df")).where("df >= 2").join(F.broadcast(rows)).select("token", (F.ln((1 + F.col("rows")) / (1 + F.col("df"))) + 1).alias("idf"))
-    w = n.join(idf, "token").select("item_id", "token", (F.col("tf") * F.col("idf")).alias("w"))
-    return w.select("item_id", "token", F.round(F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("item_id"))), 6).alias("weight"))
+    """Weights of the 3000 most frequent character trigrams of whole lower-cased texts, of length 1 a document."""
+    return models.char_tf_idf(table(spark, sf_dir, "documents"), "doc_id", "text", 3, 3000).select("doc_id", "gram", F.round("weight", 6).alias("weight"))
 
 
 _V = "SELECT vec_id, label, list_transform(embedding, lambda x: x::double) AS v FROM embeddings"
 _NN = f"WITH e AS ({_V}), s AS (SELECT q.vec_id AS q, e.vec_id AS id, e.label, q.label AS qlabel, list_cosine_similarity(q.v, e.v) AS score FROM e q JOIN e ON q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM s)"
 
 
-def _nearest(spark, sf_dir, k):
+def _sides(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
-    return ops.nearest(q, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), k)
+    return q, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
 
 
 @query(f"{_NN} SELECT q, id, rank, round(score, 6) AS score FROM r WHERE rank <= 10")
 def j10_nearest(spark, sf_dir):
     """The stated queries' ten nearest of all vectors."""
-    return _nearest(spark, sf_dir, 10).select("q", "id", "rank", F.round("score", 6).alias("score"))
+    return vectors.nearest(*_sides(spark, sf_dir), 10).select("q", "id", "rank", F.round("score", 6).alias("score"))
 
 
-@query(f"{_NN}, k AS (SELECT q, qlabel, label, score - min(score) OVER (PARTITION BY q) + 1e-6 AS w FROM r WHERE rank <= 10), v AS (SELECT q, qlabel, label, sum(w) AS w FROM k GROUP BY ALL) SELECT q, qlabel AS truth, arg_max(label, w) AS predicted FROM v GROUP BY ALL")
+_METRIC = {"cosine": "list_cosine_similarity(a.v, b.v)", "dot": "list_inner_product(a.v, b.v)", "euclid": "-list_distance(a.v, b.v)", "ranks": "-list_sum(list_transform(list_zip(a.r, b.r), lambda z: abs(z[1] - z[2])))::DOUBLE"}
+_KNN = (
+    f"WITH e AS MATERIALIZED (SELECT vec_id, label, v, list_grade_up(list_grade_up(v)) AS r FROM ({_V})), s AS (SELECT a.vec_id AS q, b.vec_id AS id, b.label, unnest([{', '.join(repr(m) for m in _METRIC)}]) AS metric, unnest([{', '.join(_METRIC.values())}]) AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY q, metric ORDER BY round(score, 12) DESC, id) AS rank FROM s), k AS (SELECT r.*, k FROM r, (SELECT unnest([5, 10]) AS k) WHERE rank <= k), "
+    "w AS (SELECT *, unnest([true, false]) AS weighted, unnest([score - min(score) OVER (PARTITION BY q, metric, k) + 1e-6, 1.0]) AS w FROM k), v AS (SELECT q, metric, k, weighted, label, round(sum(w), 9) AS w FROM w GROUP BY ALL) "
+    "SELECT metric, k, weighted, count(*) AS asked, count(*) FILTER (p.predicted = embeddings.label) AS hits FROM (SELECT q, metric, k, weighted, arg_max(label, (w, -label)) AS predicted FROM v GROUP BY ALL) p JOIN embeddings ON vec_id = q GROUP BY ALL"
+)
+
+
+@query(_KNN)
 def m11_knn_vote(spark, sf_dir):
-    """Votes of the ten nearest, weighted by their scores."""
+    """Four metrics, five and ten neighbours, weighted or not."""
     lab = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    k = _nearest(spark, sf_dir, 10).withColumn("w", F.col("score") - F.min("score").over(Window.partitionBy("q")) + 1e-6)
-    v = k.join(lab, k["id"] == lab["vec_id"]).groupBy("q", "label").agg(F.sum("w").alias("w")).groupBy("q").agg(F.max_by("label", "w").alias("predicted"))
-    return v.join(lab.select(F.col("vec_id").alias("q"), F.col("label").alias("truth")), "q")
+    q, e = _sides(spark, sf_dir)
+    out = None
+    for metric in vectors.METRICS:
+        near = vectors.nearest(q, e, 10, metric).join(lab.withColumnRenamed("vec_id", "id"), "id").checkpoint()
+        for k in (5, 10):
+            for weighted in (True, False):
+                p = vectors.vote(near, "label", k, weighted).join(lab.withColumnRenamed("vec_id", "q"), "q")
+                row = p.agg(F.count("*").alias("asked"), F.count_if(F.col("predicted") == F.col("label")).alias("hits")).select(F.lit(metric).alias("metric"), F.lit(k).alias("k"), F.lit(weighted).alias("weighted"), "asked", "hits")
+                out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _analogy_sql(vector: str) -> str:
+    return f"WITH e AS MATERIALIZED (SELECT vec_id, {vector} AS v FROM ({_V})), t AS (SELECT c.vec_id AS q, a.vec_id AS a, b.vec_id AS b, list_transform(list_zip(a.v, b.v, c.v), lambda z: z[2] - z[1] + z[3]) AS v FROM e c JOIN e a ON a.vec_id = c.vec_id + 1 JOIN e b ON b.vec_id = c.vec_id + 2 WHERE c.vec_id % 100 = 0), s AS (SELECT q, vec_id AS id, list_cosine_similarity(t.v, e.v) AS score FROM t JOIN e ON vec_id NOT IN (q, a, b)) SELECT q, id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5"
+
+
+def _analogies(spark, sf_dir, normalised):
+    q = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), (F.col("vec_id") + 1).alias("a"), (F.col("vec_id") + 2).alias("b"), F.col("vec_id").alias("c"))
+    return vectors.analogies(q, _sides(spark, sf_dir)[1], 5, normalised).select("q", "id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(_analogy_sql("v"))
+def m25_analogies(spark, sf_dir):
+    """B - a + c on raw vectors, the three themselves excluded."""
+    return _analogies(spark, sf_dir, False)
+
+
+@query(_analogy_sql("list_transform(v, lambda x: x / sqrt(list_inner_product(v, v)))"))
+def m25_analogies_unit(spark, sf_dir):
+    """The same on vectors of length 1."""
+    return _analogies(spark, sf_dir, True)
+
+
+_HEX = lambda start: f"CAST(concat('0x', substr(md5(concat('smote-', label, '-', number)), {start}, 6)) AS BIGINT)"
+_SMOTE = (
+    f"WITH e AS MATERIALIZED (SELECT vec_id, label, v, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || vec_id), vec_id) AS place FROM ({_V})), c AS (SELECT label, count(*) AS n, max(count(*)) OVER () - count(*) AS missing FROM e GROUP BY label), m AS (SELECT label, n, unnest(range(missing)) AS number FROM c), "
+    f"d AS (SELECT label, number, 1 + {_HEX(1)} % n AS place, 1 + {_HEX(7)} % greatest(least(5, n - 1), 1) AS rank, {_HEX(13)} / 16777216.0 AS gap FROM m), "
+    "k AS (SELECT a.vec_id AS base, b.vec_id AS neighbour, b.v AS nv, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.v, b.v), 12), b.vec_id) AS rank FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id) "
+    "SELECT d.label, number, e.vec_id AS base, neighbour, round(gap, 6) AS gap, round(list_sum(list_transform(list_zip(e.v, nv), lambda z: z[1] + gap * (z[2] - z[1]))), 5) AS total FROM d JOIN e ON e.label = d.label AND e.place = d.place JOIN k ON k.base = e.vec_id AND k.rank = d.rank"
+)
+
+
+@query(_SMOTE)
+def u16_oversample(spark, sf_dir):
+    """U16: synthetic vectors between neighbours of the smaller classes."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    out = vectors.oversample(e, "label")
+    return out.select("label", "number", "base", "neighbour", F.round("gap", 6).alias("gap"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
+
+
+@query("WITH p AS (SELECT a.vec_id, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS dot, a.vec_id % 200 + 1 AS x FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) SELECT round(sum(least(1, (x / 100) ** 0.75) * (dot + 0.1 + 0.2 - ln(x)) ** 2), 4) AS loss, count(*) AS pairs FROM p")
+def m24_vector_objective(spark, sf_dir):
+    """The weighted squared error of log counts by word vectors and biases."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    other = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("context"))
+    p = e.join(other, "vec_id").select("embedding", "context", (F.col("vec_id") % 200 + 1).alias("x"))
+    loss = models.log_count_error(ops.dot(F.col("embedding"), F.col("context")), F.lit(0.1), F.lit(0.2), F.col("x"))
+    return p.agg(F.round(F.sum(loss), 4).alias("loss"), F.count("*").alias("pairs"))
 
 
 @query("WITH d AS (SELECT label, unnest(embedding)::double AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label, i, avg(x) AS m FROM d GROUP BY ALL) SELECT label, CAST(i - 1 AS BIGINT) AS dim, round(m, 6) AS mean FROM c")
