@@ -132,6 +132,21 @@ def test_pii_base_spans(spark, docs):
         assert set(filter(None, joined.split(","))) <= set(row[5].split(","))
 
 
+def test_pii_method_adds_and_refuses(spark):
+    plain = [(i, f"{sentence(i)} mail: jo{i}@mail.com, phone +1 (366) 555-{1000 + i} and {sentence(i + 500, 6)}") for i in range(60)]
+    told = [(100, "please contact jane [at] mail [dot] com today"), (101, "call my phone 366-555-9807 now"), (102, "write to bob (at) site (dot) org please")]
+    decoys = [(200, "part x366-555-9807y of the serial"), (201, "see foo[at]bar[dot]zzqq9 x"), (202, "version 1.2.3 of 2024-05-06, 12 300 000 items, ratio 3.141592653589793"), (203, "order 1234 5678 9012 345 pieces")]
+    docs = spark.createDataFrame([*plain, *told, *decoys], "doc_id long, text string")
+    got = by_id(pii.digest(pii.find_personal_data(docs)), "n_email", "n_phone", "spans")
+    assert all(got[i][:2] == (1, 1) for i, _ in plain)
+    for i, text in told:
+        assert got[i][:2] == (0, 0) and got[i][2], text
+        kind, start, stop = got[i][2].split(":")
+        assert text[int(start) : int(stop)] in ("jane [at] mail [dot] com", "366-555-9807", "bob (at) site (dot) org")
+    for i, text in decoys:
+        assert got[i][2] == "", (text, got[i])
+
+
 def test_em_separates_good_labelers():
     patterns = [((1, 1, 1, 1), 50), ((1, 1, 0, 1), 40), ((0, 0, 0, 0), 80), ((0, 1, 0, 0), 20), ((0, 0, 0, 1), 30)]
     _, rates, post = pii.expectation_maximisation(patterns)
@@ -247,6 +262,19 @@ def test_toxicity_held_out(spark):
     assert out[1000][1] == 1
 
 
+def test_toxicity_on_held_out_labels():
+    import pyarrow.parquet as pq
+
+    texts = dict(zip(*pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"]).to_pydict().values(), strict=True))
+    labels = pq.read_table("/root/testdata/sf0.1/labels.parquet", columns=["doc_id", "toxic"]).to_pylist()
+    known = [(texts[r["doc_id"]] or "", r["toxic"], zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in labels if r["doc_id"] in texts and r["toxic"] is not None]
+    machine = toxicity.fit(*map(list, zip(*[(t, y) for t, y, held in known if not held], strict=True)))
+    held = [(t, y) for t, y, h in known if h]
+    p = np.array(toxicity.score_texts([t for t, _ in held], machine, {})) >= 0.5
+    y = np.array([y for _, y in held]) == 1
+    assert (p & y).sum() / p.sum() > 0.7 and (p & y).sum() / y.sum() > 0.85, ((p & y).sum(), p.sum(), y.sum())
+
+
 # nearest neighbours
 
 
@@ -328,11 +356,35 @@ def test_url_rules_and_parts(spark):
 
 
 def test_reputation_shrinks(spark):
-    pages = spark.createDataFrame([(i, f"http://{h}/x/{i}") for i, h in enumerate(["bad.spam.test"] * 40 + ["one.spam.test"] + ["good.fine.test"] * 40 + ["new.fine.test"])], "page_id long, url string")
-    outcomes = spark.createDataFrame([(i, int(i <= 40)) for i in range(81)], "page_id long, bad int")
+    hosts = ["bad.spam.test"] * 40 + ["one.spam.test"] + ["good.fine.test"] * 40 + ["new.fine.test"] + ["bad.spam.test:8080"]
+    pages = spark.createDataFrame([(i, f"http://{h}/x/{i}", "z", 1.5) for i, h in enumerate([*hosts, *hosts[:1]])], "page_id long, url string, host string, a double")
+    outcomes = spark.createDataFrame([(i, int(i <= 40)) for i in range(81)] + [(None, 1), (3, None)], "page_id long, bad int")
     out = {r["host"]: (r["verdict"], r["host_rate"]) for r in url_reputation.judge(pages, outcomes).collect()}
+    assert url_reputation.judge(pages, outcomes).count() == len(hosts) + 1  # a repeated row and clashing columns
     assert out["bad.spam.test"][0] == "block" and out["good.fine.test"][0] == "allow"
     assert out["new.fine.test"][1] < 0.5 < out["one.spam.test"][1] < out["bad.spam.test"][1] + 0.2
+    assert all(v == "allow" for v, _ in ((r["verdict"], 0) for r in url_reputation.judge(pages, outcomes, limit=1.0).collect()))
+    unknown = {r["verdict"] for r in url_reputation.judge(pages, spark.createDataFrame([], "page_id long, bad int")).collect()}
+    assert unknown == {"allow"}
+
+
+def test_posterior_tail_like_drawn_rates(spark):
+    rng = np.random.default_rng(2)
+    shapes = [(a, b) for a in (2.5, 8.0, 40.0) for b in (3.0, 20.0, 90.0)]
+    table = spark.createDataFrame(shapes, "a double, b double")
+    for limit in (0.1, 0.3, 0.6):
+        got = {(r["a"], r["b"]): r["over"] for r in table.select("a", "b", url_reputation.surely_over(F.col("a"), F.col("b"), limit).alias("over")).collect()}
+        for a, b in shapes:
+            chance = (rng.beta(a, b, 200_000) > limit).mean()
+            if abs(chance - url_reputation.SURE) > 0.008:
+                assert got[a, b] == (chance > url_reputation.SURE), (a, b, limit, chance)
+
+
+def test_registered_domains(spark):
+    want = {"a.b.example.com": ("example.com", "com"), "x.shop.co.uk": ("shop.co.uk", "co.uk"), "co.uk": ("co.uk", "uk"), "example.com:8080": ("example.com", "com"), "w.example.org.": ("example.org", "org"), "10.0.0.7:80": ("10.0.0.7",) * 2, "localhost": ("localhost",) * 2, "": ("",) * 2}
+    domain, suffix = url_reputation.levels(F.col("h"))
+    got = {r["h"]: (r["d"], r["s"]) for r in spark.createDataFrame([(h,) for h in want], "h string").select("h", domain.alias("d"), suffix.alias("s")).collect()}
+    assert got == want
 
 
 # licences
