@@ -19,13 +19,3 @@ def title(html: Column) -> Column:
 
 def visible(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(html, HIDDEN, " "), TAG, " "), r"[ \t\r\n]+", " "))
-
-
-def has_next(html: Column) -> Column:
-    return html.rlike(r'<a [^>]*rel="next"')
-
-
-def posts(html: Column) -> Column:
-    """array of struct(post_id, body): tables whose id is ``post<number>``, with the text of their message block."""
-    p = r'(?s)<table id="post(\d+)"(?:(?!<table id="post).)*?<div id="post_message_\d+"[^>]*>(.*?)</div>'
-    return F.transform(F.arrays_zip(F.regexp_extract_all(html, F.lit(p), F.lit(1)).alias("id"), F.regexp_extract_all(html, F.lit(p), F.lit(2)).alias("body")), lambda x: F.struct(x["id"].cast("bigint").alias("post_id"), visible(F.regexp_replace(x["body"], "<br ?/?>", "\n")).alias("body")))

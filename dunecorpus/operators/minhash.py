@@ -1,10 +1,11 @@
-"""Near duplicates on character shingles by minimum hashes and banding.
+"""Near duplicates on character shingles: a banded index of minimum hashes, walked greedily in order.
 
-Equal texts fold into one before anything is paired.  A band's bucket is
-joined to its smallest member only, and labels then flow along those links
-until nothing changes, so no bucket emits all its pairs.  As in a greedy
-walk, a text that is like a later member only is not flagged.  Likeness is judged
-on the signatures (128 hashes), as the persisted index does.
+A text is a duplicate if a band of its signature equals one of a text that was
+kept before it; only kept texts enter the index.  The walk is resolved in
+rounds without pairs: a band's bucket only tells its first kept and its first
+undecided member, and each round decides all texts that these two settle.  The
+index is a table of band keys of kept texts, so it can be stored and a later
+batch walked against it.
 """
 
 from __future__ import annotations
@@ -18,7 +19,23 @@ from pyspark.sql import types as T
 from dunecorpus.functions import text as cleaning
 from dunecorpus.functions.tokens import _grams
 
-HASHES, BANDS, ROWS, THRESHOLD, PRIME = 128, 16, 8, 0.8, (1 << 61) - 1
+HASHES, THRESHOLD, PRIME = 128, 0.8, (1 << 61) - 1
+
+
+def banding(threshold: float, hashes: int, steps: int = 400) -> tuple[int, int]:
+    """(bands, rows) whose chance curve errs least, false and missed pairs weighing the same."""
+    s = (np.arange(steps) + 0.5) / steps
+    best = None
+    for bands in range(1, hashes + 1):
+        for rows in range(1, hashes // bands + 1):
+            met = 1 - (1 - s**rows) ** bands
+            error = float(np.where(s < threshold, met, 1 - met).sum())
+            if best is None or error < best[0]:
+                best = (error, bands, rows)
+    return best[1], best[2]
+
+
+BANDS, ROWS = banding(THRESHOLD, HASHES)
 _rng = np.random.RandomState(1)
 _A = _rng.randint(1, 1 << 31, HASHES).astype(np.uint64)
 _B = _rng.randint(0, 1 << 31, HASHES).astype(np.uint64)
@@ -29,40 +46,59 @@ def _signature(t: str) -> np.ndarray:
 
     x = np.fromiter((xxhash.xxh32_intdigest(g.encode("utf-8", "surrogatepass")) >> 1 for g in _grams(t, 4)), np.uint64)
     out = np.full(HASHES, 0xFFFFFFFF, np.uint64)
-    for i in range(0, len(x), 4096):
-        out = np.minimum(out, (((x[i : i + 4096, None] * _A + _B) % PRIME) & 0xFFFFFFFF).min(0))
+    for i in range(0, len(x), 256):
+        out = np.minimum(out, (((x[i : i + 256, None] * _A + _B) % PRIME) & 0xFFFFFFFF).min(0))
     return out
 
 
-@F.pandas_udf(T.StructType().add("sig", T.ArrayType(T.LongType())).add("digest", T.StringType()).add("bands", T.ArrayType(T.StringType())))
+def band_keys(s: np.ndarray) -> list[str]:
+    return [f"{b}:{s[b * ROWS : b * ROWS + ROWS].tobytes().hex()}" for b in range(BANDS)]
+
+
+@F.pandas_udf(T.StructType().add("digest", T.StringType()).add("bands", T.ArrayType(T.StringType())))
 def _sign(texts: pd.Series) -> pd.DataFrame:
+    import xxhash
+
     rows = []
     for t in texts:
         s = _signature(t or "").astype(np.int64)
-        rows.append((s.tolist(), "".join(f"{v:08x}" for v in s[:8]), [f"{b}:{s[b * ROWS : b * ROWS + ROWS].tobytes().hex()}" for b in range(BANDS)]))
-    return pd.DataFrame(rows, columns=["sig", "digest", "bands"])
+        keys = [xxhash.xxh3_128_hexdigest(k) for k in band_keys(s)] if t else []
+        rows.append(("".join(f"{v:08x}" for v in s[:8]), keys))
+    return pd.DataFrame(rows, columns=["digest", "bands"])
 
 
 def signatures(df: DataFrame, id_column: str, text: str) -> DataFrame:
-    """(id, sig, digest, bands); a null text counts as empty."""
+    """(id, digest, bands); a null text counts as empty, and an empty one is like no other: it has no bands."""
     return df.select(id_column, _sign(cleaning.shingle_form(F.coalesce(text, F.lit("")))).alias("s")).select(id_column, "s.*")
 
 
+def walk(signed: DataFrame, id_column: str, index: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """((id, duplicate) of all rows, in the order of their ids; (band) keys of the kept ones) against an index (band)."""
+    posted = signed.select(F.col(id_column).alias("id"), F.explode("bands").alias("band")).checkpoint()
+    state = signed.select(F.col(id_column).alias("id"), (F.size("bands") == 0).alias("kept"), F.lit(False).alias("gone")).checkpoint()
+    if index is not None:
+        known = posted.join(index.select("band").distinct(), "band", "left_semi").select("id").distinct().withColumn("_hit", F.lit(True))
+        state = state.join(known, "id", "left").select("id", "kept", F.coalesce("_hit", F.lit(False)).alias("gone")).checkpoint()
+    while not state.where("not kept and not gone").isEmpty():
+        now = posted.join(state.where("not gone"), "id")
+        bucket = now.groupBy("band").agg(F.min(F.when(F.col("kept"), F.col("id"))).alias("_kept"), F.min(F.when(~F.col("kept"), F.col("id"))).alias("_open"))
+        seen = now.where("not kept").join(bucket, "band").groupBy("id").agg(F.bool_or(F.coalesce(F.col("_kept") < F.col("id"), F.lit(False))).alias("_gone"), F.bool_and(F.col("_open") == F.col("id")).alias("_first"))
+        state = state.join(seen, "id", "left").select("id", (F.col("kept") | F.coalesce(F.col("_first") & ~F.col("_gone"), F.lit(False))).alias("kept"), (F.col("gone") | F.coalesce("_gone", F.lit(False))).alias("gone")).checkpoint()
+    return state.select("id", F.col("gone").alias("duplicate")), posted.join(state.where("kept").select("id"), "id").select("band")
+
+
 def duplicates(df: DataFrame, id_column: str, text: str) -> DataFrame:
-    """(id, first): each document that has an earlier member in its class, and the class's first."""
-    form = df.select(F.col(id_column).alias("id"), cleaning.shingle_form(F.coalesce(text, F.lit(""))).alias("t"))
-    keyed = form.select("id", F.sha2("t", 256).alias("key"), "t")
-    rep = keyed.groupBy("key").agg(F.min("id").alias("first"), F.min("t").alias("t")).where("t <> ''").select("first", _sign("t").alias("s")).select("first", "s.*").persist()
-    banded = rep.select("first", "sig", F.explode("bands").alias("band"))
-    head = banded.groupBy("band").agg(F.min_by(F.struct(F.col("first").alias("h"), F.col("sig").alias("hsig")), "first").alias("head")).select("band", "head.*")
-    alike = F.size(F.filter(F.zip_with("sig", "hsig", lambda a, b: a == b), lambda x: x)) / HASHES
-    links = banded.join(head, "band").where("first > h").where(alike >= THRESHOLD).select("first", "h").distinct()
-    label = links.groupBy("first").agg(F.min("h").alias("to")).checkpoint()
-    while True:
-        up = label.alias("b").select(F.col("first").alias("to"), F.col("to").alias("next"))
-        new = label.join(up, "to", "left").select("first", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")).checkpoint()
-        label = new.drop("moved")
-        if new.where("moved").isEmpty():
-            break
-    members = keyed.groupBy("key").agg(F.min("id").alias("first")).join(keyed.select("key", "id"), "key").join(label, "first", "left")
-    return members.select("id", F.coalesce("to", "first").alias("first")).where("id > first")
+    """(id, duplicate) of a table walked on its own."""
+    return walk(signatures(df, id_column, text), id_column)[0]
+
+
+def walk_batch(df: DataFrame, id_column: str, text: str, path: str, batch: int) -> DataFrame:
+    """(id, duplicate) of a batch against the index stored under ``path``; what is kept joins it as batch number ``batch``.
+
+    A batch that runs again overwrites its own part and doesn't see it.
+    """
+    spark = df.sparkSession
+    stored = spark.read.schema("band string, batch int").parquet(path).where(F.col("batch") < batch) if batch > 0 else None
+    found, kept = walk(signatures(df, id_column, text), id_column, stored)
+    kept.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    return found

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -18,29 +19,127 @@ _LINK = quoted(html.LINK)
 
 
 def scratch(spark, name: str) -> str:
-    """A fresh folder that driver and executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="dunecorpus-")
+    """A fresh folder that driver and executors share; a local session that names none gets a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="dunecorpus-")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(spark, name: str, lines: list[str], folder: str = "") -> str:
+    """A fresh folder with one text file of these lines."""
+    at = scratch(spark, name)
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(f"{at}{folder}")
+    return at
+
+
 @query(f"WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, {_LINK}, 1)) AS href, unnest(regexp_extract_all(html, {_LINK}, 2)) AS title FROM pages) SELECT page_id, href, min(title) AS title, count(*) AS n FROM l WHERE trim(title) <> '' GROUP BY ALL")
-def h2_links(spark, sf_dir):
-    """H1 and H2."""
+def s11_page_links(spark, sf_dir):
+    """Every titled link of the pages, by simple markup."""
     p = table(spark, sf_dir, "pages").select("page_id", F.inline(html.links(F.col("html"))).alias("href", "title"))
     return p.groupBy("page_id", "href").agg(F.min("title").alias("title"), F.count("*").alias("n"))
 
 
-@query(f"SELECT page_id, regexp_extract(html, '{html.TITLE}', 1) AS title, regexp_matches(html, '<a [^>]*rel=\"next\"') AS has_next, md5(trim({r(r(r('html', html.HIDDEN, ' '), html.TAG, ' '), chr(91) + ' \\t\\r\\n]+', ' ')})) AS digest FROM pages")
-def h4_page_text(spark, sf_dir):
-    """H3 to H5: title, paging and visible text."""
+@query(f"SELECT page_id, regexp_extract(html, '{html.TITLE}', 1) AS title, md5(trim({r(r(r('html', html.HIDDEN, ' '), html.TAG, ' '), chr(91) + ' \\t\\r\\n]+', ' ')})) AS digest FROM pages")
+def s11_page_text(spark, sf_dir):
+    """Title and visible text of the pages."""
     h = F.col("html")
-    return table(spark, sf_dir, "pages").select("page_id", html.title(h).alias("title"), html.has_next(h).alias("has_next"), F.md5(html.visible(h)).alias("digest"))
+    return table(spark, sf_dir, "pages").select("page_id", html.title(h).alias("title"), F.md5(html.visible(h)).alias("digest"))
+
+
+_BROKEN = ['{"doc_id": 1, "text": "good"}', '{"doc_id": 2, "text": "cut o', "", '{"doc_id": 3, "text": "a"}{"doc_id": 4, "text": "glued"}', "not json", '{"doc_id": 5, "text": null}']
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 'good', NULL), (3, 'a', NULL), (5, NULL, NULL), (NULL, NULL, '{\"doc_id\": 2, \"text\": \"cut o'), (NULL, NULL, 'not json')) v(doc_id, text, corrupt)")
+def s2_tolerant_json(spark, sf_dir):
+    """Malformed lines come as they are, to be counted; blank ones don't."""
+    return readers.json_lines(spark, written(spark, "broken", _BROKEN), "doc_id long, text string").select("doc_id", "text", F.col("_corrupt").alias("corrupt"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id < 130")
+def s4_first_records(spark, sf_dir):
+    """Records across files in order until there are enough."""
+    at = scratch(spark, "limit")
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    for part in range(4):
+        d.where((F.col("doc_id") >= 50 * part) & (F.col("doc_id") < 50 * (part + 1))).coalesce(1).sortWithinPartitions("doc_id").write.json(f"{at}/{part}")
+    return readers.first_records(spark, f"{at}/*/*.json", "doc_id long", 130)
+
+
+@query("SELECT length(text) AS value FROM documents WHERE text IS NOT NULL")
+def s5_number_of_lines(spark, sf_dir):
+    """One field of JSON lines without parsing them."""
+    at = scratch(spark, "lengths")
+    table(spark, sf_dir, "documents").where("text is not null").select("text", F.length("text").alias("token_count")).write.json(at)
+    return readers.numbers_of_lines(spark, at, "token_count")
+
+
+@query("SELECT * FROM (VALUES ('POS', 'very, very good'), ('NEG', 'no')) v(label, text)")
+def s6_labelled_csv(spark, sf_dir):
+    return readers.labelled_csv(spark, written(spark, "csv", ["POS,very, very good", "no comma here", "NEG,no"]))
+
+
+@query("SELECT * FROM (VALUES ('s1', 'POS'), ('s 2', 'MIX')) v(key, label)")
+def s7_key_labels(spark, sf_dir):
+    return readers.key_labels(spark, written(spark, "tsv", ["ID\tlabel", "# sent_id = s1\tPOS", "# sent_id = s 2\tMIX"]))
+
+
+_CONLLU = ["# sent_id = s1", "# text = wach rak", "1-2\twachrak\t_\t_\t_\t_\t_\t_\t_\t_", "1\twach\t_\tADV\t_\t_\t_\t_\t_\tlang=ar|x", "2\trak\t_\tVERB\t_\t_\t_\t_\t_\t_", "", "# sent_id = s2", "# text = oui", "1\toui\t_\tINTJ\t_\t_\t_\t_\t_\tlang=fr_FR", "1.1\tx\t_\tX\t_\t_\t_\t_\t_\t_"]
+
+
+@query("SELECT * FROM (VALUES ('s1', 'wach rak', 'wach rak', 'ADV VERB', 'ar '), ('s2', 'oui', 'oui', 'INTJ', 'fr_FR')) v(sent_id, text, forms, tags, langs)")
+def s8_treebank(spark, sf_dir):
+    """S8 and P28."""
+    t = readers.treebank(spark, written(spark, "conllu", _CONLLU))
+    return t.select("sent_id", "text", *[F.array_join(c, " ").alias(c) for c in ("forms", "tags", "langs")])
+
+
+_YAML = ["# seeds", "daily: 10000", "channels:", "  - '@one'", "  - two # the second", "state:", "  done: true", "  last:", "    id: 77"]
+
+
+@query("SELECT * FROM (VALUES ('daily', '10000'), ('channels', '[\"@one\", \"two\"]'), ('state', '{\"done\": true, \"last\": {\"id\": 77}}'), ('json', '[1]')) v(name, value)")
+def s9_settings(spark, sf_dir):
+    """Configuration and state files."""
+    found = readers.settings(spark, written(spark, "yaml", _YAML)) | readers.settings(spark, written(spark, "state", ['{"json": [1]}']))
+    return spark.createDataFrame([(k, json.dumps(v)) for k, v in found.items()], "name string, value string")
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id % 2 = 1")
+def s14_atomic_replace(spark, sf_dir):
+    """A second version takes the place of the first as a whole."""
+    at, d = f"{scratch(spark, 'atomic')}/table", table(spark, sf_dir, "documents").select("doc_id", "source")
+    readers.replace_whole(d, at)
+    readers.replace_whole(d.where("doc_id % 2 = 1"), at)
+    return spark.read.parquet(at)
+
+
+@query("SELECT count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS total, 8::BIGINT AS shards, true AS dealt FROM documents")
+def s17_packed_shards(spark, sf_dir):
+    """All records are in just one of eight shards, and no shard is far from its share."""
+    at = scratch(spark, "shards")
+    readers.packed_shards(table(spark, sf_dir, "documents").select("doc_id"), at, 8, "doc_id")
+    per = spark.read.parquet(at).groupBy("shard").agg(F.count("*").alias("n"), F.sum("doc_id").alias("total"))
+    return per.agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.count("*").alias("shards"), (F.max("n") < 2 * F.avg("n")).alias("dealt"))
+
+
+_README = "# Data\n- documents: 12\n## Statistics\n* **documents**: 1,234\n* tokens : 5.5\n## Other\n- documents: 9\n"
+
+
+@query(f"SELECT replace(replace({quoted(_README)}, '1,234', count(*)::VARCHAR), '5.5', '77') AS page FROM documents")
+def s18_page_numbers(spark, sf_dir):
+    """Numbers of one section of a page are brought up to date."""
+    n = table(spark, sf_dir, "documents").agg(F.count("*").alias("n"))
+    return n.select(readers.with_numbers(F.lit(_README), "Statistics", {"documents": F.col("n"), "tokens": F.lit(77)}).alias("page"))
 
 
-@query("SELECT page_id FROM pages WHERE contains(lower(html), 'login') OR contains(lower(html), 'cookie')")
-def f11_permission_marker(spark, sf_dir):
-    low = F.lower("html")
-    return table(spark, sf_dir, "pages").where(low.contains("login") | low.contains("cookie")).select("page_id")
+@query("WITH p AS (SELECT 'f' || doc_id AS path, CASE WHEN doc_id % 2 = 0 THEN length(text) END AS bytes, doc_id FROM documents) SELECT path, bytes, CASE WHEN bytes IS NULL THEN 'gone' WHEN doc_id % 3 <> 0 THEN 'upload' WHEN doc_id % 4 = 0 THEN 'upload again' ELSE 'may be deleted' END AS action, '2024-05-01' AS day FROM p")
+def s20_archive_plan(spark, sf_dir):
+    """What a verified archive would let go, as a dry run."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("f"), "doc_id").alias("path"), F.length("text").alias("bytes"))
+    archived = d.where("doc_id % 3 = 0").select("path", (F.col("bytes") + F.when(F.col("doc_id") % 4 == 0, 1).otherwise(0)).alias("bytes"))
+    return readers.archive_plan(d, d.where("doc_id % 2 = 0").select("path", "bytes"), archived, "2024-05-01")
 
 
 @query("SELECT doc_id, text, source FROM documents WHERE text IS NOT NULL")

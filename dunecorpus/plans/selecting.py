@@ -139,7 +139,19 @@ def d2_minhash(spark, sf_dir):
 
 @query()
 def d4_near_duplicates(spark, sf_dir):
-    """Documents whose class of likeness 0.8 on character shingles has an earlier member, with that class."""
+    """Which documents a greedy walk in the order of their ids drops; tests hold it against a plain walk."""
     from dunecorpus.operators import minhash
 
     return minhash.duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query()
+def i3_persisted_index(spark, sf_dir):
+    """Three batches walked against the stored index drop what one walk over all drops."""
+    from dunecorpus.operators import minhash
+    from dunecorpus.plans.connecting import scratch
+
+    at, d = scratch(spark, "bands"), table(spark, sf_dir, "documents")
+    third = d.agg(F.max("doc_id")).first()[0] // 3 + 1
+    parts = [minhash.walk_batch(d.where(F.floor(F.col("doc_id") / third) == b), "doc_id", "text", at, b).checkpoint() for b in range(3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
