@@ -165,6 +165,14 @@ def a46_spearman(spark, sf_dir):
     return ops.average_rank(ops.average_rank(x, "a", "ra"), "b", "rb").agg(F.round(F.corr("ra", "rb"), 6).alias("rho"))
 
 
+@query("WITH x AS (SELECT lang, length(text) AS a, n_chars % 97 AS b, doc_id % 13 = 0 AS missing FROM documents), k AS (SELECT * FROM x WHERE NOT missing AND a IS NOT NULL AND b IS NOT NULL), r AS (SELECT lang, rank() OVER (PARTITION BY lang ORDER BY a) + (count(*) OVER (PARTITION BY lang, a) - 1) / 2 AS ra, rank() OVER (PARTITION BY lang ORDER BY b) + (count(*) OVER (PARTITION BY lang, b) - 1) / 2 AS rb FROM k), c AS (SELECT lang, round(corr(ra, rb), 6) AS rho, count(*) AS pairs FROM r GROUP BY lang) SELECT lang, rho, coalesce(pairs, 0) AS pairs, skipped FROM (SELECT lang, count(*) FILTER (missing OR a IS NULL OR b IS NULL) AS skipped FROM x GROUP BY lang) LEFT JOIN c USING (lang)")
+def a46_spearman_by_category(spark, sf_dir):
+    """Rank correlation of each category's pairs, and how many pairs lack a value."""
+    x = table(spark, sf_dir, "documents").select("lang", F.length("text").alias("a"), (F.col("n_chars") % 97).alias("b"), (F.col("doc_id") % 13 == 0).alias("missing"))
+    x = x.select("lang", F.when(~F.col("missing"), F.col("a")).alias("a"), F.when(~F.col("missing"), F.col("b")).alias("b"))
+    return ops.rank_correlation(x, "lang", "a", "b").select("lang", F.round("rho", 6).alias("rho"), "pairs", "skipped")
+
+
 @query("WITH c AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL), i AS (SELECT sum(n * (n - 1) / 2) AS s FROM c), a AS (SELECT sum(n * (n - 1) / 2) AS s FROM (SELECT sum(n) AS n FROM c GROUP BY lang)), b AS (SELECT sum(n * (n - 1) / 2) AS s FROM (SELECT sum(n) AS n FROM c GROUP BY source)), e AS (SELECT a.s * b.s / (SELECT sum(n) * (sum(n) - 1) / 2 FROM c) AS x FROM a, b) SELECT round((i.s - x) / ((a.s + b.s) / 2 - x), 6) AS ari FROM i, a, b, e")
 def a47_rand_index(spark, sf_dir):
     return ops.rand_index(table(spark, sf_dir, "documents"), "lang", "source")
