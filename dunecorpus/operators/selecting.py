@@ -100,3 +100,22 @@ def nearest_to_centroid(df: DataFrame, by: str, id_column: str, vector: str) ->
     apart = F.aggregate(F.zip_with(vector, "_centre", lambda x, c: (x - c) * (x - c)), F.lit(0.0), lambda s, x: s + x)
     near = df.join(centre, by).select(by, id_column, apart.alias("distance"))
     return near.groupBy(by).agg(F.min_by(id_column, F.struct("distance", id_column)).alias(id_column), F.min("distance").alias("distance"))
+
+
+def walk_tree(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, parent, category, depth) of all that ``links`` (parent, place, child) reach from ``roots`` (id, place, category), level by level.
+
+    What is met more than once belongs to the parent that a queue would take
+    first: the path of places decides.  Each level is one join against what is
+    new, so there is no limit on depth, and cycles end.
+    """
+    key = F.array(F.col("place").cast("long"))
+    now = roots.groupBy("id").agg(F.min(F.struct(key.alias("path"), F.lit(None).cast(links.schema["parent"].dataType).alias("parent"), "category")).alias("r")).select("id", "r.*", F.lit(0).alias("depth")).checkpoint()
+    seen, depth = now, 0
+    while not now.isEmpty():
+        depth += 1
+        step = links.join(now.select(F.col("id").alias("parent"), "path", "category"), "parent")
+        step = step.groupBy(F.col("child").alias("id")).agg(F.min(F.struct(F.concat("path", key).alias("path"), "parent", "category")).alias("r"))
+        now = step.join(seen.select("id"), "id", "left_anti").select("id", "r.*", F.lit(depth).alias("depth")).checkpoint()
+        seen = seen.unionByName(now)
+    return seen.select("id", "parent", "category", "depth")

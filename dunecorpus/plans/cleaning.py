@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dunecorpus.functions import chars as C
@@ -225,5 +226,14 @@ PREVALENCE = {"url": (text.URL, text.URL), "mention": (text.MENTION, text.MENTIO
 
 @query(f"{WITH} SELECT source, " + ", ".join(f"round(100.0 * avg(regexp_matches(text, {quoted(p[1])})::int), 6) AS {k}" for k, p in PREVALENCE.items()) + " FROM corpus GROUP BY source")
 def p29_prevalence(spark, sf_dir):
-    """The share of texts, in percent, that each noise pattern is found in."""
+    """The share of texts, in percent, that each noise pattern is found in."""
     return corpus(spark, sf_dir).groupBy("source").agg(*[F.round(F.avg(F.col("text").rlike(p[0]).cast("int")) * 100, 6).alias(k) for k, p in PREVALENCE.items()])
+
+
+@query(f"{WITH}, h AS (SELECT doc_id, unnest([{', '.join(quoted(k) for k in PREVALENCE)}]) AS pattern, unnest([{', '.join(f'regexp_matches(text, {quoted(p[1])})' for p in PREVALENCE.values())}]) AS hit FROM corpus), r AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY doc_id) AS place, count(*) OVER (PARTITION BY pattern) AS hits FROM h WHERE hit) SELECT pattern, hits, doc_id FROM r WHERE place <= 3")
+def a50_examples(spark, sf_dir):
+    """How many texts each noise pattern is found in, and the first three of them."""
+    hit = [F.struct(F.lit(k).alias("pattern"), F.col("text").rlike(p[0]).alias("hit")) for k, p in PREVALENCE.items()]
+    h = corpus(spark, sf_dir).select("doc_id", F.inline(F.array(*hit))).where("hit")
+    first = h.withColumn("place", F.row_number().over(Window.partitionBy("pattern").orderBy("doc_id"))).where("place <= 3")
+    return first.join(h.groupBy("pattern").agg(F.count("*").alias("hits")), "pattern").select("pattern", "hits", "doc_id")

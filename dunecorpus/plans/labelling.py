@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dunecorpus.operators import agreement as ops
 from dunecorpus.operators import counting
+from dunecorpus.operators import selecting
 from dunecorpus.plans.corpus import table
 from dunecorpus.plans.registry import query
 
@@ -175,10 +176,11 @@ def j13_reply_parent(spark, sf_dir):
 
 @query("WITH RECURSIVE t AS (SELECT item_id AS id, 0 AS depth FROM benchmark WHERE item_id = 0 UNION ALL SELECT b.item_id, t.depth + 1 FROM t JOIN benchmark b ON b.item_id > 0 AND (b.item_id - 1) // 2 = t.id) SELECT id, CAST(depth AS BIGINT) AS depth FROM t")
 def j12_tree_walk(spark, sf_dir):
-    """Parents to children level by level: a recursive relation."""
+    """Parents to children level by level."""
     b = table(spark, sf_dir, "benchmark").select("item_id")
-    sql = "WITH RECURSIVE t AS (SELECT item_id AS id, 0L AS depth FROM {b} WHERE item_id = 0 UNION ALL SELECT c.item_id, t.depth + 1 FROM t JOIN {b} c ON c.item_id > 0 AND (c.item_id - 1) div 2 = t.id) SELECT id, depth FROM t"
-    return spark.sql(sql, b=b)
+    links = b.where("item_id > 0").select(F.expr("(item_id - 1) div 2").alias("parent"), F.col("item_id").alias("place"), F.col("item_id").alias("child"))
+    roots = b.where("item_id = 0").select(F.col("item_id").alias("id"), F.lit(0).alias("place"), F.lit("all").alias("category"))
+    return selecting.walk_tree(links, roots).select("id", F.col("depth").cast("long").alias("depth"))
 
 
 @query("WITH f AS (SELECT user_id, event_id, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type = 'error' ORDER BY ts, event_id) AS island FROM events) SELECT user_id, max(n) AS longest FROM (SELECT user_id, island, count(*) AS n FROM f WHERE bad GROUP BY ALL) GROUP BY user_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dunecorpus.functions import arabizi, captured, forum, ids, text
+from dunecorpus.operators import selecting
 from dunecorpus.plans.corpus import quoted
 from dunecorpus.plans.registry import add
 
@@ -99,3 +100,12 @@ golden("m19_byte_view", "pieces string", [(x,) for x in PIECES], lambda t: t.sel
 CLEANED = {"c1_nfkc_forms": (text.nfkc, {"ﷲ": "الله", "ﻻ": "لا", "ﻣﻦ": "من", "ﻓﻲ": "في", "عـــيد 😂 شُكْرًا": "عـــيد 😂 شُكْرًا", "ﬁ ①": "fi 1"}), "c7_phrase_runs": (text.collapse_phrases, {"يا حبيبي يا روحي " * 5: "يا حبيبي يا روحي " * 2, "هه هه": "هه هه", "abcdefghijkl" * 3 + "x": "abcdefghijkl" * 2 + "x"}), "c8_word_runs": (text.collapse_words, {"تم " * 40: "تم تم ", "لا لا لا نروح": "لا لا لا نروح", "x go go go go go home": "x go go home", "gogo go go go go go": "gogo go", "a\nb b b  b b c": "a\nb b c"})}
 for _name, (_f, _cases) in CLEANED.items():
     golden(_name, "text string", [(x,) for x in _cases], lambda t, f=_f: t.select("text", f("text").alias("left_over")), ["text", "left_over"], list(_cases.items()))
+
+# A forum tree with a cycle, a forum linked twice and one that nothing reaches.
+LINKS = [("c1", 1, "f1"), ("c1", 2, "f2"), ("c2", 1, "f3"), ("f2", 1, "f4"), ("f3", 1, "f4"), ("f3", 2, "f5"), ("f4", 1, "f1"), ("f5", 1, "c1"), ("f5", 2, "f6"), ("z", 1, "f7")]
+golden(
+    "j12_forum_tree", "parent string, place int, child string", LINKS,
+    lambda t: selecting.walk_tree(t.select("parent", "place", "child"), t.sparkSession.createDataFrame([("c1", 1, "One"), ("c2", 2, "Two")], "id string, place int, category string")),
+    ["id", "parent", "category", "depth"],
+    [("c1", None, "One", 0), ("c2", None, "Two", 0), ("f1", "c1", "One", 1), ("f2", "c1", "One", 1), ("f3", "c2", "Two", 1), ("f4", "f2", "One", 2), ("f5", "f3", "Two", 2), ("f6", "f5", "Two", 3)], "VARCHAR VARCHAR VARCHAR INT",
+)

@@ -49,12 +49,26 @@ _LM = f"{WITH}, s AS (SELECT list_concat(['<s>', '<s>'], list_concat({WORDS_SQL}
 
 @query(f"{_LM}, a AS (SELECT * FROM t UNION ALL SELECT * FROM b UNION ALL SELECT * FROM u) SELECT h, next, \"order\", round(n / sum(n) OVER (PARTITION BY h), 6) AS p FROM a")
 def m21_backoff(spark, sf_dir):
-    """The next word's distribution after stated histories."""
+    """The next word's distribution after stated histories."""
     h = spark.createDataFrame([(x,) for x in _H], "h string")
     a = ops.backoff(counting.m20_ngram_counts(spark, sf_dir), h)
     return a.select("h", "next", "order", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("h")), 6).alias("p"))
 
 
+_MASKED = ("la", "the", "der")
+
+
+@query(f"{_LM}, a AS (SELECT * FROM t UNION ALL SELECT * FROM b UNION ALL SELECT * FROM u), p AS (SELECT h, next, n FROM a WHERE next NOT IN {_MASKED}), r AS (SELECT h, next, n / sum(n) OVER (PARTITION BY h) AS p, row_number() OVER (PARTITION BY h ORDER BY n DESC, next) AS rank FROM p) SELECT h, next, round(p, 6) AS p, rank FROM r WHERE rank <= 3")
+def m28_next_words(spark, sf_dir):
+    """The three likeliest next words without the masked ones, whose share goes to the others."""
+    h = spark.createDataFrame([(x,) for x in _H], "h string")
+    a = ops.backoff(counting.m20_ngram_counts(spark, sf_dir), h).where(~F.col("next").isin(*_MASKED))
+    whole = a.groupBy("h").agg(F.sum("n").alias("whole"))
+    rank = F.row_number().over(Window.partitionBy("h").orderBy(F.desc("n"), "next")).cast("bigint")
+    best = a.withColumn("rank", rank).where("rank <= 3").join(whole, "h")
+    return best.select("h", "next", F.round(F.col("n") / F.col("whole"), 6).alias("p"), "rank")
+
+
 _CHARS = "c AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '(?s).') AS c FROM documents), g AS (SELECT doc_id, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram FROM c)"
 
 
