@@ -3,17 +3,20 @@
 Texts become words (A-Z lower-cased; anything of ASCII but letters and digits
 parts them).  The templates' words, but for common ones, form a small
 vocabulary whose document frequencies are counted over all texts.  For each
-file all its vocabulary words are looked up in the postings of the templates
-whose mandatory key phrase stands in the file, so one notice takes no votes
-from another; each posting votes for a template at a relative position (place
-in the file minus place in the template).  An alignment counts with votes from
-at least half of the template's weight, that of its own ``RARE`` words of the
-highest inverse document frequency.
+file all its vocabulary words are looked up in the templates' postings, so one
+notice takes no votes from another; each posting votes for a template at a
+relative position (place in the file minus place in the template).  A vote
+counts only where the template's mandatory key phrase stands at that position,
+give or take ``SLACK`` words.  An alignment counts with votes from at least
+half of the template's weight, that of its own ``RARE`` words of the highest
+inverse document frequency.
 
 SQL functions only; at most a few hundred word counts reach the driver.
 
 Edge cases: a null text counts as empty; rows repeat as often as in the input;
-additional columns are ignored; an empty table gives an empty result.
+additional columns are ignored; an empty table gives an empty result; a very
+long text is read whole, and running sums keep its places near linear; words of
+equal frequency are taken in alphabetical order.
 """
 
 from __future__ import annotations
@@ -45,7 +48,9 @@ TEMPLATES = (
 )
 COMMON = set("the a an of to in is are be it this that you not for with or and at by any under may use can 0 2 3 4 v".split())
 RARE = 8
-SHARE = 0.5
+SHARE, SLACK = 0.5, 3
+#: The templates' key phrases.
+KEYS = sorted({k for _, _, k in TEMPLATES})
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -82,13 +87,13 @@ def read(docs: DataFrame) -> DataFrame:
     some = F.col("norm").rlike(" (?:" + "|".join(vocabulary) + ") ")
     words = F.split(F.substring("norm", 2, 1 << 30), " ")
     held = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("at"), F.array_position(known, w).cast("int").alias("word"))), lambda s: s["word"] > 0)
-    keys = F.filter(F.array(*[F.lit(k) for k in sorted({k for _, _, k in TEMPLATES})]), lambda k: F.contains(F.col("norm"), F.concat(F.lit(" "), k, F.lit(" "))))
+    keys = F.array(*[places(F.col("norm"), k) for k in KEYS])
     return docs.select(
         "doc_id", F.monotonically_increasing_id().alias("row"),
         F.greatest(F.lit(0), F.when(F.col("norm") == "  ", 0).otherwise(blanks(F.col("norm")) - 1)).cast("long").alias("n_words"),
         *[places(F.col("norm"), p).alias(f"p{i}") for i, (p, _) in enumerate(PHRASES)],
         F.when(some, held).otherwise(F.array().cast("array<struct<at:int,word:int>>")).alias("held"),
-        F.when(some, keys).otherwise(F.array().cast("array<string>")).alias("keys"),
+        F.when(some, keys).otherwise(F.array().cast("array<array<long>>")).alias("keys"),
     )
 
 
@@ -110,11 +115,16 @@ def scan(docs: DataFrame) -> DataFrame:
         total.append(sum(idf[i] for i in rare))
     posted = F.array(*[F.array(*[F.struct(F.lit(t).alias("t"), F.lit(at).alias("pos")) for t, at in postings[w]]) for w in vocabulary])
     label = F.array(*[F.lit(x) for x, _, _ in TEMPLATES])
-    key = F.array(*[F.lit(k) for _, _, k in TEMPLATES])
+    key = F.array(*[F.lit(KEYS.index(k)) for _, _, k in TEMPLATES])
+    key_at = F.array(*[F.lit(len(words[: words.index(k)].split())) for _, words, k in TEMPLATES])
     whole = F.array(*[F.lit(x) for x in total])
-    some = rows.where((F.size("held") > 0) & (F.size("keys") > 0)).select("row", "keys", F.explode("held").alias("s"))
-    sure = F.filter(F.element_at(posted, F.col("s.word")), lambda p: F.array_contains("keys", F.element_at(key, p["t"] + 1)))
-    votes = some.select("row", "s.word", "s.at", F.explode(sure).alias("p"))
+    some = rows.where((F.size("held") > 0) & F.exists("keys", lambda k: F.size(k) > 0)).select("row", "keys", F.explode("held").alias("s"))
+
+    def stands(p: Column) -> Column:
+        wanted = F.col("s.at") - p["pos"] + F.element_at(key_at, p["t"] + 1)
+        return F.exists(F.element_at("keys", F.element_at(key, p["t"] + 1) + 1), lambda at: F.abs(at - wanted) <= SLACK)
+
+    votes = some.select("row", "s.word", "s.at", F.explode(F.filter(F.element_at(posted, F.col("s.word")), stands)).alias("p"))
     lined = votes.groupBy("row", F.col("p.t").alias("t"), (F.col("at") - F.col("p.pos")).alias("shift")).agg(F.sum(F.element_at(weight, F.col("word"))).alias("votes"))
     at = F.col("t") + 1
     fits = lined.select("row", F.element_at(label, at).alias("label"), F.least(F.lit(1.0), F.col("votes") / F.element_at(whole, at)).alias("score")).where(F.col("score") >= SHARE)
