@@ -13,14 +13,17 @@ alphabet that holds the run) and tests the run against a uniform draw from it:
 Fisher's rule combines the three.  A run that the battery rejects at
 ``REJECT`` is no random string.  For the others the question is whether
 ordinary writing could look as random: the chi-squared that writing of that
-length would have follows from how unevenly it uses the alphabet (``UNEVEN``),
-so longer runs give smaller p-values.  Benjamini-Hochberg at ``FDR`` over all
+length would have follows from how unevenly the corpus uses the alphabet
+(:func:`unevenness`, from symbol counts over all texts, within bounds), so
+longer runs give smaller p-values.  Benjamini-Hochberg at ``FDR`` over all
 candidate runs of an encoding and length band decides which are reported (kind
 ``random``; of pieces that overlap, the longest); the p-values are counted in log bins, so its threshold comes from
 a table of fixed size, and rounding up to a bin's edge keeps it conservative.
 
 Edge cases: a null text counts as empty; rows repeat as often as in the input;
-additional columns are ignored; an empty table gives an empty result.
+additional columns are ignored; an empty table gives an empty result; very long
+texts are read whole.  Of pieces that overlap and are as long, the first is
+reported; base spans of one start are in the order of the kinds.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dunecorpus.llm.common import cut, over_texts, slices
+from dunecorpus.llm.common import cut, over_texts, slices, texts
 
 BASE_KINDS = ("assign", "access", "hex")
 REJECT, FDR = 1e-3, 0.01
@@ -46,22 +49,53 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _PART = re.compile(r"[A-Za-z0-9+]+")
 
-#: Alphabets from the narrowest to the widest, and how uneven ordinary writing is on each:
-#: K * sum of squared symbol shares - 1 (0 for a uniform draw).
+_DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Alphabets from the narrowest to the widest.
 ENCODINGS = {
-    "decimal": ("0123456789", 0.6),
-    "hex": ("0123456789abcdef", 0.9),
-    "HEX": ("0123456789ABCDEF", 0.9),
-    "lower": ("abcdefghijklmnopqrstuvwxyz", 0.7),
-    "upper": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.7),
-    "letters": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 1.9),
-    "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 1.2),
-    "base36": ("abcdefghijklmnopqrstuvwxyz0123456789", 1.4),
-    "BASE36": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 1.4),
-    "base62": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 2.4),
-    "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_=", 2.6),
-}
-_PLACES = {name: {c: i for i, c in enumerate(chars)} for name, (chars, _) in ENCODINGS.items()}
+    "decimal": _DIGITS, "hex": _DIGITS + "abcdef", "HEX": _DIGITS + "ABCDEF", "lower": _LOWER, "upper": _UPPER, "letters": _UPPER + _LOWER, "base32": _UPPER + "234567",
+    "base36": _LOWER + _DIGITS, "BASE36": _UPPER + _DIGITS, "base62": _UPPER + _LOWER + _DIGITS, "base64": _UPPER + _LOWER + _DIGITS + "+/-_=",
+}
+_PLACES = {name: {c: i for i, c in enumerate(chars)} for name, chars in ENCODINGS.items()}
+#: The least and the most unevenness that writing is taken to have: long names hold more capitals and digits than
+#: the texts around them, so a corpus that hardly uses some symbols is taken for no more uneven than this.
+EVENEST = 0.05
+MOST_UNEVEN = {"decimal": 0.6, "hex": 0.9, "HEX": 0.9, "lower": 0.7, "upper": 0.7, "letters": 1.9, "base32": 1.2, "base36": 1.4, "BASE36": 1.4, "base62": 2.4, "base64": 2.6}
+
+
+def encoding_of(run: str) -> str:
+    """The smallest alphabet that holds the run."""
+    held = set(run)
+    return next((name for name, places in _PLACES.items() if held <= places.keys()), "base64")
+
+
+def encoding_of(run: str) -> str:
+    """The smallest alphabet that holds the run."""
+    held = set(run)
+    return next((name for name, places in _PLACES.items() if held <= places.keys()), "base64")
+
+
+def unevenness(docs: DataFrame) -> dict[str, float]:
+    """How unevenly the corpus uses each alphabet: K * sum of squared symbol shares - 1 (0 if all are as frequent), within bounds.
+
+    Each slice of texts gives one row of counts; 128 sums reach the driver.
+    """
+
+    def count(batches):
+        import pyarrow as pa
+
+        for part in slices(batches):
+            found = np.zeros(128, np.int64)
+            for t in texts(part):
+                found += np.bincount(np.frombuffer(t.encode("ascii", "ignore"), np.uint8), minlength=128)
+            yield pa.RecordBatch.from_arrays([pa.array([found.tolist()], pa.list_(pa.int64()))], names=["n"])
+
+    rows = docs.select("text").mapInArrow(count, "n array<long>").select(F.posexplode("n").alias("symbol", "n")).groupBy("symbol").agg(F.sum("n").alias("n")).collect()
+    counts = {r["symbol"]: r["n"] for r in rows}
+    out = {}
+    for name, chars in ENCODINGS.items():
+        own = np.array([counts.get(ord(c), 0) + 1.0 for c in chars])
+        out[name] = min(MOST_UNEVEN[name], max(EVENEST, float(len(chars) * ((own / own.sum()) ** 2).sum() - 1)))
+    return out
 
 
 def known_shapes(text: str) -> list[tuple[int, int, str]]:
@@ -86,10 +120,9 @@ def _chi2_tail(x: float, dof: float) -> float:
     return _normal_tail(((x / dof) ** (1 / 3) - (1 - 2 / (9 * dof))) / math.sqrt(2 / (9 * dof)))
 
 
-def battery(run: str) -> tuple[str, float, float]:
+def battery(run: str, uneven: dict[str, float]) -> tuple[str, float, float]:
     """(encoding, p of the battery against a uniform draw, p that writing looks so even)."""
-    held = set(run)
-    name = next((n for n, places in _PLACES.items() if held <= places.keys()), "base64")
+    name = encoding_of(run)
     places = _PLACES[name]
     x = np.array([places[c] for c in run], np.float64)
     n, k = len(x), len(places)
@@ -107,8 +140,7 @@ def battery(run: str) -> tuple[str, float, float]:
     corr = float(((x[1:] - x.mean()) * (x[:-1] - x.mean())).mean() / spread) if spread else 1.0
     p_corr = 2 * _normal_tail(abs(corr + 1 / n) * math.sqrt(n))
     fisher = -2 * sum(math.log(max(p, 1e-300)) for p in (p_chi, p_runs, p_corr))
-    uneven = ENCODINGS[name][1]
-    mean, var = k - 1 + n * uneven, 2 * (k - 1) + 4 * n * uneven
+    mean, var = k - 1 + n * uneven[name], 2 * (k - 1) + 4 * n * uneven[name]
     return name, _chi2_tail(fisher, 6), _normal_tail((mean - chi) / math.sqrt(var))
 
 
@@ -126,7 +158,7 @@ def pieces(run: str) -> list[tuple[int, int]]:
     return sorted((s for s in out if s[1] - s[0] >= SHORTEST), key=lambda s: (s[0] - s[1], s[0]))
 
 
-def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str, int, int]]:
+def candidates(text: str, base: list[tuple[int, int, str]], uneven: dict[str, float]) -> list[tuple[int, int, str, int, int]]:
     """(start, end, encoding, length band, log bin of p) of the tested runs and pieces; the bin is -1 if the battery rejects it."""
     out = []
     for m in _RUN.finditer(text):
@@ -134,7 +166,7 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
             run, start, stop = m[0][at:to], m.start() + at, m.start() + to
             if run.isdigit() or any(s <= start and stop <= e for s, e, _ in base):
                 continue
-            name, p_uniform, p_writing = battery(run)
+            name, p_uniform, p_writing = battery(run, uneven)
             if p_uniform >= REJECT:
                 out.append((start, stop, name, band(len(run)), min(60, int(-4 * math.log10(max(p_writing, 1e-15))))))
             else:
@@ -154,12 +186,12 @@ def longest(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 CANDIDATE = "array<struct<start:int,stop:int,encoding:string,band:int,bin:int>>"
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, uneven: dict[str, float]) -> DataFrame:
     """(doc_id, base, runs): spans of known shapes and tested runs, one row per document."""
 
     def read(some: list[str]):
         base = [known_shapes(t) for t in some]
-        runs = [candidates(t, b) for t, b in zip(some, base, strict=True)]
+        runs = [candidates(t, b, uneven) for t, b in zip(some, base, strict=True)]
         return (
             [[{"start": s, "stop": e, "kind": k} for s, e, k in b] for b in base],
             [[{"start": s, "stop": e, "encoding": n, "band": g, "bin": p} for s, e, n, g, p in r] for r in runs],
@@ -186,7 +218,7 @@ def thresholds(scanned: DataFrame, fdr: float = FDR) -> dict[tuple[str, int], in
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """(doc_id, base, found): arrays of structs (start, stop, kind), each ordered by start."""
-    scanned = cut(scan(docs))
+    scanned = cut(scan(docs, unevenness(docs)))
     limits = thresholds(scanned)
 
     def passes(r):
@@ -224,16 +256,17 @@ def digest(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with every secret replaced by ``MARK`` and ``n_chars``, where there is such a column, counted anew.
 
-    The first pass gathers the battery's p-values for the false-discovery
-    threshold; the second rewrites the texts with it, so no text is shuffled.
+    The first two passes gather symbol counts and the battery's p-values for the
+    false-discovery threshold; the last rewrites the texts with it, so no text is shuffled.
     """
-    limits = thresholds(cut(scan(docs).select("runs")))
+    uneven = unevenness(docs)
+    limits = thresholds(cut(scan(docs, uneven).select("runs")))
 
     def clean(text):
         if not isinstance(text, str):
             return text
         base = known_shapes(text)
-        spans = [(s, e) for s, e, _ in base] + longest([(s, e) for s, e, n, g, p in candidates(text, base) if p >= limits.get((n, g), 99)])
+        spans = [(s, e) for s, e, _ in base] + longest([(s, e) for s, e, n, g, p in candidates(text, base, uneven) if p >= limits.get((n, g), 99)])
         if not spans:
             return text
         out, at = [], 0
