@@ -215,6 +215,20 @@ def test_mixing_keeps_target_totals(spark, monkeypatch, volume):
     assert 100 * p[kept].sum(0) == pytest.approx(wanted, rel=0.05)
 
 
+def test_mixing_keeps_the_least_volume(spark):
+    rng = np.random.default_rng(11)
+    hard = np.eye(3)[rng.choice(3, 5000, p=[0.9, 0.099, 0.001])]
+    p, n = 0.99 * hard + 0.01 / 3, np.full(5000, 50)
+    members = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "n_tokens long, p array<double>")
+    volumes = []
+    for least in (0.0, 0.7):
+        rate, wanted, reached = mixing.fitted(members, (0.8, 0.1, 0.1), None, once=True, least=least)
+        r = np.array([x["r"] for x in members.select(rate.alias("r")).collect()])
+        assert (r >= 0).all() and (r <= 1 + 1e-9).all() and (n * r) @ p == pytest.approx(reached, rel=1e-3)
+        volumes.append(reached.sum() / n.sum())
+    assert volumes[0] < 0.1 and volumes[1] > 0.68
+
+
 def test_mixing_rates_shift_shares(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     out = mixing.document_rates(docs, labels).join(labels, "doc_id").toPandas()
@@ -412,6 +426,15 @@ def test_licenses_of_several_notices(spark):
     assert all(got[i] == ("",) for i, _ in plain)
 
 
+def test_key_phrases_have_to_stand_in_the_notice(spark):
+    label, notice, key = licenses.TEMPLATES[-1]
+    broken = notice.replace(key, "other words stand")
+    texts = [f"{key} of {sentence(1, 30)} {broken}", f"so {broken}", f"so {notice}", f"{sentence(2, 9)} {notice} {key}", notice.replace("subject to", "subject only to")]
+    table = spark.createDataFrame(list(enumerate(texts)) + [(100 + i, sentence(i)) for i in range(100)], "doc_id long, text string")
+    got = by_id(licenses.scan(table), "labels")
+    assert [got[i][0] for i in range(5)] == ["", "", label, label, label]
+
+
 # n-gram join
 
 
@@ -524,8 +547,42 @@ def test_glued_and_alphabetic_keys_are_found(spark):
 def test_battery_tells_random_from_writing():
     rng = np.random.default_rng(0)
     random = ["".join(rng.choice(list("0123456789abcdefghijklmnopqrstuvwxyz"), 40)) for _ in range(50)]
-    assert np.mean([secrets.battery(r)[1] > secrets.REJECT for r in random]) > 0.9
-    assert secrets.battery("a1" * 20)[1] < secrets.REJECT
+    even = dict.fromkeys(secrets.ENCODINGS, 1.0)
+    assert np.mean([secrets.battery(r, even)[1] > secrets.REJECT for r in random]) > 0.9
+    assert secrets.battery("a1" * 20, even)[1] < secrets.REJECT
+
+
+def test_unevenness_of_the_corpus(spark):
+    even = "abcdefghijklmnopqrstuvwxyz"
+    got = secrets.unevenness(spark.createDataFrame([(t,) for t in [even * 9 + "eeeeé", None, even.upper() + "A" * 99]], "text string").repartition(3))
+    lower = np.full(26, 10.0)
+    lower[4] += 4
+    assert got["lower"] == pytest.approx(max(secrets.EVENEST, 26 * ((lower / lower.sum()) ** 2).sum() - 1))
+    assert got["upper"] == secrets.MOST_UNEVEN["upper"] and all(secrets.EVENEST <= v <= secrets.MOST_UNEVEN[k] for k, v in got.items())
+
+
+def test_false_discoveries_and_power_by_length(spark):
+    """Planted random strings of three lengths among long words of writing: what is reported, and what wrongly."""
+    rng = np.random.default_rng(12)
+    chars = np.array(list(secrets.ENCODINGS["base62"]))
+    names = "session connection entity resource presentation international interest another statement retention sensor notation tenant instance assessment sentence".split()
+    texts, planted = [], []
+    for i in range(400):
+        written = "".join(w.capitalize() for w in rng.choice(names, 5)) + str(rng.integers(100))  # a long name made of words
+        key = "".join(rng.choice(chars, (24, 40, 64)[i % 3])) if i % 4 == 0 else ""
+        texts.append(f"{sentence(i, 30)} {written} {sentence(i + 900, 5)} {key}")
+        planted.append(key)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(secrets.find_secrets(table), "found")
+    hits, wrong, found = {24: [], 40: [], 64: []}, 0, 0
+    for i, (text, key) in enumerate(zip(texts, planted, strict=True)):
+        spans = [text[s["start"] : s["stop"]] for s in got[i][0]]
+        found += len(spans)
+        wrong += sum(s not in key for s in spans)
+        if key:
+            hits[len(key)].append(any(s in key and len(s) >= 0.8 * len(key) for s in spans))
+    assert wrong <= max(2, 0.05 * found), (wrong, found)
+    assert np.mean(hits[64]) > 0.9 and np.mean(hits[40]) > 0.8, {k: np.mean(v) for k, v in hits.items()}
 
 
 # packing
