@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from dunecorpus.functions import text as cleaning
 from dunecorpus.functions.tokens import _grams
+from dunecorpus.operators.staging import cut
 
 HASHES, THRESHOLD, PRIME = 128, 0.8, (1 << 61) - 1
 
@@ -74,16 +75,16 @@ def signatures(df: DataFrame, id_column: str, text: str) -> DataFrame:
 
 def walk(signed: DataFrame, id_column: str, index: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """((id, duplicate) of all rows, in the order of their ids; (band) keys of the kept ones) against an index (band)."""
-    posted = signed.select(F.col(id_column).alias("id"), F.explode("bands").alias("band")).checkpoint()
-    state = signed.select(F.col(id_column).alias("id"), (F.size("bands") == 0).alias("kept"), F.lit(False).alias("gone")).checkpoint()
+    posted = cut(signed.select(F.col(id_column).alias("id"), F.explode("bands").alias("band")))
+    state = cut(signed.select(F.col(id_column).alias("id"), (F.size("bands") == 0).alias("kept"), F.lit(False).alias("gone")))
     if index is not None:
         known = posted.join(index.select("band").distinct(), "band", "left_semi").select("id").distinct().withColumn("_hit", F.lit(True))
-        state = state.join(known, "id", "left").select("id", "kept", F.coalesce("_hit", F.lit(False)).alias("gone")).checkpoint()
+        state = cut(state.join(known, "id", "left").select("id", "kept", F.coalesce("_hit", F.lit(False)).alias("gone")))
     while not state.where("not kept and not gone").isEmpty():
         now = posted.join(state.where("not gone"), "id")
         bucket = now.groupBy("band").agg(F.min(F.when(F.col("kept"), F.col("id"))).alias("_kept"), F.min(F.when(~F.col("kept"), F.col("id"))).alias("_open"))
         seen = now.where("not kept").join(bucket, "band").groupBy("id").agg(F.bool_or(F.coalesce(F.col("_kept") < F.col("id"), F.lit(False))).alias("_gone"), F.bool_and(F.col("_open") == F.col("id")).alias("_first"))
-        state = state.join(seen, "id", "left").select("id", (F.col("kept") | F.coalesce(F.col("_first") & ~F.col("_gone"), F.lit(False))).alias("kept"), (F.col("gone") | F.coalesce("_gone", F.lit(False))).alias("gone")).checkpoint()
+        state = cut(state.join(seen, "id", "left").select("id", (F.col("kept") | F.coalesce(F.col("_first") & ~F.col("_gone"), F.lit(False))).alias("kept"), (F.col("gone") | F.coalesce("_gone", F.lit(False))).alias("gone")))
     return state.select("id", F.col("gone").alias("duplicate")), posted.join(state.where("kept").select("id"), "id").select("band")
 
 

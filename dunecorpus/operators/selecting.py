@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dunecorpus.operators.staging import cut
+
 
 def draw(id_column: str, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_column).cast("string")))
@@ -110,12 +112,12 @@ def walk_tree(links: DataFrame, roots: DataFrame) -> DataFrame:
     new, so there is no limit on depth, and cycles end.
     """
     key = F.array(F.col("place").cast("long"))
-    now = roots.groupBy("id").agg(F.min(F.struct(key.alias("path"), F.lit(None).cast(links.schema["parent"].dataType).alias("parent"), "category")).alias("r")).select("id", "r.*", F.lit(0).alias("depth")).checkpoint()
+    now = cut(roots.groupBy("id").agg(F.min(F.struct(key.alias("path"), F.lit(None).cast(links.schema["parent"].dataType).alias("parent"), "category")).alias("r")).select("id", "r.*", F.lit(0).alias("depth")))
     seen, depth = now, 0
     while not now.isEmpty():
         depth += 1
         step = links.join(now.select(F.col("id").alias("parent"), "path", "category"), "parent")
         step = step.groupBy(F.col("child").alias("id")).agg(F.min(F.struct(F.concat("path", key).alias("path"), "parent", "category")).alias("r"))
-        now = step.join(seen.select("id"), "id", "left_anti").select("id", "r.*", F.lit(depth).alias("depth")).checkpoint()
+        now = cut(step.join(seen.select("id"), "id", "left_anti").select("id", "r.*", F.lit(depth).alias("depth")))
         seen = seen.unionByName(now)
     return seen.select("id", "parent", "category", "depth")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from dunecorpus.functions import chars as C
 from dunecorpus.operators import models
 from dunecorpus.operators import modelling as profiles
+from dunecorpus.operators.staging import cut
 from dunecorpus.plans.cleaning import SCRIPT_SQL
 from dunecorpus.plans.corpus import LITERALS, quoted, table
 from dunecorpus.plans.modelling import _CT
@@ -51,7 +52,7 @@ def m6_machines(spark, sf_dir):
 
     e = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 2).cast("double").alias("label"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     rows = e.select("vec_id", "label", "v", models.fourier_features(F.col("v"), e.first()["v"], 128, 1.0, 42).alias("kernel"), (F.col("vec_id") % 5 == 0).alias("held"))
-    rows = rows.select("label", "held", array_to_vector("v").alias("linear"), array_to_vector("kernel").alias("radial")).persist()
+    rows = cut(rows.select("label", "held", array_to_vector("v").alias("linear"), array_to_vector("kernel").alias("radial")))
     out = []
     for name, column, learner in (("linear", "linear", LinearSVC(maxIter=10)), ("radial", "radial", LinearSVC(maxIter=10)), ("forest", "linear", RandomForestClassifier(numTrees=30, seed=42))):
         fitted = learner.copy().setFeaturesCol(column).setLabelCol("label").fit(rows.where("not held"))

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from dunecorpus.functions import html, ids
+from dunecorpus.operators.staging import shared_folder
 from dunecorpus.plans.cleaning import r
 from dunecorpus.plans.corpus import quoted, table
 from dunecorpus.plans.registry import query
@@ -19,13 +19,8 @@ _LINK = quoted(html.LINK)
 
 
 def scratch(spark, name: str) -> str:
-    """A fresh folder that driver and executors share; a local session that names none gets a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        shared = tempfile.mkdtemp(prefix="dunecorpus-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder that driver and executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(spark, name: str, lines: list[str], folder: str = "") -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dunecorpus.operators import modelling as ops
 from dunecorpus.operators import models, vectors
+from dunecorpus.operators.staging import cut
 from dunecorpus.plans import counting
 from dunecorpus.plans.cleaning import WORDS_SQL
 from dunecorpus.plans.corpus import WITH, table
@@ -110,7 +111,7 @@ def m11_knn_vote(spark, sf_dir):
     q, e = _sides(spark, sf_dir)
     out = None
     for metric in vectors.METRICS:
-        near = vectors.nearest(q, e, 10, metric).join(lab.withColumnRenamed("vec_id", "id"), "id").checkpoint()
+        near = cut(vectors.nearest(q, e, 10, metric).join(lab.withColumnRenamed("vec_id", "id"), "id"))
         for k in (5, 10):
             for weighted in (True, False):
                 p = vectors.vote(near, "label", k, weighted).join(lab.withColumnRenamed("vec_id", "q"), "q")

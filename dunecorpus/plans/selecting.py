@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dunecorpus.functions import text, tokens
 from dunecorpus.operators import selecting as ops
+from dunecorpus.operators.staging import cut
 from dunecorpus.plans.cleaning import BLANKS, STRIP, WORDS_SQL, r
 from dunecorpus.plans.corpus import WITH, corpus, table
 from dunecorpus.plans import counting
@@ -114,7 +115,7 @@ _P = f"{WITH}, f AS MATERIALIZED (SELECT token, count(*) AS n FROM (SELECT unnes
 @query(f"{_P}, s AS (SELECT sum(n) AS total, sum(n ** 0.75) AS mass FROM f) SELECT token, round(least(1, sqrt(1e-3 * total / n)), 6) AS keep, CAST(round(n ** 0.75 / mass * 10000000) AS BIGINT) AS slots FROM f, s")
 def u17_subsampling(spark, sf_dir):
     """Chance to keep a frequent word, and its slots among negatives."""
-    f = counting.frequencies(spark, sf_dir).checkpoint()  # used twice: counted once
+    f = cut(counting.frequencies(spark, sf_dir))  # used twice: counted once
     s = f.agg(F.sum("n").alias("total"), F.sum(F.pow("n", F.lit(0.75))).alias("mass"))
     return f.join(F.broadcast(s)).select("token", F.round(F.least(F.lit(1.0), F.sqrt(F.col("total") * 1e-3 / F.col("n"))), 6).alias("keep"), F.round(F.pow("n", F.lit(0.75)) / F.col("mass") * 10000000).cast("bigint").alias("slots"))
 
@@ -153,5 +154,5 @@ def i3_persisted_index(spark, sf_dir):
 
     at, d = scratch(spark, "bands"), table(spark, sf_dir, "documents")
     third = d.agg(F.max("doc_id")).first()[0] // 3 + 1
-    parts = [minhash.walk_batch(d.where(F.floor(F.col("doc_id") / third) == b), "doc_id", "text", at, b).checkpoint() for b in range(3)]
+    parts = [cut(minhash.walk_batch(d.where(F.floor(F.col("doc_id") / third) == b), "doc_id", "text", at, b)) for b in range(3)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
