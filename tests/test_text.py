@@ -6,7 +6,7 @@ from dunecorpus.functions.tokens import _grams
 
 
 def test_repeated_phrases_like_the_regular_expression():
-    pattern = re.compile(r"(.{12,}?)\1{2,}", re.S)
+    pattern = re.compile(r"(.{12,}?)\1{2,}", re.S)  # fixed value: the pattern to match
     rng = random.Random(1)
     parts = ["ab", "a", "hello world ", "xxxxxxx", "abcdefghijkl", "abcdefghijklm "]
     for _ in range(500):
