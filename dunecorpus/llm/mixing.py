@@ -20,7 +20,10 @@ variable too, and as much of it is kept as the shares of the targets allow.
 Edge cases: a null text counts as empty and has no tokens, so its rate stays
 at the base rate; documents repeat as often as in the input; a domain without
 expected tokens is asked for none; additional columns
-are ignored; without labels the posteriors are uniform.
+are ignored; without labels the posteriors are uniform; an empty table gives an
+empty result; very long texts are counted whole.  A document labelled more than
+once has the largest of its domains (rude before poor before good); a draw of
+just the rate does not keep.
 """
 
 from __future__ import annotations
@@ -180,14 +183,17 @@ def settle(measure, gram: np.ndarray, want: np.ndarray, start: np.ndarray | None
         before = totals
 
 
-def fitted(members: DataFrame, targets: tuple[float, ...] = TARGETS, volume: float | None = None, once: bool = False) -> tuple[Column, np.ndarray, np.ndarray]:
+def fitted(members: DataFrame, targets: tuple[float, ...] = TARGETS, volume: float | None = None, once: bool = False, least: float = 0.0) -> tuple[Column, np.ndarray, np.ndarray]:
     """(the rate of a row of ``members`` (n_tokens, p) as an expression on its columns, tokens wanted, tokens reached).
 
     ``volume`` is the share of all tokens wanted, and the base rate; by default
     the most that the domain of the largest share can give when used once.  The
     rates of scarce domains rise as far as their targets need.  With ``once``
     no rate is over 1, and the volume is lowered until all shares hold (those
-    that rates without a bound reach, should the targets be out of reach).
+    that rates without a bound reach, should the targets be out of reach).  With
+    ``least``, a domain that holds less than its target is asked for what it
+    holds; where still under ``least`` of all tokens would be left, the shares
+    asked for move towards the present ones, by quarters, until it isn't so.
     """
     k = len(targets)
     p = [F.element_at("p", i + 1) for i in range(k)]
@@ -200,14 +206,14 @@ def fitted(members: DataFrame, targets: tuple[float, ...] = TARGETS, volume: flo
     gram = np.array([[sums[f"g{min(i, j)}{max(i, j)}"] for j in range(k)] for i in range(k)])
     now = np.array([sums[f"t{i}"] for i in range(k)])
     share = np.array(targets) / sum(targets)
-    if volume is None:
-        volume = float(min(1.0, now[share.argmax()] / share.max() / total))
-    want = np.where(now > 0, share * volume * total, 0.0)
+
+    def base(share: np.ndarray) -> float:
+        return float(min(1.0, now[share.argmax()] / share.max() / total)) if volume is None else volume
 
     def free(mu) -> Column:
-        return sum((F.lit(float(mu[i])) * p[i] for i in range(k)), F.lit(volume))
+        return sum((F.lit(float(mu[i])) * p[i] for i in range(k)), F.lit(start_rate))
 
-    top = np.inf
+    top, start_rate = np.inf, 1.0
 
     def clipped(z: Column) -> Column:
         return F.least(F.lit(top), F.greatest(F.lit(0.0), z))
@@ -224,27 +230,42 @@ def fitted(members: DataFrame, targets: tuple[float, ...] = TARGETS, volume: flo
 
     # about START_ROWS rows, drawn by their hash, reach the driver
     some = members.where("n_tokens > 0").where(F.pmod(F.xxhash64("n_tokens", "p"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, START_ROWS / sums["docs"]))).select("n_tokens", "p").collect()
-    start = None
     if some:
         own_n, own_p = np.array([r["n_tokens"] for r in some], np.float64), np.array([r["p"] for r in some])
         own_n *= total / own_n.sum()
 
-        def measure_some(mus):
-            out = []
-            for mu in mus:
-                z = volume + own_p @ mu
-                r = np.clip(z, 0, top)
-                whole = own_p[r == z]
-                out.append((float((own_n * (r * z - r * r / 2)).sum()), (own_n * r) @ own_p, (whole * own_n[r == z, None]).T @ whole))
-            return out
+    def measure_some(mus):
+        out = []
+        for mu in mus:
+            z = start_rate + own_p @ mu
+            r = np.clip(z, 0, top)
+            whole = own_p[r == z]
+            out.append((float((own_n * (r * z - r * r / 2)).sum()), (own_n * r) @ own_p, (whole * own_n[r == z, None]).T @ whole))
+        return out
 
-        start = settle(measure_some, gram, want)[0]
-    mu, want, reached = settle(measure, gram, want, start)
-    if once:
-        top = 1.0
-        start = settle(measure_some, gram, reached, lower=True)[0] if some else None
-        mu, want, reached = settle(measure, gram, reached, start, lower=True)
-    return F.when(F.col("n_tokens") > 0, clipped(free(mu))).otherwise(F.lit(volume)), want, reached
+    def solve(measure, want: np.ndarray, starts: tuple) -> list[tuple]:
+        """The solutions without a bound and, if asked for, with rates of at most 1."""
+        nonlocal top
+        top = np.inf
+        found = [settle(measure, gram, want, starts[0])]
+        if once:
+            top = 1.0
+            found.append(settle(measure, gram, found[0][2], starts[-1], lower=True))
+        return found
+
+    for part in (0.0, 0.25, 0.5, 0.75, 1.0):
+        asked = (1 - part) * share + part * now / now.sum()
+        start_rate = base(asked)
+        want = np.where(now > 0, asked * start_rate * total, 0.0)
+        if once and least:  # a domain that holds less than its target gives all it has
+            want = np.minimum(want, now)
+        near = solve(measure_some, want, (None, None)) if some else None
+        if near and once and part < 1 and near[-1][2].sum() < least * total:
+            continue  # the sample tells; all documents are asked for the shares that it can keep
+        mu, want, reached = solve(measure, want, tuple(x[0] for x in near) if near else (None, None))[-1]
+        if not once or part == 1 or reached.sum() >= 0.98 * least * total:
+            break
+    return F.when(F.col("n_tokens") > 0, clipped(free(mu))).otherwise(F.lit(start_rate)), want, reached
 
 
 def fit_rates(members: DataFrame, targets: tuple[float, ...] = TARGETS, volume: float | None = None) -> Column:
@@ -260,15 +281,17 @@ def document_rates(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...
     return members.select("doc_id", "n_tokens", *[F.element_at("p", i + 1).alias(f"p_{d}") for i, d in enumerate(DOMAINS)], rate.alias("rate"), *totals)
 
 
-def thin(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS, volume: float | None = None) -> DataFrame:
+def thin(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS, volume: float | None = None, least: float = 0.0) -> DataFrame:
     """The documents that a draw at their rate, at most 1, keeps; the draw is a hash of doc_id.
 
+    ``least`` is the part of all tokens that stays even if the targets can't be held then.
+
     Rows without a doc_id have no draw and stay.  Rows that repeat a doc_id
     share its draw, and stay or go together by the largest of their rates.
     """
     members = cut(posteriors(docs, labels))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    kept = members.withColumn("rate", fitted(members, targets, volume, once=True)[0]).where("doc_id is not null").where(draw < F.col("rate"))
+    kept = members.withColumn("rate", fitted(members, targets, volume, once=True, least=least)[0]).where("doc_id is not null").where(draw < F.col("rate"))
     ids = cut(kept.select(F.col("doc_id").alias("kept_id")).distinct())
     named = docs.join(small_or_shuffled(ids), F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
     return named.unionByName(docs.where("doc_id is null"))

@@ -22,7 +22,9 @@ Edge cases: a null text counts as empty; an empty text has the decision of no
 evidence; words over ``LONGEST`` letters are read in overlapping windows; rows
 repeat as often as in the input; a doc_id labelled more than once counts as
 toxic if any of its labels is 1; without labels of both kinds every score is
-the share of toxic labels (0.25 without any); additional columns are ignored.
+the share of toxic labels (0.25 without any); additional columns are ignored; an
+empty table gives an empty result.  Very long texts are read whole.  A score of
+just 0.5 is toxic; words of equal evidence are taken in alphabetical order.
 """
 
 from __future__ import annotations

@@ -92,8 +92,11 @@ def test_mixing_keeps_by_rate_and_draw(spark, folder, steps):
     kept = {r["doc_id"] for r in after}
     assert key(after) == key([r for r in before if r["doc_id"] in kept])
     assert sum(r["doc_id"] is None for r in after) == sum(r["doc_id"] is None for r in before)
-    shares = n[[r["doc_id"] in kept for r in members]] @ p[[r["doc_id"] in kept for r in members]]
-    assert shares / shares.sum() == pytest.approx(mixing.TARGETS, abs=0.05)
+    stay = np.array([r["doc_id"] in kept for r in members])
+    assert n[stay].sum() > (corpus_pipeline.LEAST - 0.08) * n.sum()
+    # the shares lie between those asked for and those before
+    shares, given = n[stay] @ p[stay] / n[stay].sum(), n @ p / n.sum()
+    assert all(min(a, b) - 0.05 <= x <= max(a, b) + 0.05 for x, a, b in zip(shares, corpus_pipeline.TARGETS, given, strict=True))
 
 
 def test_packing_holds_every_token(steps):
