@@ -45,7 +45,8 @@ LANDMARKS, MACHINE_WORDS = 320, 9000
 FOLDS = 5
 SYMBOLS = 64
 
-_spaced = re.compile(r"(?<!\S)(?:\w[\s.*_-]+){2,}\w(?!\S)")
+# a chain of single letters or digits; every repeat is possessive and a chain is consumed whole, so any text takes linear time
+_spaced = re.compile(r"(?<!\S)[^\W_](?![^\W_])(?:[\s.*_-]++[^\W_](?![^\W_])){2,}+")
 _inner = re.compile(r"[\W_]+")
 
 
