@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dunecorpus.llm import ann, base_sql, licenses, mixing, ngram_join, packing, pii, secrets, simhash, toxicity, url_reputation
+from dunecorpus.llm import ann, base_sql, importance, licenses, mixing, ngram_join, packing, pii, secrets, simhash, topk, toxicity, url_reputation, variants, whole_sql
 from dunecorpus.llm.common import read_table
 
 #: Name of the tokenizer file that op9 packs for.
@@ -62,8 +62,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(read_table(spark, sf_dir, "documents"))
+
+
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(read_table(spark, sf_dir, "embeddings"))
+
+
 def _own() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_mixing, op3_toxicity, op4_neighbours, op5_url_filter, op6_licenses, op7_ngram_join, op8_secrets, op9_packing, op10_simhash)}
+    return {f.__name__: f for f in (op1_pii, op2_mixing, op3_toxicity, op4_neighbours, op5_url_filter, op6_licenses, op7_ngram_join, op8_secrets, op9_packing, op10_simhash, op11_importance, op12_variants, op13_topk)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -72,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_ngram_join": base_sql.NEAR_SQL} | {name: sql for name, (_, sql) in base_sql.base_queries(_own()).items()}
+    return {"op7_ngram_join": base_sql.NEAR_SQL} | whole_sql.SQL | {name: sql for name, (_, sql) in base_sql.base_queries(_own()).items()}
