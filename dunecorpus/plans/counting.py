@@ -219,20 +219,20 @@ def w4_selection_stats(spark, sf_dir):
 
 
 _CONV = r"SELECT conv_id, turn, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM conversations"
-_POS = f"WITH c AS ({_CONV}), p AS (SELECT conv_id, turn, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM c)"
+POSITIONS = f"WITH c AS ({_CONV}), p AS (SELECT conv_id, turn, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM c)"
 
 
 def turns(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_extract_all(F.lower("text"), F.lit(C.WORD + "+"), F.lit(0)).alias("w"))
 
 
-@query(f"{_POS} SELECT a.x AS centre, b.x AS context, count(*) AS n FROM p a JOIN p b ON a.conv_id = b.conv_id AND a.turn = b.turn AND abs(a.i - b.i) BETWEEN 1 AND 8 GROUP BY ALL")
+@query(f"{POSITIONS} SELECT a.x AS centre, b.x AS context, count(*) AS n FROM p a JOIN p b ON a.conv_id = b.conv_id AND a.turn = b.turn AND abs(a.i - b.i) BETWEEN 1 AND 8 GROUP BY ALL")
 def w7_skip_gram_pairs(spark, sf_dir):
     """(centre, context) pairs within eight places."""
     return ops.window_pairs(turns(spark, sf_dir).select("w"), "w", 8).groupBy("centre", "context").agg(F.count("*").alias("n"))
 
 
-@query(f"{_POS} SELECT a.conv_id, a.turn, CAST(a.i - 1 AS INT) AS i, a.x AS centre, md5(coalesce(string_agg(b.x, ' ' ORDER BY b.i), '')) AS context FROM p a LEFT JOIN p b ON a.conv_id = b.conv_id AND a.turn = b.turn AND abs(a.i - b.i) BETWEEN 1 AND 8 GROUP BY ALL")
+@query(f"{POSITIONS} SELECT a.conv_id, a.turn, CAST(a.i - 1 AS INT) AS i, a.x AS centre, md5(coalesce(string_agg(b.x, ' ' ORDER BY b.i), '')) AS context FROM p a LEFT JOIN p b ON a.conv_id = b.conv_id AND a.turn = b.turn AND abs(a.i - b.i) BETWEEN 1 AND 8 GROUP BY ALL")
 def w6_context_windows(spark, sf_dir):
     """Each token with the list of those within eight places."""
     return ops.contexts(turns(spark, sf_dir), "w", 8).withColumn("context", F.md5(F.array_join("context", " ")))
@@ -244,7 +244,7 @@ def w10_stream_blocks(spark, sf_dir):
     return ops.stream_blocks(words(spark, sf_dir), "doc_id", "w", 129).select("block", F.md5(F.array_join("tokens", " ")).alias("digest"))
 
 
-@query(f"{_POS} SELECT a.x AS centre, b.x AS context, round(sum(1.0 / abs(a.i - b.i)), 5) AS weight FROM p a JOIN p b ON a.conv_id = b.conv_id AND a.turn = b.turn AND abs(a.i - b.i) BETWEEN 1 AND 10 GROUP BY ALL")
+@query(f"{POSITIONS} SELECT a.x AS centre, b.x AS context, round(sum(1.0 / abs(a.i - b.i)), 5) AS weight FROM p a JOIN p b ON a.conv_id = b.conv_id AND a.turn = b.turn AND abs(a.i - b.i) BETWEEN 1 AND 10 GROUP BY ALL")
 def w8_cooccurrence(spark, sf_dir):
     return ops.cooccurrence(turns(spark, sf_dir), "w", 10).withColumn("weight", F.round("weight", 5))
 
@@ -255,7 +255,7 @@ def m20_ngram_counts(spark, sf_dir):
     return ops.ngrams(words(spark, sf_dir), "w", 3)
 
 
-@query(f"{_POS}, c2 AS (SELECT conv_id, turn, (i - 1) // 64 AS chunk, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS t FROM p GROUP BY ALL) SELECT conv_id, turn, CAST(chunk AS BIGINT) AS chunk, n, md5(t) AS digest FROM c2")
+@query(f"{POSITIONS}, c2 AS (SELECT conv_id, turn, (i - 1) // 64 AS chunk, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS t FROM p GROUP BY ALL) SELECT conv_id, turn, CAST(chunk AS BIGINT) AS chunk, n, md5(t) AS digest FROM c2")
 def w12_chunks(spark, sf_dir):
     """Chunks of at most 64 tokens."""
     t = turns(spark, sf_dir).where(F.size("w") > 0)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("literal", "cleaning", "counting", "labelling", "selecting", "modelling", "connecting", "filtering", "evaluating", "classifying")
+MODULES = ("literal", "cleaning", "counting", "labelling", "selecting", "modelling", "connecting", "filtering", "evaluating", "classifying", "language")
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}

@@ -109,10 +109,7 @@ def u15_set_operations(spark, sf_dir):
     return both.unionByName(ids("benchmark", "item_id").subtract(ids("labels", "doc_id")))
 
 
-_P = f"{WITH}, f AS MATERIALIZED (SELECT token, count(*) AS n FROM (SELECT unnest({WORDS_SQL}) AS token FROM corpus) GROUP BY token)"
-
-
-@query(f"{_P}, s AS (SELECT sum(n) AS total, sum(n ** 0.75) AS mass FROM f) SELECT token, round(least(1, sqrt(1e-3 * total / n)), 6) AS keep, CAST(round(n ** 0.75 / mass * 10000000) AS BIGINT) AS slots FROM f, s")
+@query(f"{counting.FREQ} SELECT token, round(least(1, sqrt(1e-3 * sum(n) OVER () / n)), 6) AS keep, CAST(round(n ** 0.75 / sum(n ** 0.75) OVER () * 10000000) AS BIGINT) AS slots FROM freq")
 def u17_subsampling(spark, sf_dir):
     """Chance to keep a frequent word, and its slots among negatives."""
     f = cut(counting.frequencies(spark, sf_dir))  # used twice: counted once
