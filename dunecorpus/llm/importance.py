@@ -47,7 +47,9 @@ RUN = 4096
 # ASCII but letters and digits part words, A-Z are lower-cased, bytes of other characters stay
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
-BLOCK = "doc_id array<long>, n_words array<long>, start array<int>, bucket array<int>, n array<long>"
+#: A block holds documents up to so many entries; one document has at most an entry a bucket.
+ENTRIES = 1 << 15
+BLOCK = "doc_id array<long>, n_words array<long>, start array<int>, bucket array<int>, n array<int>"
 
 
 def parts(text: bytes) -> Iterator[list[bytes]]:
@@ -88,13 +90,23 @@ def matrix(rows: DataFrame, folder: str, buckets: int = BUCKETS, order: int = OR
 
     schema = arrow_schema(BLOCK)
 
+    def block_of(ids, found):
+        start = np.cumsum([0, *(len(b) for _, b, _ in found)])
+        block = [ids, [w for w, _, _ in found], start, np.concatenate([b for _, b, _ in found]), np.concatenate([n for _, _, n in found])]
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(block, schema, strict=True)], schema=schema)
+
     def run(batches):
         for part in slices(batches):
-            texts = part.column("text").cast(pa.binary()).to_pylist()
-            found = [row_of(t or b"", buckets, order) for t in texts]
-            start = np.cumsum([0, *(len(b) for _, b, _ in found)])
-            block = [part.column("doc_id").to_pylist(), [w for w, _, _ in found], start, np.concatenate([b for _, b, _ in found]), np.concatenate([n for _, _, n in found])]
-            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(block, schema, strict=True)], schema=schema)
+            ids, found, held = [], [], 0
+            for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                ids.append(doc_id)
+                found.append(row_of(text or b"", buckets, order))
+                held += len(found[-1][1])
+                if held >= ENTRIES:
+                    yield block_of(ids, found)
+                    ids, found, held = [], [], 0
+            if ids:
+                yield block_of(ids, found)
 
     rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, BLOCK).write.parquet(folder)
     return rows.sparkSession.read.parquet(folder)
@@ -139,7 +151,7 @@ def weights(blocks: DataFrame, gain: np.ndarray) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 start, bucket, n = (np.asarray(batch.column(c)[i].values) for c in ("start", "bucket", "n"))
-                ends = np.concatenate([np.zeros((2, 1), np.int64), np.cumsum([n * shipped.value[bucket], n], 1)], 1)[:, start]
+                ends = np.concatenate([np.zeros((2, 1), np.int64), np.cumsum([n * shipped.value[bucket], n], 1, np.int64)], 1)[:, start]
                 total, features = np.diff(ends)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i].values, batch.column("n_words")[i].values, pa.array(features), pa.array(total // np.maximum(features, 1))], schema=schema)
 
