@@ -2,9 +2,15 @@
 
 Known shapes (``BASE_KINDS``) are found by pattern.  The battery judges every
 other run of 16 or more letters, digits, ``+ / _ = -`` that isn't all digits,
-and its pieces of that length between ``/ _ = -``: up to ``JOINED`` parts in a
-row, and all parts up to or from a place.  It infers the encoding (the smallest
-alphabet that holds the run) and tests the run against a uniform draw from it:
+and its pieces of that length between ``/ _ = -``.  Pieces are single parts and,
+for each alphabet, the spans of parts in a row that gain most by being taken for
+a uniform draw from it and not for writing: every part has a log likelihood
+ratio (writing: the corpus's letters, whatever their case, and the changes
+between small letters, capitals and digits that names have), and the maximal
+scoring spans of a run follow in one pass, with no bound on their parts or
+places.  The battery infers the encoding (the smallest
+alphabet that holds the run) and tests the run against a uniform draw from it
+(a span of parts that is rejected, once more without what parts them):
 
 * chi-squared of the symbol counts,
 * Wald-Wolfowitz runs of symbols below and above the alphabet's middle,
@@ -12,9 +18,10 @@ alphabet that holds the run) and tests the run against a uniform draw from it:
 
 Fisher's rule combines the three.  A run that the battery rejects at
 ``REJECT`` is no random string.  For the others the question is whether
-ordinary writing could look as random: the chi-squared that writing of that
+ordinary writing could look as random (pieces within one that is surely random are not tested once
+more): the chi-squared that writing of that
 length would have follows from how unevenly the corpus uses the alphabet
-(:func:`unevenness`, from symbol counts over all texts, within bounds), so
+(:func:`written`, from symbol counts over all texts, within bounds), so
 longer runs give smaller p-values.  Benjamini-Hochberg at ``FDR`` over all
 candidate runs of an encoding and length band decides which are reported (kind
 ``random``; of pieces that overlap, the longest); the p-values are counted in log bins, so its threshold comes from
@@ -30,16 +37,23 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
+from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dunecorpus.llm.common import cut, over_texts, slices, texts
+from dunecorpus.llm.common import arrow_schema, cut, over_texts, slices, texts
 
 BASE_KINDS = ("assign", "access", "hex")
 REJECT, FDR = 1e-3, 0.01
-SHORTEST, JOINED = 16, 8
+SHORTEST = 16
+#: Pieces inside one that writing looks like with at most this chance are not tested.
+SURE = 1e-3
+#: What joining a part to the one before costs a span, in log likelihood.
+JOIN = 0.3
 MARK = "[SECRET]"
 
 # The patterns of the known shapes, from the contract.
@@ -48,37 +62,38 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _PART = re.compile(r"[A-Za-z0-9+]+")
+_BETWEEN = re.compile(r"[/_=-]+")
 
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Alphabets from the narrowest to the widest.
 ENCODINGS = {
     "decimal": _DIGITS, "hex": _DIGITS + "abcdef", "HEX": _DIGITS + "ABCDEF", "lower": _LOWER, "upper": _UPPER, "letters": _UPPER + _LOWER, "base32": _UPPER + "234567",
-    "base36": _LOWER + _DIGITS, "BASE36": _UPPER + _DIGITS, "base62": _UPPER + _LOWER + _DIGITS, "base64": _UPPER + _LOWER + _DIGITS + "+/-_=",
+    "base36": _LOWER + _DIGITS, "BASE36": _UPPER + _DIGITS, "base62": _UPPER + _LOWER + _DIGITS, "base64": _UPPER + _LOWER + _DIGITS + "+/",
+    "base64url": _UPPER + _LOWER + _DIGITS + "-_", "mixed": _UPPER + _LOWER + _DIGITS + "+/-_=",
 }
 _PLACES = {name: {c: i for i, c in enumerate(chars)} for name, chars in ENCODINGS.items()}
 #: The least and the most unevenness that writing is taken to have: long names hold more capitals and digits than
 #: the texts around them, so a corpus that hardly uses some symbols is taken for no more uneven than this.
 EVENEST = 0.05
-MOST_UNEVEN = {"decimal": 0.6, "hex": 0.9, "HEX": 0.9, "lower": 0.7, "upper": 0.7, "letters": 1.9, "base32": 1.2, "base36": 1.4, "BASE36": 1.4, "base62": 2.4, "base64": 2.6}
+MOST_UNEVEN = {"decimal": 0.6, "hex": 0.9, "HEX": 0.9, "lower": 0.7, "upper": 0.7, "letters": 1.9, "base32": 1.2, "base36": 1.4, "BASE36": 1.4, "base62": 2.4, "base64": 2.6, "base64url": 2.6, "mixed": 2.6}
 
 
 def encoding_of(run: str) -> str:
     """The smallest alphabet that holds the run."""
     held = set(run)
-    return next((name for name, places in _PLACES.items() if held <= places.keys()), "base64")
+    return next((name for name, places in _PLACES.items() if held <= places.keys()), "mixed")
 
 
-def encoding_of(run: str) -> str:
-    """The smallest alphabet that holds the run."""
-    held = set(run)
-    return next((name for name, places in _PLACES.items() if held <= places.keys()), "base64")
+@dataclass
+class Writing:
+    """How the corpus is written: its unevenness in each alphabet, and the log share of each letter, whatever its case."""
 
+    uneven: dict[str, float]
+    letters: np.ndarray
 
-def unevenness(docs: DataFrame) -> dict[str, float]:
-    """How unevenly the corpus uses each alphabet: K * sum of squared symbol shares - 1 (0 if all are as frequent), within bounds.
 
-    Each slice of texts gives one row of counts; 128 sums reach the driver.
-    """
+def symbol_counts(docs: DataFrame) -> np.ndarray:
+    """How often each ASCII symbol stands in the corpus; each slice of texts gives one row, and 128 sums reach the driver."""
 
     def count(batches):
         import pyarrow as pa
@@ -89,12 +104,92 @@ def unevenness(docs: DataFrame) -> dict[str, float]:
                 found += np.bincount(np.frombuffer(t.encode("ascii", "ignore"), np.uint8), minlength=128)
             yield pa.RecordBatch.from_arrays([pa.array([found.tolist()], pa.list_(pa.int64()))], names=["n"])
 
-    rows = docs.select("text").mapInArrow(count, "n array<long>").select(F.posexplode("n").alias("symbol", "n")).groupBy("symbol").agg(F.sum("n").alias("n")).collect()
-    counts = {r["symbol"]: r["n"] for r in rows}
-    out = {}
+    out = np.zeros(128, np.int64)
+    for r in docs.select("text").mapInArrow(count, "n array<long>").select(F.posexplode("n").alias("symbol", "n")).groupBy("symbol").agg(F.sum("n").alias("n")).collect():
+        out[r["symbol"]] = r["n"]
+    return out
+
+
+def written(counts: np.ndarray) -> Writing:
+    """From the corpus's symbol counts; unevenness is K * sum of squared symbol shares - 1 (0 if all are as frequent), within bounds."""
+    uneven = {}
     for name, chars in ENCODINGS.items():
-        own = np.array([counts.get(ord(c), 0) + 1.0 for c in chars])
-        out[name] = min(MOST_UNEVEN[name], max(EVENEST, float(len(chars) * ((own / own.sum()) ** 2).sum() - 1)))
+        own = np.array([counts[ord(c)] + 1.0 for c in chars])
+        uneven[name] = min(MOST_UNEVEN[name], max(EVENEST, float(len(chars) * ((own / own.sum()) ** 2).sum() - 1)))
+    # no letter of writing is taken for rarer than one in a thousand, or the few texts of a small corpus would be its alphabet
+    letters = np.array([counts[ord(a)] + counts[ord(b)] for a, b in zip(_LOWER, _UPPER, strict=True)], np.float64) + 1
+    letters = np.maximum(letters / letters.sum(), 1e-3)
+    return Writing(uneven, np.log(letters / letters.sum()))
+
+
+def unevenness(docs: DataFrame) -> dict[str, float]:
+    """The corpus's unevenness in each alphabet."""
+    return written(symbol_counts(docs)).uneven
+
+
+# classes of symbols: small letter, capital, digit, plus; chances of a class to begin a part, and to follow another in writing
+_CLASSES = np.full(128, 3)
+_CLASSES[97:123], _CLASSES[65:91], _CLASSES[48:58] = 0, 1, 2
+_BEGIN = np.log([0.7, 0.2, 0.09, 0.01])
+_FOLLOW = np.log([[0.93, 0.03, 0.03, 0.01], [0.5, 0.44, 0.05, 0.01], [0.08, 0.06, 0.85, 0.01], [0.3, 0.3, 0.3, 0.1]])
+_WITHIN = {name: np.isin(np.arange(128), [ord(c) for c in chars]) for name, chars in ENCODINGS.items()}
+
+
+def gains(run: str, starts: np.ndarray, ends: np.ndarray, letters: np.ndarray):
+    """For each alphabet that holds a part: (name, each part's log likelihood ratio of a uniform draw against writing)."""
+    x = np.frombuffer(run.encode("ascii"), np.uint8)
+    kind = _CLASSES[x]
+    logs = np.concatenate([letters, letters, np.full(10, -math.log(10)), [0.0]])[np.select([kind == 0, kind == 1, kind == 2], [x - 97, x.astype(int) - 65 + 26, x.astype(int) - 48 + 52], 62)]
+    logs[1:] += _FOLLOW[kind[:-1], kind[1:]]
+    logs[starts] += _BEGIN[kind[starts]]
+    after = starts[starts > 0]
+    logs[after] -= _FOLLOW[kind[after - 1], kind[after]]
+    inside = (kind < 3) | (x == ord("+"))
+    sums = np.concatenate([[0.0], np.cumsum(np.where(inside, logs, 0.0))])
+    size, writing = ends - starts, sums[ends] - sums[starts]
+    for name, within in _WITHIN.items():
+        if name == "decimal":
+            continue
+        out = np.concatenate([[0], np.cumsum(inside & ~within[x])])
+        fits = out[ends] == out[starts]
+        if fits.any():
+            yield name, np.where(fits, -size * math.log(len(ENCODINGS[name])) - writing, -np.inf)
+
+
+def spans(scores: list[float]) -> list[tuple[int, int]]:
+    """All maximal scoring spans (first, after the last), in linear time; a score of minus infinity parts them."""
+    out: list[tuple[int, int]] = []
+    held: list[tuple[int, int, float, float, int]] = []  # first, after the last, sum before, sum to the end, nearest earlier span of a smaller sum before
+    total = 0.0
+
+    def end():
+        out.extend(h[:2] for h in held)
+        held.clear()
+
+    for i, s in enumerate(scores):
+        if s == -math.inf:
+            end()
+            total = 0.0
+            continue
+        if s <= 0:
+            total += s
+            continue
+        first, before, total = i, total, total + s
+        at = len(held) - 1
+        while True:
+            while at >= 0 and held[at][2] >= before:
+                at = held[at][4]
+            if at < 0:
+                end()  # no later span reaches back past this one
+                held.append((first, i + 1, before, total, -1))
+                break
+            if held[at][3] >= total:
+                held.append((first, i + 1, before, total, at))
+                break
+            first, _, before, _, earlier = held[at]
+            del held[at:]
+            at = earlier
+    end()
     return out
 
 
@@ -148,61 +243,74 @@ def band(n: int) -> int:
     return min(12, int(4 * math.log2(n / 16)))
 
 
-def pieces(run: str) -> list[tuple[int, int]]:
-    """The whole run and its pieces to test, the longest first."""
-    out = {(0, len(run))}
+def pieces(run: str, letters: np.ndarray) -> list[tuple[int, int, bool]]:
+    """(start, stop, whether it is a scoring span of several parts) of the whole run and its pieces to test, the longest first."""
     parts = [m.span() for m in _PART.finditer(run)]
-    for i, (start, _) in enumerate(parts):
-        out.update((start, stop) for _, stop in parts[i : i + JOINED])
-        out.update(((start, parts[-1][1]), (parts[0][0], parts[i][1])))
-    return sorted((s for s in out if s[1] - s[0] >= SHORTEST), key=lambda s: (s[0] - s[1], s[0]))
+    out = dict.fromkeys([(0, len(run)), *parts], False)
+    if len(parts) > 1:
+        starts, ends = np.array(parts).T
+        for _, gain in gains(run, starts, ends, letters):
+            out.update({(parts[a][0], parts[b - 1][1]): True for a, b in spans((gain - JOIN).tolist()) if b - a > 1})
+    return sorted(((s, e, grouped) for (s, e), grouped in out.items() if e - s >= SHORTEST), key=lambda s: (s[0] - s[1], s[0]))
 
 
-def candidates(text: str, base: list[tuple[int, int, str]], uneven: dict[str, float]) -> list[tuple[int, int, str, int, int]]:
+def candidates(text: str, base: list[tuple[int, int, str]], writing: Writing) -> list[tuple[int, int, str, int, int]]:
     """(start, end, encoding, length band, log bin of p) of the tested runs and pieces; the bin is -1 if the battery rejects it."""
     out = []
+    reach = list(accumulate((e for _, e, _ in base), max))
+    starts = [s for s, _, _ in base]
     for m in _RUN.finditer(text):
-        for at, to in pieces(m[0]):
+        random: list[tuple[int, int]] = []  # no one within another
+        for at, to, grouped in pieces(m[0], writing.letters):
             run, start, stop = m[0][at:to], m.start() + at, m.start() + to
-            if run.isdigit() or any(s <= start and stop <= e for s, e, _ in base):
+            before, i = bisect_right(starts, start), bisect_right(random, (start, len(text)))
+            if run.isdigit() or (before and reach[before - 1] >= stop) or (i and random[i - 1][1] >= stop):  # within a known span, or one that looks random
                 continue
-            name, p_uniform, p_writing = battery(run, uneven)
+            name, p_uniform, p_writing = battery(run, writing.uneven)
+            bare = _BETWEEN.sub("", run)
+            if grouped and p_uniform < REJECT and SHORTEST <= len(bare) < len(run) and not bare.isdigit():  # written in groups
+                run = bare
+                name, p_uniform, p_writing = battery(run, writing.uneven)
             if p_uniform >= REJECT:
+                if p_writing <= SURE:
+                    random.insert(i, (start, stop))
                 out.append((start, stop, name, band(len(run)), min(60, int(-4 * math.log10(max(p_writing, 1e-15))))))
             else:
                 out.append((start, stop, name, band(len(run)), -1))
     return out
 
 
-def longest(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def longest(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Of spans that overlap, the longest, then the first."""
     out: list[tuple[int, int]] = []
-    for s, e in sorted(spans, key=lambda x: (x[0] - x[1], x[0])):
-        if all(e <= a or b <= s for a, b in out):
-            out.append((s, e))
-    return sorted(out)
+    for s, e in sorted(found, key=lambda x: (x[0] - x[1], x[0])):
+        i = bisect_right(out, (s, e))
+        if (i == 0 or out[i - 1][1] <= s) and (i == len(out) or e <= out[i][0]):
+            out.insert(i, (s, e))
+    return out
 
 
+SPAN = "array<struct<start:int,stop:int,kind:string>>"
 CANDIDATE = "array<struct<start:int,stop:int,encoding:string,band:int,bin:int>>"
 
 
-def scan(docs: DataFrame, uneven: dict[str, float]) -> DataFrame:
+def scan(docs: DataFrame, writing: Writing) -> DataFrame:
     """(doc_id, base, runs): spans of known shapes and tested runs, one row per document."""
 
     def read(some: list[str]):
         base = [known_shapes(t) for t in some]
-        runs = [candidates(t, b, uneven) for t, b in zip(some, base, strict=True)]
+        runs = [candidates(t, b, writing) for t, b in zip(some, base, strict=True)]
         return (
             [[{"start": s, "stop": e, "kind": k} for s, e, k in b] for b in base],
             [[{"start": s, "stop": e, "encoding": n, "band": g, "bin": p} for s, e, n, g, p in r] for r in runs],
         )
 
-    return over_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], f"base array<struct<start:int,stop:int,kind:string>>, runs {CANDIDATE}", read)
+    return over_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], f"base {SPAN}, runs {CANDIDATE}", read)
 
 
 def thresholds(scanned: DataFrame, fdr: float = FDR) -> dict[tuple[str, int], int]:
     """The smallest log bin that Benjamini-Hochberg accepts, by encoding and length band."""
-    counts = scanned.select(F.explode("runs").alias("r")).groupBy("r.encoding", "r.band", "r.bin").count().collect()  # at most 11 * 13 * 62 rows
+    counts = scanned.select(F.explode("runs").alias("r")).groupBy("r.encoding", "r.band", "r.bin").count().collect()  # at most 13 * 13 * 62 rows
     by: dict[tuple[str, int], dict[int, int]] = {}
     for r in counts:
         by.setdefault((r["encoding"], r["band"]), {})[r["bin"]] = r["count"]
@@ -218,20 +326,22 @@ def thresholds(scanned: DataFrame, fdr: float = FDR) -> dict[tuple[str, int], in
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """(doc_id, base, found): arrays of structs (start, stop, kind), each ordered by start."""
-    scanned = cut(scan(docs, unevenness(docs)))
+    import pyarrow as pa
+
+    scanned = cut(scan(docs, written(symbol_counts(docs))))
     limits = thresholds(scanned)
+    schema = f"doc_id long, base {SPAN}, found {SPAN}"
+    kind = arrow_schema(schema)
 
-    def passes(r):
-        test = F.lit(False)
-        for (encoding, length), b in sorted(limits.items()):
-            test = test | ((r["encoding"] == encoding) & (r["band"] == length) & (r["bin"] >= b))
-        return test
+    def run(batches):
+        for batch in batches:
+            found = []
+            for runs in batch.column("runs").to_pylist():
+                passed = longest([(r["start"], r["stop"]) for r in runs if r["bin"] >= limits.get((r["encoding"], r["band"]), 99)])
+                found.append([{"start": s, "stop": e, "kind": "random"} for s, e in passed])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("base"), pa.array(found, kind[2].type)], schema=kind)
 
-    spans = F.array_sort(F.transform(F.filter("runs", passes), lambda r: F.struct((r["start"] - r["stop"]).alias("less"), r["start"].alias("start"), r["stop"].alias("stop"))))
-    apart = F.aggregate(spans, F.filter(spans, lambda _: F.lit(False)), lambda a, s: F.when(F.exists(a, lambda x: (x["start"] < s["stop"]) & (s["start"] < x["stop"])), a).otherwise(F.concat(a, F.array(s))))
-    random = F.transform(apart, lambda r: F.struct(r["start"].alias("start"), r["stop"].alias("stop"), F.lit("random").alias("kind")))
-    random = F.array_sort(random)
-    return scanned.select("doc_id", "base", random.alias("found"))
+    return scanned.mapInArrow(run, schema)
 
 
 def span_rank(kinds: tuple[str, ...]):
@@ -259,14 +369,14 @@ def redact(docs: DataFrame) -> DataFrame:
     The first two passes gather symbol counts and the battery's p-values for the
     false-discovery threshold; the last rewrites the texts with it, so no text is shuffled.
     """
-    uneven = unevenness(docs)
-    limits = thresholds(cut(scan(docs, uneven).select("runs")))
+    writing = written(symbol_counts(docs))
+    limits = thresholds(cut(scan(docs, writing).select("runs")))
 
     def clean(text):
         if not isinstance(text, str):
             return text
         base = known_shapes(text)
-        spans = [(s, e) for s, e, _ in base] + longest([(s, e) for s, e, n, g, p in candidates(text, base, uneven) if p >= limits.get((n, g), 99)])
+        spans = [(s, e) for s, e, _ in base] + longest([(s, e) for s, e, n, g, p in candidates(text, base, writing) if p >= limits.get((n, g), 99)])
         if not spans:
             return text
         out, at = [], 0

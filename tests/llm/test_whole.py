@@ -218,3 +218,56 @@ def test_no_run_of_marks_hangs(mark):
 def test_letters_apart_are_read():
     assert {"idiot"} <= toxicity.chunks("you i d i o t there") and {"idiot"} <= toxicity.chunks("an I.D.I.O.T!")
     assert not {c for c in toxicity.chunks("an a b") if c == "ab"}
+
+
+def some_writing():
+    from dunecorpus.llm import secrets
+
+    prose = "my own config file name for the session used by the worker in every run and the path of the user value " * 50
+    return secrets.written(np.bincount(np.frombuffer(prose.encode(), np.uint8), minlength=128))
+
+
+def plain_spans(scores):
+    """Maximal scoring spans by their definition: the best span, then those left and right of it."""
+    best = max(((sum(scores[a:b]), a, b) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)), default=(0, 0, 0), key=lambda x: (x[0], x[1] - x[2]))
+    if best[0] <= 0:
+        return []
+    _, a, b = best
+    return plain_spans(scores[:a]) + [(a, b)] + [(x + b, y + b) for x, y in plain_spans(scores[b:])]
+
+
+def test_maximal_spans_against_their_definition():
+    from dunecorpus.llm import secrets
+
+    rng = np.random.default_rng(8)
+    for n in [0, 1, 2, *[int(x) for x in rng.integers(3, 25, 150)]]:
+        scores = rng.normal(-0.1, 1, n).tolist()
+        assert sorted(secrets.spans(scores)) == plain_spans(scores)
+    assert secrets.spans([1.0, -math.inf, 1.0, 2.0]) == [(0, 1), (2, 4)]
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    from dunecorpus.llm import secrets
+
+    rng, writing = np.random.default_rng(9), some_writing()
+    base64 = "".join(rng.choice(list(secrets.ENCODINGS["base64"][:64]), 1 << 20))
+    for text, most in ((base64, 2000), ("abcd/" * 200_000, 50), (("_" * 1000 + "a") * 1000, 50), ("/".join(rng.choice(["word", "x9Kq2", "user"], 150_000)), 20_000)):
+        began = time.process_time()
+        found = secrets.candidates(text, [], writing)
+        assert time.process_time() - began < 15 and len(found) <= most  # some seconds on an idle machine; a quadratic search takes an hour
+        secrets.longest([(s, e) for s, e, *_ in found])
+
+
+@pytest.mark.parametrize("alphabet", ["hex", "base36", "base62"])
+def test_keys_of_many_groups_are_found_between_names(alphabet):
+    from dunecorpus.llm import secrets
+
+    rng, writing, hits = np.random.default_rng(10), some_writing(), 0
+    before = "my_own_config_file_name_for_"
+    for _ in range(40):
+        key = "-".join("".join(rng.choice(list(secrets.ENCODINGS[alphabet]), 4)) for _ in range(10))
+        found = secrets.candidates(f"{before}{key}_used_by_the_worker_in_every_run", [], writing)
+        hits += any(min(e, len(before) + len(key)) - max(s, len(before)) >= 0.85 * max(e - s, len(key)) for s, e, *_ in found)
+    assert hits >= 32
