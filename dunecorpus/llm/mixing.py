@@ -3,19 +3,23 @@
 A classifier trained on the labelled table gives each document posteriors over
 domains (here: ``poor`` for quality 0, ``rude`` for toxic 1, ``good`` for the
 rest).  It is multinomial naive Bayes on hashed words, fitted on a bounded
-sample of labelled rows and tempered by text length.  Of the rates r_d >= 0
-whose expected tokens meet the targets, A r = t, those nearest to the base rate
-are taken: they minimise the token-weighted sum of (r - base)^2.  Column d of A
-is n_d tokens times the posteriors, t the target tokens.  Such rates are
-
-    r_d = max(0, base + p_d . mu)
-
-with one multiplier in mu per domain.  Newton steps on the convex dual find mu;
-a step is one distributed sum of a few numbers, and they start from the
-solution on a bounded sample.  Targets that no rates meet are met as nearly as
-can be (whitened by A's Gram matrix); steps that don't settle are an error.
-Documents kept at most once have rates of at most 1: then the volume is a
-variable too, and as much of it is kept as the shares of the targets allow.
+sample of labelled rows and tempered by text length.  Rates r_d >= 0 whose
+expected tokens A r come nearest to the targets t are fitted by projected
+gradient steps on the least squares of A r - t, from the base rate.  Column d
+of A is n_d tokens times the posteriors p_d.  With lengths as the metric of
+rates, a step is
+
+    r_d <- max(0, r_d - p_d . g),    g = M (A r - t)
+
+so a step needs A r alone: one distributed sum of a few numbers, whatever the
+number of documents, and a rate is its steps applied to its own posteriors.
+With M the inverse of A's Gram matrix (whose largest value is 1 then) a step
+never raises the squares; the inverse over the rates that the bounds leave free,
+damped by some of the former, goes further, and of a few such steps the best is taken.
+The steps of a bounded sample come first, those over all rows go on from there.
+Targets that no rates meet are met as nearly as least squares can.
+Documents kept at most once have rates of at most 1 as a second bound: then as
+much volume is asked for as the shares of the targets allow.
 
 Edge cases: a null text counts as empty and has no tokens, so its rate stays
 at the base rate; documents repeat as often as in the input; a domain without
@@ -29,6 +33,7 @@ just the rate does not keep.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -42,10 +47,10 @@ TARGETS = (0.96, 0.035, 0.005)
 #: The classifier's bound: so many labelled documents of each domain, by hash of doc_id.
 SAMPLE = 700
 BUCKETS, TEMPER = 1 << 16, 48
-#: Ridges of the dual on the way to the last, which is then centred anew and leaves nothing of a gap.
-RIDGES, ROUNDS, START_ROWS = (1e-2, 1e-4, 1e-6, 1e-8), 200, 20_000
-#: What a token of volume is worth against the squared distance from the base rate: at most 1/2000 of the wanted volume is given up for nearness.
-WORTH = 1000.0
+#: Steps at most over the sample, and over all rows; rows of the sample; when totals count as met.
+SAMPLE_ROUNDS, ROUNDS, START_ROWS, NEAR = 200, 30, 20_000, 1e-5
+#: Parts of the whole Gram matrix that are added to that of the free rates, to try steps of several lengths.
+DAMPED = (1e-9, 1e-3, 1e-2, 1e-1)
 WORD = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -122,78 +127,55 @@ def posteriors(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return over_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], "n_tokens long, p array<double>", read)
 
 
-def settle(measure, gram: np.ndarray, want: np.ndarray, start: np.ndarray | None = None, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(multipliers, totals aimed at, totals reached) for the totals ``want``.
+def descend(look, gram: np.ndarray, want: np.ndarray, rounds: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(steps, totals reached): projected gradient steps until the totals are ``want``, or come no nearer.
 
-    With ``lower``, the totals aimed at are the largest part of ``want`` that
-    can be reached, in its proportions.  ``measure`` takes a list of multipliers and gives for each the dual's sum,
-    the totals, and the Gram matrix of the rows whose rate isn't clipped.
+    ``look`` takes lists of steps and gives for each the totals and the Gram
+    matrix of the rows whose rate is strictly inside its bounds.
     """
-    value, vector = np.linalg.eigh(gram)
-    keep = value > 1e-9 * value.max()
-    white = vector[:, keep] / np.sqrt(value[keep])
-    size = want.sum()
-    rounds = 0
-
-    def look(nus, ridge, centre):
-        nonlocal rounds
-        rounds += 1
-        out = []
-        for nu, (dual, totals, curve) in zip(nus, measure([white @ nu for nu in nus]), strict=True):
-            off, part, gain = nu - centre, 1.0, want @ (white @ nu)
-            if lower:
-                push = WORTH - gain / size
-                part = min(1.0, max(0.0, push))
-                gain = -size * (part * push - part * part / 2)
-                if 0 < push < 1:
-                    curve = curve + np.outer(want, want) / size
-            out.append((dual - gain + ridge / 2 * off @ off, white.T @ (totals - part * want) + ridge * off, white.T @ curve @ white + ridge * np.eye(len(nu)), nu, totals, part * want))
-        return out
+    whole = np.linalg.pinv(gram, rcond=1e-12, hermitian=True)
+    size = np.maximum(want, 1e-9 * want.sum())
+    steps: list[np.ndarray] = []
+    totals, free = look([steps])[0]
 
-    def gap(now):
-        return np.abs(gram @ white @ now[1]).max()
-
-    def descend(nu, ridge, centre):
-        now = look([nu], ridge, centre)[0]
-        while gap(now) > 1e-8 * size:
-            if rounds > ROUNDS:
-                raise RuntimeError(f"mixing rates did not settle in {ROUNDS} rounds")
-            push = np.linalg.solve(now[2], now[1])
-            for steps in ([1.0], *[[4.0 ** -(4 * i + j) for j in range(1, 5)] for i in range(6)]):
-                best = min(look([now[3] - s * push for s in steps], ridge, centre), key=lambda x: x[0])
-                if best[0] < now[0]:
-                    break
-            else:  # as near as the sums' rounding allows
-                if gap(now) > 1e-6 * size:
-                    raise RuntimeError(f"mixing rates did not settle: {gap(now) / size:.1e} of the tokens are off")
-                break
-            now = best
-        return now
+    def squares(t):
+        return float((t - want) @ whole @ (t - want))
+
+    idle = 0
+    for _ in range(rounds):
+        if (np.abs(totals - want) <= NEAR * size).all() or idle > 2:
+            break
+        gap = totals - want
+        tries = [[*steps, np.linalg.pinv(free + part * gram, rcond=1e-12, hermitian=True) @ gap] for part in DAMPED] + [[*steps, whole @ gap]]
+        found = look(tries)
+        best = min(range(len(tries)), key=lambda i: squares(found[i][0]))
+        idle = idle + 1 if squares(found[best][0]) > (1 - 1e-4) * squares(totals) else 0
+        steps, (totals, free) = tries[best], found[best]
+    return steps, totals
+
+
+@dataclass
+class Fit:
+    """A rate as an expression on (n_tokens, p); tokens wanted and reached, and the shares asked for, by domain."""
 
-    nu = np.zeros(white.shape[1]) if start is None else np.linalg.pinv(white) @ start
-    if start is None:
-        for ridge in RIDGES:
-            nu = descend(nu, ridge, np.zeros(len(nu)))[3]
-    before = None
-    while True:
-        now = descend(nu, RIDGES[-1], nu)
-        nu, totals, aim = now[3:]
-        if (np.abs(totals - aim) <= 1e-4 * aim).all() or (before is not None and np.abs(totals - before).max() <= 1e-6 * size):
-            return white @ nu, aim, totals
-        before = totals
+    rate: Column
+    wanted: np.ndarray
+    reached: np.ndarray
+    shares: np.ndarray
 
 
-def fitted(members: DataFrame, targets: tuple[float, ...] = TARGETS, volume: float | None = None, once: bool = False, least: float = 0.0) -> tuple[Column, np.ndarray, np.ndarray]:
-    """(the rate of a row of ``members`` (n_tokens, p) as an expression on its columns, tokens wanted, tokens reached).
+def fitted(members: DataFrame, targets: tuple[float, ...] = TARGETS, volume: float | None = None, once: bool = False, least: float = 0.0) -> Fit:
+    """The fit of the rows of ``members`` (n_tokens, p).
 
     ``volume`` is the share of all tokens wanted, and the base rate; by default
     the most that the domain of the largest share can give when used once.  The
     rates of scarce domains rise as far as their targets need.  With ``once``
     no rate is over 1, and the volume is lowered until all shares hold (those
-    that rates without a bound reach, should the targets be out of reach).  With
-    ``least``, a domain that holds less than its target is asked for what it
-    holds; where still under ``least`` of all tokens would be left, the shares
-    asked for move towards the present ones, by quarters, until it isn't so.
+    that rates without a bound reach, should the targets be out of reach).
+    ``least`` (off by default) lets the shares go for the sake of volume: a
+    domain that holds less than its target is asked for what it holds, and where
+    still under ``least`` of all tokens would be left, the shares asked for move
+    towards the present ones, by quarters, until it isn't so.
     """
     k = len(targets)
     p = [F.element_at("p", i + 1) for i in range(k)]
@@ -201,84 +183,107 @@ def fitted(members: DataFrame, targets: tuple[float, ...] = TARGETS, volume: flo
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     sums = members.agg(F.sum(n).alias("n"), F.count("*").alias("docs"), *[F.sum(n * p[i]).alias(f"t{i}") for i in range(k)], *[F.sum(n * p[i] * p[j]).alias(f"g{i}{j}") for i, j in pairs]).first()
     total = sums["n"] or 0.0
+    share = np.array(targets) / sum(targets)
     if not total:
-        return F.lit(float(volume or 1.0)), np.zeros(k), np.zeros(k)
+        return Fit(F.lit(float(volume or 1.0)), np.zeros(k), np.zeros(k), share)
     gram = np.array([[sums[f"g{min(i, j)}{max(i, j)}"] for j in range(k)] for i in range(k)])
     now = np.array([sums[f"t{i}"] for i in range(k)])
-    share = np.array(targets) / sum(targets)
-
-    def base(share: np.ndarray) -> float:
-        return float(min(1.0, now[share.argmax()] / share.max() / total)) if volume is None else volume
-
-    def free(mu) -> Column:
-        return sum((F.lit(float(mu[i])) * p[i] for i in range(k)), F.lit(start_rate))
-
-    top, start_rate = np.inf, 1.0
-
-    def clipped(z: Column) -> Column:
-        return F.least(F.lit(top), F.greatest(F.lit(0.0), z))
-
-    def measure(mus):
-        aggs = []
-        for at, mu in enumerate(mus):
-            z = free(mu)
-            r = clipped(z)
-            aggs += [F.sum(n * (r * z - r * r / 2)).alias(f"d{at}"), *[F.sum(n * p[i] * r).alias(f"t{at}_{i}") for i in range(k)]]
-            aggs += [F.coalesce(F.sum(F.when(r == z, n * p[i] * p[j])), F.lit(0.0)).alias(f"g{at}_{i}{j}") for i, j in pairs]
-        row = members.agg(*aggs).first()
-        return [(row[f"d{at}"], np.array([row[f"t{at}_{i}"] for i in range(k)]), np.array([[row[f"g{at}_{min(i, j)}{max(i, j)}"] for j in range(k)] for i in range(k)])) for at in range(len(mus))]
 
     # about START_ROWS rows, drawn by their hash, reach the driver
     some = members.where("n_tokens > 0").where(F.pmod(F.xxhash64("n_tokens", "p"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, START_ROWS / sums["docs"]))).select("n_tokens", "p").collect()
-    if some:
-        own_n, own_p = np.array([r["n_tokens"] for r in some], np.float64), np.array([r["p"] for r in some])
-        own_n *= total / own_n.sum()
-
-    def measure_some(mus):
-        out = []
-        for mu in mus:
-            z = start_rate + own_p @ mu
-            r = np.clip(z, 0, top)
-            whole = own_p[r == z]
-            out.append((float((own_n * (r * z - r * r / 2)).sum()), (own_n * r) @ own_p, (whole * own_n[r == z, None]).T @ whole))
-        return out
-
-    def solve(measure, want: np.ndarray, starts: tuple) -> list[tuple]:
-        """The solutions without a bound and, if asked for, with rates of at most 1."""
-        nonlocal top
-        top = np.inf
-        found = [settle(measure, gram, want, starts[0])]
-        if once:
-            top = 1.0
-            found.append(settle(measure, gram, found[0][2], starts[-1], lower=True))
-        return found
+    own_n, own_p = np.array([r["n_tokens"] for r in some], np.float64), np.array([r["p"] for r in some]).reshape(-1, k)
+    own_n *= total / max(1.0, own_n.sum())
+    own_gram = (own_p * own_n[:, None]).T @ own_p
+
+    def sampled(want: np.ndarray, start: float, top: float) -> tuple[list[np.ndarray], np.ndarray]:
+        taken, held = 0, np.full(len(own_n), start)
+
+        def look(tries):
+            nonlocal taken, held
+            if len(tries[0]) - 1 > taken:  # rates after the steps taken are kept, so a round costs its own steps only
+                held, taken = np.clip(held - own_p @ tries[0][-2], 0, top), taken + 1
+            out = []
+            for steps in tries:
+                r = np.clip(held - own_p @ steps[-1], 0, top) if steps else held
+                inside = (r > 0) & (r < top)
+                out.append(((own_n * r) @ own_p, (own_p[inside] * own_n[inside, None]).T @ own_p[inside]))
+            return out
+
+        return descend(look, own_gram, want, SAMPLE_ROUNDS)
+
+    def after(r: Column, steps: list[np.ndarray], top: float) -> Column:
+        def step(r: Column, g) -> Column:
+            r = F.greatest(F.lit(0.0), r - sum((g[i] * p[i] for i in range(1, k)), g[0] * p[0]))
+            return F.least(F.lit(top), r) if np.isfinite(top) else r
+
+        if len(steps) > 4:  # many are gone through as an array
+            return F.aggregate(F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in steps]), r, step)
+        for g in steps:
+            r = step(r, [F.lit(float(x)) for x in g])
+        return r
+
+    def solve(want: np.ndarray, start: float, top: float) -> tuple[Column, np.ndarray]:
+        first = sampled(want, start, top)[0] if len(some) else []
+        begun, taken = cut(members.select("n_tokens", "p", after(F.lit(start), first, top).alias("r"))), 0
+
+        def look(tries):
+            nonlocal begun, taken
+            if len(tries[0]) - taken > 6:  # expressions stay short
+                begun, taken = cut(begun.withColumn("r", after(F.col("r"), tries[0][taken:-1], top))), len(tries[0]) - 1
+            aggs = []
+            for at, steps in enumerate(tries):
+                r = after(F.col("r"), steps[taken:], top)
+                inside = (r > 0) & (r < F.lit(float(top)))
+                aggs += [F.sum(n * p[i] * r).alias(f"t{at}_{i}") for i in range(k)] + [F.coalesce(F.sum(F.when(inside, n * p[i] * p[j])), F.lit(0.0)).alias(f"g{at}_{i}{j}") for i, j in pairs]
+            row = begun.agg(*aggs).first()
+            return [(np.array([row[f"t{at}_{i}"] for i in range(k)]), np.array([[row[f"g{at}_{min(i, j)}{max(i, j)}"] for j in range(k)] for i in range(k)])) for at in range(len(tries))]
+
+        steps, reached = descend(look, gram, want, ROUNDS)
+        return after(F.lit(start), first + steps, top), reached
+
+    def holds(reached: np.ndarray, want: np.ndarray) -> bool:
+        return bool((np.abs(reached - want) <= 3e-4 * np.maximum(want, 1e-9 * total)).all())
 
     for part in (0.0, 0.25, 0.5, 0.75, 1.0):
         asked = (1 - part) * share + part * now / now.sum()
-        start_rate = base(asked)
-        want = np.where(now > 0, asked * start_rate * total, 0.0)
+        start = float(min(1.0, now[asked.argmax()] / asked.max() / total)) if volume is None else volume
+        want = np.where(now > 0, asked * start * total, 0.0)
         if once and least:  # a domain that holds less than its target gives all it has
             want = np.minimum(want, now)
-        near = solve(measure_some, want, (None, None)) if some else None
-        if near and once and part < 1 and near[-1][2].sum() < least * total:
-            continue  # the sample tells; all documents are asked for the shares that it can keep
-        mu, want, reached = solve(measure, want, tuple(x[0] for x in near) if near else (None, None))[-1]
-        if not once or part == 1 or reached.sum() >= 0.98 * least * total:
+        if not once:
+            found, reached = solve(want, start, np.inf)
             break
-    return F.when(F.col("n_tokens") > 0, clipped(free(mu))).otherwise(F.lit(start_rate)), want, reached
+        if len(some):
+            free = sampled(want, start, np.inf)[1]
+            want = want if holds(free, want) else np.maximum(free, 0.0)
+            low, high = 0.0, 1.0
+            if not holds(sampled(want, start, 1.0)[1], want):
+                for _ in range(14):
+                    middle = (low + high) / 2
+                    low, high = (middle, high) if holds(sampled(middle * want, middle * start, 1.0)[1], middle * want) else (low, middle)
+                want, start = low * want, low * start
+        if least and part < 1 and want.sum() < least * total:
+            continue  # the sample tells; all documents are asked for the shares that it can keep
+        for _ in range(60):
+            found, reached = solve(want, start, 1.0)
+            if holds(reached, want):
+                break
+            want, start = 0.98 * want, 0.98 * start  # the sample held more than all rows do
+        break
+    return Fit(F.when(F.col("n_tokens") > 0, found).otherwise(F.lit(start)), want, reached, asked)
 
 
 def fit_rates(members: DataFrame, targets: tuple[float, ...] = TARGETS, volume: float | None = None) -> Column:
     """The rate of :func:`fitted`."""
-    return fitted(members, targets, volume)[0]
+    return fitted(members, targets, volume).rate
 
 
 def document_rates(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS, volume: float | None = None) -> DataFrame:
     """(doc_id, n_tokens, p_<domain>, rate, wanted_<domain>, reached_<domain>) for every document; the last are expected tokens of all documents."""
     members = cut(posteriors(docs, labels))
-    rate, want, reached = fitted(members, targets, volume)
-    totals = [F.lit(float(x)).alias(f"{name}_{d}") for name, all_ in (("wanted", want), ("reached", reached)) for x, d in zip(all_, DOMAINS, strict=True)]
-    return members.select("doc_id", "n_tokens", *[F.element_at("p", i + 1).alias(f"p_{d}") for i, d in enumerate(DOMAINS)], rate.alias("rate"), *totals)
+    fit_ = fitted(members, targets, volume)
+    totals = [F.lit(float(x)).alias(f"{name}_{d}") for name, all_ in (("wanted", fit_.wanted), ("reached", fit_.reached)) for x, d in zip(all_, DOMAINS, strict=True)]
+    return members.select("doc_id", "n_tokens", *[F.element_at("p", i + 1).alias(f"p_{d}") for i, d in enumerate(DOMAINS)], fit_.rate.alias("rate"), *totals)
 
 
 def thin(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS, volume: float | None = None, least: float = 0.0) -> DataFrame:
@@ -291,7 +296,7 @@ def thin(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGET
     """
     members = cut(posteriors(docs, labels))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    kept = members.withColumn("rate", fitted(members, targets, volume, once=True, least=least)[0]).where("doc_id is not null").where(draw < F.col("rate"))
+    kept = members.withColumn("rate", fitted(members, targets, volume, once=True, least=least).rate).where("doc_id is not null").where(draw < F.col("rate"))
     ids = cut(kept.select(F.col("doc_id").alias("kept_id")).distinct())
     named = docs.join(small_or_shuffled(ids), F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
     return named.unionByName(docs.where("doc_id is null"))

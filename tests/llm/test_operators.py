@@ -187,7 +187,8 @@ def test_mixing_raises_scarce_domains(spark):
     p = np.eye(3)[rng.choice(3, 4000, p=[0.957, 0.039, 0.004])]
     n = rng.integers(1, 400, 4000)
     members = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "n_tokens long, p array<double>")
-    rate, wanted, reached = mixing.fitted(members, tuple(want))
+    fit = mixing.fitted(members, tuple(want))
+    rate, wanted, reached = fit.rate, fit.wanted, fit.reached
     r = np.array([x["r"] for x in members.select(rate.alias("r")).collect()])
     assert wanted / wanted.sum() == pytest.approx(want)
     assert (n * r) @ p == pytest.approx(wanted, rel=1e-3) and reached == pytest.approx(wanted, rel=1e-3)
@@ -210,7 +211,9 @@ def test_mixing_keeps_target_totals(spark, monkeypatch, volume):
     docs = members.select("doc_id", F.lit("x").alias("text"))
     monkeypatch.setattr(mixing, "posteriors", lambda docs, labels: members)
     kept = [r["doc_id"] for r in mixing.thin(docs, None, tuple(want), volume).collect()]
-    _, wanted, reached = mixing.fitted(members, tuple(want), volume, once=True)
+    fit = mixing.fitted(members, tuple(want), volume, once=True)
+    wanted, reached = fit.wanted, fit.reached
+    assert fit.shares == pytest.approx(want)  # no retreat unless asked for
     assert reached == pytest.approx(wanted, rel=1e-3) and wanted / wanted.sum() == pytest.approx(want, rel=1e-3)
     assert 100 * p[kept].sum(0) == pytest.approx(wanted, rel=0.05)
 
@@ -222,13 +225,52 @@ def test_mixing_keeps_the_least_volume(spark):
     members = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "n_tokens long, p array<double>")
     volumes = []
     for least in (0.0, 0.7):
-        rate, wanted, reached = mixing.fitted(members, (0.8, 0.1, 0.1), None, once=True, least=least)
+        fit = mixing.fitted(members, (0.8, 0.1, 0.1), None, once=True, least=least)
+        rate, wanted, reached = fit.rate, fit.wanted, fit.reached
+        assert (fit.shares == pytest.approx(np.array([0.8, 0.1, 0.1]))) == (least == 0)
         r = np.array([x["r"] for x in members.select(rate.alias("r")).collect()])
         assert (r >= 0).all() and (r <= 1 + 1e-9).all() and (n * r) @ p == pytest.approx(reached, rel=1e-3)
         volumes.append(reached.sum() / n.sum())
     assert volumes[0] < 0.1 and volumes[1] > 0.68
 
 
+def plain_nonnegative(a, t):
+    """Nonnegative least squares by active sets (Lawson and Hanson): the totals nearest to t."""
+    free, r = np.zeros(a.shape[1], bool), np.zeros(a.shape[1])
+    for _ in range(1000):
+        push = a.T @ (t - a @ r)
+        if free.all() or push[~free].max() <= 1e-9 * np.abs(a.T @ t).max():
+            break
+        free[np.flatnonzero(~free)[push[~free].argmax()]] = True
+        while True:
+            z = np.zeros_like(r)
+            z[free] = np.linalg.lstsq(a[:, free], t, rcond=None)[0]
+            if (z[free] > 0).all():
+                break
+            low = free & (z <= 0)
+            r = r + (r[low] / (r[low] - z[low])).min() * (z - r)
+            free &= r > 1e-15
+        r = z
+    return a @ r
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_mixing_against_nonnegative_least_squares(spark, seed):
+    """200 documents; targets within reach, and targets that no rates meet."""
+    rng = np.random.default_rng(seed)
+    p = rng.dirichlet([[3, 0.4, 0.2], [0.3, 0.3, 0.3], [20, 4, 3], [9, 8, 1]][seed], 200)
+    n = rng.integers(1, 300, 200)
+    members = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "n_tokens long, p array<double>")
+    for want in ((0.6, 0.3, 0.1), (0.02, 0.08, 0.9), (0.96, 0.035, 0.005)):
+        fit = mixing.fitted(members, want, 0.5)
+        r = np.array([x["r"] for x in members.select(fit.rate.alias("r")).collect()])
+        assert (r >= 0).all() and (n * r) @ p == pytest.approx(fit.reached, rel=1e-9)
+        whiten = np.linalg.cholesky(np.linalg.inv((p * n[:, None]).T @ p)).T
+        a, t = whiten @ (p.T * n), whiten @ (0.5 * n.sum() * np.array(want))
+        best = plain_nonnegative(a, t)
+        assert np.linalg.norm(whiten @ fit.reached - t) <= np.linalg.norm(best - t) + 2e-3 * np.linalg.norm(t)
+
+
 def test_mixing_rates_shift_shares(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     out = mixing.document_rates(docs, labels).join(labels, "doc_id").toPandas()
