@@ -14,45 +14,119 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Renderings with their weights in percent.
-LETTERS = """
-أ a 90 e 10 | إ i 80 e 20 | آ a 90 aa 10 | ا a 85 e 15 | ب b 100 | ت t 100 | ث th 60 t 40 | ج j 70 dj 30 | ح 7 80 h 20 | خ kh 70 5 30
-د d 100 | ذ dh 50 d 50 | ر r 100 | ز z 100 | س s 100 | ش ch 80 sh 20 | ص s 100 | ض d 80 dh 20 | ط t 70 6 30 | ظ dh 60 d 40
-ع 3 80 a 20 | غ gh 80 r 20 | ف f 100 | ق 9 50 g 30 q 20 | ڨ g 100 | ك k 100 | ل l 100 | م m 100 | ن n 100 | ه h 100
-و ou 60 o 20 w 20 | ي i 65 y 35 | ة t 100 | ى a 100 | ء - 100 | ئ i 80 y 20 | ؤ ou 80 o 20 | لا la 100
-"""
-WORDS = """
-و w 80 ou 20 | في fi 100 | الله allah 50 ellah 50 | من men 80 man 20 | ربي rabi 80 rabbi 15 rebby 5 | على 3la 80 ala 20 | انا ana 100 | أنا ana 100
-لي li 100 | ما ma 100 | يا ya 100 | لا la 100 | كي ki 100 | تاع ta3 70 tae 30 | تع te3 70 ta3 30 | والله wallah 50 wlh 50 | هذا hada 100
-غير ghir 100 | ولا wla 100 | راني rani 100 | بصح bsh 50 besah 50 | كل kol 70 koul 30 | بزاف bzaf 50 bezzaf 50 | واحد wahed 100 | وين win 100
-كان kan 100 | راك rak 100 | كاين kayen 100 | خويا khouya 100 | مع m3a 100 | واش wach 100 | عندي 3andi 100 | علاه 3lah 100 | عليك 3lik 100
-كنت kont 80 kount 20 | حتى hata 100 | فيك fik 100 | هي hiya 100 | انت nta 100 | باش bach 100 | او ou 100 | خير khir 100 | شكرا chokran 100
-حاجة haja 100 | دير dir 100 | صح sah 50 seh 50 | ماشي machi 100 | كيما kima 100 | شكون chkoun 50 chkon 50 | راهي rahi 100 | حنا hna 50 7na 50
-راه rah 100 | رانا rana 100 | يكون ykoun 50 ykon 50
-"""
-ARTICLE = "el 60 l 30 al 10"
-#: Letters of length by place: first, last, between consonants, elsewhere.
-LONG = {"ي": ("y 100", "i 90 y 10", "i 100", "y 100"), "و": ("w 100", "ou 75 o 25", "ou 75 o 25", "w 100"), "ا": ("a 85 e 15", "a 100", "a 90 aa 10", "a 90 aa 10")}
+# Renderings of a letter and their weights.
+LETTERS = {
+    "أ": {"a": 0.9, "e": 0.1},
+    "إ": {"i": 0.8, "e": 0.2},
+    "آ": {"a": 0.9, "aa": 0.1},
+    "ا": {"a": 0.85, "e": 0.15},
+    "ب": {"b": 1},
+    "ت": {"t": 1},
+    "ث": {"th": 0.6, "t": 0.4},
+    "ج": {"j": 0.7, "dj": 0.3},
+    "ح": {"7": 0.8, "h": 0.2},
+    "خ": {"kh": 0.7, "5": 0.3},
+    "د": {"d": 1},
+    "ذ": {"dh": 0.5, "d": 0.5},
+    "ر": {"r": 1},
+    "ز": {"z": 1},
+    "س": {"s": 1},
+    "ش": {"ch": 0.8, "sh": 0.2},
+    "ص": {"s": 1},
+    "ض": {"d": 0.8, "dh": 0.2},
+    "ط": {"t": 0.7, "6": 0.3},
+    "ظ": {"dh": 0.6, "d": 0.4},
+    "ع": {"3": 0.8, "a": 0.2},
+    "غ": {"gh": 0.8, "r": 0.2},
+    "ف": {"f": 1},
+    "ق": {"9": 0.5, "g": 0.3, "q": 0.2},
+    "ڨ": {"g": 1},
+    "ك": {"k": 1},
+    "ل": {"l": 1},
+    "م": {"m": 1},
+    "ن": {"n": 1},
+    "ه": {"h": 1},
+    "و": {"ou": 0.6, "o": 0.2, "w": 0.2},
+    "ي": {"i": 0.65, "y": 0.35},
+    "ة": {"t": 1},
+    "ى": {"a": 1},
+    "ء": {"": 1},
+    "ئ": {"i": 0.8, "y": 0.2},
+    "ؤ": {"ou": 0.8, "o": 0.2},
+    "لا": {"la": 1},
+}
+
+# Renderings of whole words and their weights.
+WORDS = {
+    "و": {"w": 0.8, "ou": 0.2},
+    "في": {"fi": 1},
+    "الله": {"allah": 0.5, "ellah": 0.5},
+    "من": {"men": 0.8, "man": 0.2},
+    "ربي": {"rabi": 0.8, "rabbi": 0.15, "rebby": 0.05},
+    "على": {"3la": 0.8, "ala": 0.2},
+    "انا": {"ana": 1},
+    "أنا": {"ana": 1},
+    "لي": {"li": 1},
+    "ما": {"ma": 1},
+    "يا": {"ya": 1},
+    "لا": {"la": 1},
+    "كي": {"ki": 1},
+    "تاع": {"ta3": 0.7, "tae": 0.3},
+    "تع": {"te3": 0.7, "ta3": 0.3},
+    "والله": {"wallah": 0.5, "wlh": 0.5},
+    "هذا": {"hada": 1},
+    "غير": {"ghir": 1},
+    "ولا": {"wla": 1},
+    "راني": {"rani": 1},
+    "بصح": {"bsh": 0.5, "besah": 0.5},
+    "كل": {"kol": 0.7, "koul": 0.3},
+    "بزاف": {"bzaf": 0.5, "bezzaf": 0.5},
+    "واحد": {"wahed": 1},
+    "وين": {"win": 1},
+    "كان": {"kan": 1},
+    "راك": {"rak": 1},
+    "كاين": {"kayen": 1},
+    "خويا": {"khouya": 1},
+    "مع": {"m3a": 1},
+    "واش": {"wach": 1},
+    "عندي": {"3andi": 1},
+    "علاه": {"3lah": 1},
+    "عليك": {"3lik": 1},
+    "كنت": {"kont": 0.8, "kount": 0.2},
+    "حتى": {"hata": 1},
+    "فيك": {"fik": 1},
+    "هي": {"hiya": 1},
+    "انت": {"nta": 1},
+    "باش": {"bach": 1},
+    "او": {"ou": 1},
+    "خير": {"khir": 1},
+    "شكرا": {"chokran": 1},
+    "حاجة": {"haja": 1},
+    "دير": {"dir": 1},
+    "صح": {"sah": 0.5, "seh": 0.5},
+    "ماشي": {"machi": 1},
+    "كيما": {"kima": 1},
+    "شكون": {"chkoun": 0.5, "chkon": 0.5},
+    "راهي": {"rahi": 1},
+    "حنا": {"hna": 0.5, "7na": 0.5},
+    "راه": {"rah": 1},
+    "رانا": {"rana": 1},
+    "يكون": {"ykoun": 0.5, "ykon": 0.5},
+}
+
+# Renderings of the article, and of the long letters by their place in a word.
+ARTICLE = {"el": 0.6, "l": 0.3, "al": 0.1}
+LONG = {
+    "ي": {"first": {"y": 1}, "last": {"i": 0.9, "y": 0.1}, "between consonants": {"i": 1}, "elsewhere": {"y": 1}},
+    "و": {"first": {"w": 1}, "last": {"ou": 0.75, "o": 0.25}, "between consonants": {"ou": 0.75, "o": 0.25}, "elsewhere": {"w": 1}},
+    "ا": {"first": {"a": 0.85, "e": 0.15}, "last": {"a": 1}, "between consonants": {"a": 0.9, "aa": 0.1}, "elsewhere": {"a": 0.9, "aa": 0.1}},
+}
 VOWELS = frozenset("ايوأإآىئؤء")
 
 _PARTS = re.compile(r"(\s+|[^\w؀-ۿ]+)")
 _ARABIC = re.compile(r"[؀-ۿ]+\Z")
 
 
-def _weighted(line: str) -> tuple[list[str], list[int]]:
-    parts = line.split()
-    return ["" if x == "-" else x for x in parts[::2]], [int(x) for x in parts[1::2]]
-
-
-def _table(lines: str) -> dict[str, tuple[list[str], list[int]]]:
-    entries = (e.strip().split(maxsplit=1) for line in lines.strip().splitlines() for e in line.split("|"))
-    return {key: _weighted(rest) for key, rest in entries}
-
-
-LETTER_TABLE, WORD_TABLE, THE = _table(LETTERS), _table(WORDS), _weighted(ARTICLE)
-LONG_TABLE = {c: tuple(map(_weighted, places)) for c, places in LONG.items()}
-
-
 class Drawer:
     """Takes renderings one after the other, by a hash of the key, or the likeliest without one."""
 
@@ -63,36 +137,36 @@ class Drawer:
         self.taken += 1
         return int.from_bytes(hashlib.md5(f"{self.key}:{self.taken}".encode("utf-8", "surrogatepass")).digest()[:8], "big") % below
 
-    def take(self, options: tuple[list[str], list[int]]) -> str:
-        names, weights = options
-        if self.key is None or len(names) == 1:
-            return names[weights.index(max(weights))]
-        left = self.uniform(sum(weights))
-        for name, weight in zip(names, weights, strict=True):
-            if left < weight:
+    def take(self, options: dict[str, float]) -> str:
+        if self.key is None or len(options) == 1:
+            return max(options, key=options.get)
+        shares = {name: round(100 * weight) for name, weight in options.items()}
+        left = self.uniform(sum(shares.values()))
+        for name, share in shares.items():
+            if left < share:
                 return name
-            left -= weight
+            left -= share
         raise AssertionError("weights cover all draws")
 
 
 def rendered_word(word: str, drawer: Drawer) -> str:
-    if word in WORD_TABLE:
-        return drawer.take(WORD_TABLE[word])
+    if word in WORDS:
+        return drawer.take(WORDS[word])
     out, i, last = [], 0, len(word) - 1
     if word.startswith("ال") and last > 1:
-        out, i = [drawer.take(THE)], 2
+        out, i = [drawer.take(ARTICLE)], 2
     while i <= last:
         c = word[i]
         if word.startswith("لا", i):
-            out.append(drawer.take(LETTER_TABLE["لا"]))
+            out.append(drawer.take(LETTERS["لا"]))
             i += 2
             continue
-        if c in LONG_TABLE:
+        if c in LONG:
             inside = 0 < i < last and word[i - 1] not in VOWELS and word[i + 1] not in VOWELS
-            place = 0 if i == 0 else 1 if i == last else 2 if inside else 3
-            out.append(drawer.take(LONG_TABLE[c][place]))
+            place = "first" if i == 0 else "last" if i == last else "between consonants" if inside else "elsewhere"
+            out.append(drawer.take(LONG[c][place]))
         else:
-            out.append(drawer.take(LETTER_TABLE.get(c, ([c], [100]))))
+            out.append(drawer.take(LETTERS.get(c, {c: 1.0})))
         i += 1
     return "".join(out)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import functions as F
@@ -23,13 +22,6 @@ def scratch(spark, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(spark, name: str, lines: list[str], folder: str = "") -> str:
-    """A fresh folder with one text file of these lines."""
-    at = scratch(spark, name)
-    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(f"{at}{folder}")
-    return at
-
-
 @query(f"WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, {_LINK}, 1)) AS href, unnest(regexp_extract_all(html, {_LINK}, 2)) AS title FROM pages) SELECT page_id, href, min(title) AS title, count(*) AS n FROM l WHERE trim(title) <> '' GROUP BY ALL")
 def s11_page_links(spark, sf_dir):
     """Every titled link of the pages, by simple markup."""
@@ -44,15 +36,6 @@ def s11_page_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html.title(h).alias("title"), F.md5(html.visible(h)).alias("digest"))
 
 
-_BROKEN = ['{"doc_id": 1, "text": "good"}', '{"doc_id": 2, "text": "cut o', "", '{"doc_id": 3, "text": "a"}{"doc_id": 4, "text": "glued"}', "not json", '{"doc_id": 5, "text": null}']
-
-
-@query("SELECT * FROM (VALUES (1::BIGINT, 'good', NULL), (3, 'a', NULL), (5, NULL, NULL), (NULL, NULL, '{\"doc_id\": 2, \"text\": \"cut o'), (NULL, NULL, 'not json')) v(doc_id, text, corrupt)")
-def s2_tolerant_json(spark, sf_dir):
-    """Malformed lines come as they are, to be counted; blank ones don't."""
-    return readers.json_lines(spark, written(spark, "broken", _BROKEN), "doc_id long, text string").select("doc_id", "text", F.col("_corrupt").alias("corrupt"))
-
-
 @query("SELECT doc_id FROM documents WHERE doc_id < 130")
 def s4_first_records(spark, sf_dir):
     """Records across files in order until there are enough."""
@@ -71,36 +54,6 @@ def s5_number_of_lines(spark, sf_dir):
     return readers.numbers_of_lines(spark, at, "token_count")
 
 
-@query("SELECT * FROM (VALUES ('POS', 'very, very good'), ('NEG', 'no')) v(label, text)")
-def s6_labelled_csv(spark, sf_dir):
-    return readers.labelled_csv(spark, written(spark, "csv", ["POS,very, very good", "no comma here", "NEG,no"]))
-
-
-@query("SELECT * FROM (VALUES ('s1', 'POS'), ('s 2', 'MIX')) v(key, label)")
-def s7_key_labels(spark, sf_dir):
-    return readers.key_labels(spark, written(spark, "tsv", ["ID\tlabel", "# sent_id = s1\tPOS", "# sent_id = s 2\tMIX"]))
-
-
-_CONLLU = ["# sent_id = s1", "# text = wach rak", "1-2\twachrak\t_\t_\t_\t_\t_\t_\t_\t_", "1\twach\t_\tADV\t_\t_\t_\t_\t_\tlang=ar|x", "2\trak\t_\tVERB\t_\t_\t_\t_\t_\t_", "", "# sent_id = s2", "# text = oui", "1\toui\t_\tINTJ\t_\t_\t_\t_\t_\tlang=fr_FR", "1.1\tx\t_\tX\t_\t_\t_\t_\t_\t_"]
-
-
-@query("SELECT * FROM (VALUES ('s1', 'wach rak', 'wach rak', 'ADV VERB', 'ar '), ('s2', 'oui', 'oui', 'INTJ', 'fr_FR')) v(sent_id, text, forms, tags, langs)")
-def s8_treebank(spark, sf_dir):
-    """S8 and P28."""
-    t = readers.treebank(spark, written(spark, "conllu", _CONLLU))
-    return t.select("sent_id", "text", *[F.array_join(c, " ").alias(c) for c in ("forms", "tags", "langs")])
-
-
-_YAML = ["# seeds", "daily: 10000", "channels:", "  - '@one'", "  - two # the second", "state:", "  done: true", "  last:", "    id: 77"]
-
-
-@query("SELECT * FROM (VALUES ('daily', '10000'), ('channels', '[\"@one\", \"two\"]'), ('state', '{\"done\": true, \"last\": {\"id\": 77}}'), ('json', '[1]')) v(name, value)")
-def s9_settings(spark, sf_dir):
-    """Configuration and state files."""
-    found = readers.settings(spark, written(spark, "yaml", _YAML)) | readers.settings(spark, written(spark, "state", ['{"json": [1]}']))
-    return spark.createDataFrame([(k, json.dumps(v)) for k, v in found.items()], "name string, value string")
-
-
 @query("SELECT doc_id, source FROM documents WHERE doc_id % 2 = 1")
 def s14_atomic_replace(spark, sf_dir):
     """A second version takes the place of the first as a whole."""

@@ -2,30 +2,33 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from dunecorpus.functions import arabizi, captured, forum, ids, text
 from dunecorpus.operators import selecting
-from dunecorpus.plans.corpus import quoted
-from dunecorpus.plans.registry import add
+from dunecorpus.sources import readers
 
-
-def _value(x) -> str:
-    return "NULL" if x is None else quoted(x) if isinstance(x, str) else str(x).lower() if isinstance(x, bool) else str(x)
+CASES = {}
 
 
 def golden(name: str, schema: str, inputs: list, make, columns: list[str], results: list[tuple], types: str = "") -> None:
-    """Register ``make`` over the literal inputs, held against literal results."""
+    """``make`` over the literal inputs has to give the literal results."""
+    CASES[name] = (schema, inputs, make, columns, results)
+
+
+@pytest.fixture
+def written(spark, tmp_path):
+    """A file of these lines."""
 
-    def run(spark, sf_dir):
-        return make(spark.createDataFrame([(i, *x) for i, x in enumerate(inputs)], f"i int, {schema}")).select(*columns)
+    def put(lines: list[str]) -> str:
+        (tmp_path / "file").write_text("\n".join(lines) + "\n")
+        return str(tmp_path / "file")
 
-    rows = ", ".join(f"({', '.join(map(_value, r))})" for r in results)
-    casts = types.split() if types else ["VARCHAR"] * len(columns)
-    chosen = ", ".join(f"CAST({c} AS {t}) AS {c}" for c, t in zip(columns, casts, strict=True))
-    add(name, run, f"SELECT {chosen} FROM (VALUES {rows}) v({', '.join(columns)})")
+    return put
 
 
+# The inputs and results below state the specified behaviour.
 # Addresses of videos, channels and profiles.
 VIDEOS = {
     "https://www.youtube.com/watch?v=dQw4w9WgXcQ": "dQw4w9WgXcQ", "https://www.youtube.com/watch?v=dQw4w9WgXcQ&t=30s": "dQw4w9WgXcQ", "https://youtu.be/dQw4w9WgXcQ": "dQw4w9WgXcQ",
@@ -42,7 +45,7 @@ golden("p22_channel_refs", "url string", [(u,) for u in CHANNELS], lambda t: t.s
 USERS = {"https://www.tiktok.com/@some.user?lang=ar": "some.user", "tiktok.com/@u1/video/7": "u1", "@plain": "plain", " bare/ ": "bare"}
 golden("p23_usernames", "raw string", [(u,) for u in USERS], lambda t: t.select("raw", ids.username(F.col("raw")).alias("username")), ["raw", "username"], list(USERS.items()))
 
-# Captured requests, nested JSON.
+# Captured requests.
 COOKIE = "cf_clearance=aB.c=1; bbsessionhash=77;  empty; x = y "
 golden("p24_cookie_values", "header string", [(COOKIE,), ("",), (None,)], lambda t: t.select("i", F.inline(ids.cookies(F.col("header")))), ["i", "name", "value"], [(0, "cf_clearance", "aB.c=1"), (0, "bbsessionhash", "77"), (0, "x", "y")], "INT VARCHAR VARCHAR")
 COMMANDS = [
@@ -50,12 +53,6 @@ COMMANDS = [
     ("curl https://a.test -H 'user-agent: z'",), ("curl 'unclosed",), (None,),
 ]
 golden("p25_copied_commands", "command string", COMMANDS, lambda t: t.select("i", captured.command_parts(F.col("command")).alias("c")).select("i", "c.*"), ["i", "cookie_header", "user_agent"], [(0, "k=v; k2=v2", "Mozilla/5.0 (X11)"), (1, "a=b", "agent 7"), (2, None, None), (3, None, None), (4, None, None)], "INT VARCHAR VARCHAR")
-NESTED = [
-    ('{"page": [{"id": "7300000000000000001", "desc": "one", "stats": {}, "author": {"uniqueId": "u1"}}, {"userInfo": {"aweme_id": "7300000000000000009"}}], "itemList": ["7300000000000000002", 7300000000000000001, "12"]}',),
-    ('{"uniqueId": "u", "nickname": "n", "id": "7300000000000000003", "itemId": "7300000000000000004"}',), ('[{"awemeId": "7300000000000000005", "author": "x"}, {"awemeId": "7300000000000000005", "desc": "later"}]',), ("{broken",), (None,),
-]
-golden("p26_video_items", "text string", NESTED, lambda t: t.select("i", F.posexplode(captured.video_items(F.col("text"))).alias("place", "v")).select("i", "place", "v.*").withColumnRenamed("desc", "description"), ["i", "place", "video_id", "description", "author"], [(0, 0, "7300000000000000002", None, None), (0, 1, "7300000000000000001", "one", "u1"), (2, 0, "7300000000000000005", "", None)], "INT INT VARCHAR VARCHAR VARCHAR")
-
 # Forum pages.
 INDEX = """<html><body><table>
 <tr><td class="tcat" colspan=3><a href="#top"><img src=x></a><a href="forumdisplay.php?f=10&s=1">Group <b>One</b></a></td></tr>
@@ -109,3 +106,48 @@ golden(
     ["id", "parent", "category", "depth"],
     [("c1", None, "One", 0), ("c2", None, "Two", 0), ("f1", "c1", "One", 1), ("f2", "c1", "One", 1), ("f3", "c2", "Two", 1), ("f4", "f2", "One", 2), ("f5", "f3", "Two", 2), ("f6", "f5", "Two", 3)], "VARCHAR VARCHAR VARCHAR INT",
 )
+
+
+@pytest.mark.parametrize("name", sorted(CASES))
+def test_literal(spark, name):
+    schema, inputs, make, columns, results = CASES[name]
+    found = make(spark.createDataFrame([(i, *x) for i, x in enumerate(inputs)], f"i int, {schema}")).select(*columns)
+    key = lambda r: tuple(map(repr, r))
+    assert sorted(map(tuple, found.collect()), key=key) == sorted(results, key=key)
+
+
+def rows(df, *columns):
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+
+
+def test_tolerant_json(spark, written):
+    lines = ['{"doc_id": 1, "text": "good"}', '{"doc_id": 2, "text": "cut o', "", '{"doc_id": 3, "text": "a"}{"doc_id": 4, "text": "glued"}', "not json", '{"doc_id": 5, "text": null}']
+    want = [(1, "good", None), (3, "a", None), (5, None, None), (None, None, '{"doc_id": 2, "text": "cut o'), (None, None, "not json")]
+    assert rows(readers.json_lines(spark, written(lines), "doc_id long, text string"), "doc_id", "text", "_corrupt") == sorted(want, key=repr)
+
+
+def test_labelled_csv(spark, written):
+    assert rows(readers.labelled_csv(spark, written(["POS,very, very good", "no comma here", "NEG,no"])), "label", "text") == [("NEG", "no"), ("POS", "very, very good")]
+
+
+def test_key_labels(spark, written):
+    assert rows(readers.key_labels(spark, written(["ID\tlabel", "# sent_id = s1\tPOS", "# sent_id = s 2\tMIX"])), "key", "label") == [("s 2", "MIX"), ("s1", "POS")]
+
+
+def test_treebank(spark, written):
+    lines = ["# sent_id = s1", "# text = wach rak", "1-2\twachrak\t_\t_\t_\t_\t_\t_\t_\t_", "1\twach\t_\tADV\t_\t_\t_\t_\t_\tlang=ar|x", "2\trak\t_\tVERB\t_\t_\t_\t_\t_\t_", "", "# sent_id = s2", "# text = oui", "1\toui\t_\tINTJ\t_\t_\t_\t_\t_\tlang=fr_FR", "1.1\tx\t_\tX\t_\t_\t_\t_\t_\t_"]
+    t = readers.treebank(spark, written(lines))
+    assert rows(t.select("sent_id", "text", *[F.array_join(c, " ").alias(c) for c in ("forms", "tags", "langs")]), "*") == [("s1", "wach rak", "wach rak", "ADV VERB", "ar "), ("s2", "oui", "oui", "INTJ", "fr_FR")]
+
+
+def test_settings(spark, written):
+    lines = ["# seeds", "daily: 10000", "channels:", "  - '@one'", "  - two # the second", "state:", "  done: true", "  last:", "    id: 77"]
+    assert readers.settings(spark, written(lines)) == {"daily": 10000, "channels": ["@one", "two"], "state": {"done": True, "last": {"id": 77}}}
+
+
+def test_some_texts_are_augmented(spark):
+    df = spark.createDataFrame([(i, "راني في الدار مع خويا واش كاين", "arabic" if i % 2 else "latin") for i in range(400)], "id long, text string, bucket string")
+    got = df.select("id", "text", "bucket", arabizi.maybe_augment(F.col("text"), F.col("bucket"), F.col("id")).alias("new")).collect()
+    changed = [r for r in got if r["new"] != r["text"]]
+    assert all(r["bucket"] == "arabic" and sum(a != b for a, b in zip(r["text"].split(), r["new"].split(), strict=True)) == 1 for r in changed)
+    assert 0.1 < len(changed) / 200 < 0.3
