@@ -2,10 +2,12 @@
 
 A text is a duplicate if a band of its signature equals one of a text that was
 kept before it; only kept texts enter the index.  The walk is resolved in
-rounds without pairs: a band's bucket only tells its first kept and its first
-undecided member, and each round decides all texts that these two settle.  The
+rounds without pairs: an undecided text that is the first of all its bands is
+kept, and takes all others of these bands out.  Bands of one text, and what is
+decided, leave the postings, so each round joins what is left.  The
 index is a table of band keys of kept texts, so it can be stored and a later
-batch walked against it.
+batch walked against it.  Pairs are not verified; :func:`chance_met` tells how
+many of a similarity share a band.
 """
 
 from __future__ import annotations
@@ -17,10 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dunecorpus.functions import text as cleaning
-from dunecorpus.functions.tokens import _grams
 from dunecorpus.operators.staging import cut
 
-HASHES, THRESHOLD, PRIME = 128, 0.8, (1 << 61) - 1
+HASHES, THRESHOLD = 128, 0.8
 
 
 def banding(threshold: float, hashes: int, steps: int = 400) -> tuple[int, int]:
@@ -38,17 +39,37 @@ def banding(threshold: float, hashes: int, steps: int = 400) -> tuple[int, int]:
 
 BANDS, ROWS = banding(THRESHOLD, HASHES)
 _rng = np.random.RandomState(1)
-_A = _rng.randint(1, 1 << 31, HASHES).astype(np.uint64)
-_B = _rng.randint(0, 1 << 31, HASHES).astype(np.uint64)
+# multiply and shift: the upper half of a 64-bit product
+_A = _rng.randint(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _rng.randint(0, 1 << 63, HASHES, np.uint64)
 
 
-def _signature(t: str) -> np.ndarray:
-    import xxhash
+def chance_met(similarity: float) -> float:
+    """The chance that two texts of this Jaccard similarity share a band."""
+    return 1 - (1 - similarity**ROWS) ** BANDS
+
+
+#: Odd multipliers that place a shingle's four characters in a 64-bit hash.
+_MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
 
-    x = np.fromiter((xxhash.xxh32_intdigest(g.encode("utf-8", "surrogatepass")) >> 1 for g in _grams(t, 4)), np.uint64)
+
+def shingle_hashes(t: str) -> np.ndarray:
+    """31-bit hashes of the distinct four-character windows; a shorter text is one window."""
+    c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    c = np.concatenate([c, np.zeros(max(0, 4 - len(c)), np.uint64)])
+    h = sum((c[i : len(c) - 3 + i] * _MIX[i] for i in range(1, 4)), c[: len(c) - 3] * _MIX[0])
+    h ^= h >> np.uint64(31)
+    h *= _MIX[1]
+    return np.unique(h >> np.uint64(33))
+
+
+def _signature(t: str) -> np.ndarray:
     out = np.full(HASHES, 0xFFFFFFFF, np.uint64)
+    if not t:
+        return out
+    x = shingle_hashes(t)
     for i in range(0, len(x), 256):
-        out = np.minimum(out, (((x[i : i + 256, None] * _A + _B) % PRIME) & 0xFFFFFFFF).min(0))
+        out = np.minimum(out, ((x[i : i + 256, None] * _A + _B) >> np.uint64(32)).min(0))
     return out
 
 
@@ -75,17 +96,23 @@ def signatures(df: DataFrame, id_column: str, text: str) -> DataFrame:
 
 def walk(signed: DataFrame, id_column: str, index: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """((id, duplicate) of all rows, in the order of their ids; (band) keys of the kept ones) against an index (band)."""
-    posted = cut(signed.select(F.col(id_column).alias("id"), F.explode("bands").alias("band")))
-    state = cut(signed.select(F.col(id_column).alias("id"), (F.size("bands") == 0).alias("kept"), F.lit(False).alias("gone")))
+    rows = cut(signed.select(F.col(id_column).alias("id"), "bands"))
+    posted = rows.select("id", F.explode("bands").alias("band"))
+    gone = None
     if index is not None:
-        known = posted.join(index.select("band").distinct(), "band", "left_semi").select("id").distinct().withColumn("_hit", F.lit(True))
-        state = cut(state.join(known, "id", "left").select("id", "kept", F.coalesce("_hit", F.lit(False)).alias("gone")))
-    while not state.where("not kept and not gone").isEmpty():
-        now = posted.join(state.where("not gone"), "id")
-        bucket = now.groupBy("band").agg(F.min(F.when(F.col("kept"), F.col("id"))).alias("_kept"), F.min(F.when(~F.col("kept"), F.col("id"))).alias("_open"))
-        seen = now.where("not kept").join(bucket, "band").groupBy("id").agg(F.bool_or(F.coalesce(F.col("_kept") < F.col("id"), F.lit(False))).alias("_gone"), F.bool_and(F.col("_open") == F.col("id")).alias("_first"))
-        state = cut(state.join(seen, "id", "left").select("id", (F.col("kept") | F.coalesce(F.col("_first") & ~F.col("_gone"), F.lit(False))).alias("kept"), (F.col("gone") | F.coalesce("_gone", F.lit(False))).alias("gone")))
-    return state.select("id", F.col("gone").alias("duplicate")), posted.join(state.where("kept").select("id"), "id").select("band")
+        gone = cut(posted.join(index.select("band").distinct(), "band", "left_semi").select("id").distinct())
+    left = posted if gone is None else posted.join(gone, "id", "left_anti")
+    while True:
+        firsts = left.groupBy("band").agg(F.min("id").alias("first"), F.count("*").alias("many")).where("many > 1").select("band", "first")
+        now = cut(left.join(firsts, "band"))  # bands that still hold several
+        if now.isEmpty():
+            break
+        kept = cut(now.groupBy("id").agg(F.bool_and(F.col("id") == F.col("first")).alias("kept")).where("kept").select(F.col("id").alias("first")))
+        out = cut(now.join(kept, "first").where("id <> first").select("id").distinct())
+        gone = out if gone is None else gone.unionByName(out)
+        left = now.select("id", "band").join(kept.select(F.col("first").alias("id")).unionByName(out), "id", "left_anti")
+    marked = rows.select("id").withColumn("duplicate", F.lit(False)) if gone is None else cut(rows.select("id").join(gone.withColumn("_gone", F.lit(True)), "id", "left").select("id", F.col("_gone").isNotNull().alias("duplicate")))
+    return marked, posted.join(marked.where("not duplicate").select("id"), "id").select("band")
 
 
 def duplicates(df: DataFrame, id_column: str, text: str) -> DataFrame:

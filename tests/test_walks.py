@@ -28,6 +28,26 @@ def test_banding_of_the_index():
     assert (minhash.BANDS, minhash.ROWS) == (9, 13)
 
 
+def test_signatures_estimate_similarity_and_meet_by_chance():
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz "))
+    error, met, chance = [], [], []
+    for _ in range(150):
+        a = "".join(rng.choice(letters, 400))
+        at = rng.choice(400, rng.integers(0, 20), replace=False)
+        b = "".join(rng.choice(letters) if i in set(at.tolist()) else c for i, c in enumerate(a))
+        x, y = ({t[i : i + 4] for i in range(len(t) - 3)} for t in (a, b))
+        assert len(minhash.shingle_hashes(a)) == len(x)
+        true = len(x & y) / len(x | y)
+        s, t = minhash._signature(a), minhash._signature(b)
+        error.append((s == t).mean() - true)
+        met.append(bool(set(minhash.band_keys(s)) & set(minhash.band_keys(t))))
+        chance.append(minhash.chance_met(true))
+    assert abs(np.mean(error)) < 0.01 and np.std(error) < 0.05
+    assert abs(np.mean(met) - np.mean(chance)) < 0.08
+    assert 0.3 < minhash.chance_met(0.8) < 0.5 and minhash.chance_met(0.95) > 0.99  # the recall of this index
+
+
 def test_walk_like_a_plain_one(spark):
     rng = np.random.default_rng(5)
     base = [" ".join(rng.choice("the quick brown fox jumps over lazy dogs and cats".split(), 30)) for _ in range(6)]
