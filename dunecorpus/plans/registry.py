@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("cleaning", "counting", "labelling", "selecting", "modelling", "connecting", "filtering", "evaluating", "classifying", "language")
+MODULES = ("cleaning", "counting", "labelling", "selecting", "modelling", "connecting", "filtering", "evaluating", "classifying", "language", "growing")
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
