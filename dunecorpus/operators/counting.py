@@ -105,5 +105,17 @@ def stream_blocks(df: DataFrame, order: str, tokens: str, size: int) -> DataFram
 
 
 def cooccurrence(df: DataFrame, tokens: str, reach: int) -> DataFrame:
-    """Symmetric sums of 1/distance within a row; a word beside itself counts from both sides."""
-    return window_pairs(df.select(tokens), tokens, reach).groupBy("centre", "context").agg(F.sum(1 / F.col("distance")).alias("weight"))
+    """(centre, context, weight): symmetric sums of 1/distance within a row; a word beside itself counts from both sides.
+
+    Each pair of places is met once, under its smaller word first, and the sums are mirrored.
+    """
+    t, size = F.col(tokens), F.size(tokens)
+
+    def apart(d: int) -> Column:
+        pairs = F.zip_with(F.slice(t, F.lit(1), size - d), F.slice(t, F.lit(d + 1), size - d), lambda a, b: F.struct(F.least(a, b).alias("centre"), F.greatest(a, b).alias("context"), F.lit(1.0 / d).alias("weight")))
+        return F.when(size > d, pairs).otherwise(F.array().cast("array<struct<centre:string,context:string,weight:double>>"))
+
+    half = df.select(F.inline(F.concat(*[apart(d) for d in range(1, reach + 1)]))).groupBy("centre", "context").agg(F.sum("weight").alias("weight"))
+    same = F.col("centre") == F.col("context")
+    one, other = F.struct("centre", "context", F.when(same, 2 * F.col("weight")).otherwise(F.col("weight")).alias("weight")), F.struct(F.col("context").alias("centre"), F.col("centre").alias("context"), "weight")
+    return half.select(F.inline(F.when(same, F.array(one)).otherwise(F.array(one, other))))
