@@ -2,14 +2,15 @@
 
 Texts become words (A-Z lower-cased; anything of ASCII but letters and digits
 parts them).  The templates' words, but for common ones, form a small
-vocabulary whose document frequencies are counted over all texts.  For each
-file all its vocabulary words are looked up in the templates' postings, so one
-notice takes no votes from another; each posting votes for a template at a
-relative position (place in the file minus place in the template).  A vote
-counts only where the template's mandatory key phrase stands at that position,
-give or take ``SLACK`` words.  An alignment counts with votes from at least
-half of the template's weight, that of its own ``RARE`` words of the highest
-inverse document frequency.
+vocabulary whose document frequencies are counted over all texts.  Each
+template is posted under its ``RARE`` words of the highest inverse document
+frequency, with their places, and a file looks up all its vocabulary words, so
+one notice takes no votes from another.  A posting votes for a template at a
+relative position (place in the file minus place in the template), and counts
+where the template's mandatory key phrase stands at that position, give or take
+``SLACK`` words: votes of neighbouring positions meet at the phrase.  An
+alignment counts if the different words that vote for it hold at least
+``SHARE`` of the weight of the template's posted words.
 
 SQL functions only; at most a few hundred word counts reach the driver.
 
@@ -84,16 +85,17 @@ def read(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.select("doc_id", normal(F.col("text")).alias("norm"))
     known = F.array(*[F.lit(w) for w in vocabulary])
-    some = F.col("norm").rlike(" (?:" + "|".join(vocabulary) + ") ")
     words = F.split(F.substring("norm", 2, 1 << 30), " ")
-    held = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("at"), F.array_position(known, w).cast("int").alias("word"))), lambda s: s["word"] > 0)
+    # a look into a set for every word, the search in the list for the few that it holds
+    own = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("at"), w.alias("w"))), lambda s: s["w"].isin(vocabulary))
+    docs = docs.select("doc_id", "norm", F.transform(own, lambda s: F.struct(s["at"].alias("at"), F.array_position(known, s["w"]).cast("int").alias("word"))).alias("held"))
     keys = F.array(*[places(F.col("norm"), k) for k in KEYS])
     return docs.select(
         "doc_id", F.monotonically_increasing_id().alias("row"),
         F.greatest(F.lit(0), F.when(F.col("norm") == "  ", 0).otherwise(blanks(F.col("norm")) - 1)).cast("long").alias("n_words"),
         *[places(F.col("norm"), p).alias(f"p{i}") for i, (p, _) in enumerate(PHRASES)],
-        F.when(some, held).otherwise(F.array().cast("array<struct<at:int,word:int>>")).alias("held"),
-        F.when(some, keys).otherwise(F.array().cast("array<array<long>>")).alias("keys"),
+        "held",
+        F.when(F.size("held") > 0, keys).otherwise(F.array().cast("array<array<long>>")).alias("keys"),
     )
 
 
@@ -108,24 +110,27 @@ def scan(docs: DataFrame) -> DataFrame:
     postings: dict[str, list[tuple[int, int]]] = {w: [] for w in vocabulary}
     total = []
     for t, (_, words, _) in enumerate(TEMPLATES):
-        own = [(w, at) for at, w in enumerate(words.split()) if w in postings]
-        for w, at in own:
-            postings[w].append((t, at))
-        rare = sorted({vocabulary.index(w) + 1 for w, _ in own}, key=lambda i: (-idf[i], i))[:RARE]
-        total.append(sum(idf[i] for i in rare))
-    posted = F.array(*[F.array(*[F.struct(F.lit(t).alias("t"), F.lit(at).alias("pos")) for t, at in postings[w]]) for w in vocabulary])
+        number = {w: vocabulary.index(w) + 1 for w in words.split() if w in postings}
+        rare = sorted(number, key=lambda w: (-idf[number[w]], w))[:RARE]
+        for at, w in enumerate(words.split()):
+            if w in rare:
+                postings[w].append((t, at))
+        total.append(sum(idf[number[w]] for w in rare))
+    posted = F.array(*[F.array(*[F.struct(F.lit(t).alias("t"), F.lit(at).alias("pos")) for t, at in postings[w]]) if postings[w] else F.array().cast("array<struct<t:int,pos:int>>") for w in vocabulary])
     label = F.array(*[F.lit(x) for x, _, _ in TEMPLATES])
     key = F.array(*[F.lit(KEYS.index(k)) for _, _, k in TEMPLATES])
     key_at = F.array(*[F.lit(len(words[: words.index(k)].split())) for _, words, k in TEMPLATES])
     whole = F.array(*[F.lit(x) for x in total])
     some = rows.where((F.size("held") > 0) & F.exists("keys", lambda k: F.size(k) > 0)).select("row", "keys", F.explode("held").alias("s"))
 
-    def stands(p: Column) -> Column:
+    def anchored(p: Column) -> Column:
+        """(template, place of its key phrase) wherever the phrase stands as the posting wants it."""
         wanted = F.col("s.at") - p["pos"] + F.element_at(key_at, p["t"] + 1)
-        return F.exists(F.element_at("keys", F.element_at(key, p["t"] + 1) + 1), lambda at: F.abs(at - wanted) <= SLACK)
+        near = F.filter(F.element_at("keys", F.element_at(key, p["t"] + 1) + 1), lambda at: F.abs(at - wanted) <= SLACK)
+        return F.transform(near, lambda at: F.struct(p["t"].alias("t"), at.alias("at")))
 
-    votes = some.select("row", "s.word", "s.at", F.explode(F.filter(F.element_at(posted, F.col("s.word")), stands)).alias("p"))
-    lined = votes.groupBy("row", F.col("p.t").alias("t"), (F.col("at") - F.col("p.pos")).alias("shift")).agg(F.sum(F.element_at(weight, F.col("word"))).alias("votes"))
+    votes = some.select("row", "s.word", F.inline(F.flatten(F.transform(F.element_at(posted, F.col("s.word")), anchored)))).distinct()
+    lined = votes.groupBy("row", "t", "at").agg(F.sum(F.element_at(weight, F.col("word"))).alias("votes"))
     at = F.col("t") + 1
     fits = lined.select("row", F.element_at(label, at).alias("label"), F.least(F.lit(1.0), F.col("votes") / F.element_at(whole, at)).alias("score")).where(F.col("score") >= SHARE)
     best = fits.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("score").alias("score"))

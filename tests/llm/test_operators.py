@@ -477,6 +477,30 @@ def test_key_phrases_have_to_stand_in_the_notice(spark):
     assert [got[i][0] for i in range(5)] == ["", "", label, label, label]
 
 
+def test_inserted_words_cost_no_votes(spark):
+    """Up to ``SLACK`` words put into a notice, outside its key phrase, shift the rest; votes meet at the phrase all the same."""
+    texts = []
+    for i, (_, words, key) in enumerate(licenses.TEMPLATES):
+        w = words.split()
+        first = len(words[: words.index(key)].split())
+        last = first + len(key.split())
+        at = first // 2 if first else last + (len(w) - last) // 2
+        texts.append(" ".join([*w[:at], *["so", "much"][: 2 if 0 < at < len(w) else 0], *w[at:]]))
+    table = spark.createDataFrame([*enumerate(texts), *[(100 + i, sentence(i)) for i in range(200)]], "doc_id long, text string")
+    got = by_id(licenses.scan(table), "labels", "score")
+    for i, (label, _, _) in enumerate(licenses.TEMPLATES):
+        assert label in got[i][0].split(",") and got[i][1] == pytest.approx(1.0), (texts[i], got[i])
+
+
+def test_common_words_make_up_for_no_rare_ones(spark):
+    """Words that every file holds weigh next to nothing: the template's rare words have to be there."""
+    notice = next(words for label, words, _ in licenses.TEMPLATES if label == "bsd")
+    kept = "redistribution and use in source and binary forms"
+    rows = [(i, f"{kept} {sentence(i)}") for i in range(300)] + [(1000, notice), (1001, kept)]
+    got = by_id(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")), "labels")
+    assert got[1000] == ("bsd",) and got[1001] == ("",) and got[5] == ("",)
+
+
 # n-gram join
 
 
