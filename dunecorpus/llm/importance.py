@@ -47,8 +47,9 @@ RUN = 4096
 # ASCII but letters and digits part words, A-Z are lower-cased, bytes of other characters stay
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
-#: A block holds documents up to so many entries; one document has at most an entry a bucket.
-ENTRIES = 1 << 15
+#: A block holds documents up to so many entries (one document has at most an entry a bucket), as readers and writers
+#: hold many blocks at a time; bytes of a row group for the same reason.
+ENTRIES, GROUP_BYTES = 1 << 12, 16 << 20
 BLOCK = "doc_id array<long>, n_words array<long>, start array<int>, bucket array<int>, n array<int>"
 
 
@@ -108,7 +109,7 @@ def matrix(rows: DataFrame, folder: str, buckets: int = BUCKETS, order: int = OR
             if ids:
                 yield block_of(ids, found)
 
-    rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, BLOCK).write.parquet(folder)
+    rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, BLOCK).write.option("parquet.block.size", GROUP_BYTES).parquet(folder)
     return rows.sparkSession.read.parquet(folder)
 
 
