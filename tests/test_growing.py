@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dunecorpus.functions import tokens
-from dunecorpus.operators import evaluating, hashed
+from dunecorpus.operators import evaluating, hashed, sparse
 from dunecorpus.sources import binary
 from dunecorpus.streaming import unified
 
@@ -131,3 +131,90 @@ def test_totals_survive_a_batch_that_runs_again(spark, tmp_path):
 def test_nothing_to_fold(spark, tmp_path):
     (tmp_path / "in").mkdir()
     assert tuple(unified.fold(spark, str(tmp_path / "in"), SCHEMA, str(tmp_path / "c"), str(tmp_path / "s"), str(tmp_path / "k")).first()) == (0, 0, 0, 0)
+
+
+def sparse_rows(n=150, seed=3):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        places = np.sort(rng.choice(200, rng.integers(1, 60), replace=False, p=(w := 1 / np.arange(1, 201)) / w.sum()))
+        weights = rng.random(len(places)) + 0.01
+        rows.append((i, "ab"[i % 5 == 0], places.tolist(), (weights / np.linalg.norm(weights)).tolist()))
+    return rows
+
+
+SPARSE = "id long, label string, place array<int>, weight array<double>"
+
+
+def dense(rows):
+    x = np.zeros((len(rows), 200))
+    for i, (*_, p, w) in enumerate(rows):
+        x[i, p] = w
+    return x
+
+
+@pytest.mark.parametrize("block", [8192, 20])
+def test_sparse_neighbours_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(sparse, "ROWS", block)
+    monkeypatch.setattr(sparse, "QUERIES", max(5, block // 3))
+    rows = sparse_rows()
+    rows += [(200, "b", *rows[0][2:]), (201, "c", [1], [1.0])]
+    x = dense(rows)
+    df = spark.createDataFrame(rows, SPARSE)
+    found = {}
+    for r in sparse.nearest(df.where("id % 3 < 2"), df, 4, "label").collect():
+        found.setdefault(r["q"], []).append((r["rank"], r["id"], r["score"]))
+    for i, (q, label, *_) in enumerate(rows):
+        if q % 3 < 2:
+            same = [j for j, r in enumerate(rows) if r[1] == label and r[0] != q]
+            want = sorted(((-round(float(x[i] @ x[j]), 12), rows[j][0]) for j in same))[:4]
+            assert [n for _, n, _ in sorted(found.get(q, []))] == [n for _, n in want]
+
+
+def test_lists_are_left_unread_where_the_rest_is_short():
+    rng = np.random.default_rng(1)
+    places = [np.concatenate([[i % 10], 10 + np.sort(rng.choice(390, 80, replace=False))]) for i in range(500)]
+    weights = [np.concatenate([[rng.uniform(0.5, 1)], np.full(80, 0.001)]) for _ in places]
+    index = sparse.Index(places, weights)
+    near, score, read = index.nearest(places[0], weights[0], 5)
+    assert read < 80 and {int(i) for i in near[np.argsort(-score)[:5]]} <= set(near.tolist())
+    whole = np.array([sum(a * b for p, a in zip(places[0], weights[0], strict=True) for q, b in zip(places[j], weights[j], strict=True) if p == q) for j in near])
+    assert np.allclose(whole, score)
+
+
+def test_synthetic_rows_lie_between_neighbours(spark):
+    rows = sparse_rows()
+    by = {r[0]: r for r in rows}
+    made = sparse.oversample(spark.createDataFrame(rows, SPARSE), "label").collect()
+    count = {c: sum(r[1] == c for r in rows) for c in "ab"}
+    assert len(made) == abs(count["a"] - count["b"])
+    x = dense(rows)
+    for r in made:
+        small = min(count, key=count.get)
+        assert r["label"] == by[r["base"]][1] == by[r["neighbour"]][1] == small and 0 <= r["gap"] < 1
+        want = (1 - r["gap"]) * x[r["base"]] + r["gap"] * x[r["neighbour"]]
+        got = np.zeros(200)
+        got[r["place"]] = r["weight"]
+        assert np.allclose(got, want)
+    assert sparse.oversample(spark.createDataFrame([(1, "a", [0], [1.0]), (2, "b", [1], [1.0]), (3, "b", [2], [1.0])], SPARSE), "label").collect()[0]["base"] == 1
+
+
+def test_machines_equal_a_plain_run(spark):
+    rows = [(i, "xyz"[i % 3], sorted({i % 3 * 3, int(p)}), [0.5] * len({i % 3 * 3, int(p)})) for i, p in enumerate(np.random.default_rng(2).integers(0, 30, 90))]
+    rows.append((500, "x", [], []))
+    df = spark.createDataFrame(rows, SPARSE)
+    found = sparse.fit(df, "label", 30, steps=5)
+    x = np.concatenate([dense(rows)[:, :30], np.ones((len(rows), 1))], 1)
+    sign = np.array([[1.0 if r[1] == c else -1.0 for c in "xyz"] for r in rows])
+    w, m, v, losses = np.zeros((3, 31)), 0.0, 0.0, []
+    for t in range(1, 6):
+        slack = np.maximum(0, 1 - sign * (x @ w.T))
+        losses.append((10 * (slack**2).sum() + 0.5 * (w[:, :-1] ** 2).sum()) / len(rows))
+        g = 10 * (-2 * sign * slack).T @ x / len(rows)
+        g[:, :-1] += w[:, :-1] / len(rows)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - 0.2 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    assert found.losses == pytest.approx(losses) and np.allclose(found.weights, w, atol=1e-8)
+    many = sparse.fit(df, "label", 30)
+    got = {r["id"]: r["predicted"] for r in sparse.judge(df, ["id"], many).collect()}
+    assert np.mean([got[i] == c for i, c, *_ in rows]) > 0.9 and many.losses[-1] < many.losses[0]
