@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from itertools import combinations
 
 import numpy as np
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dunecorpus.llm.common import Hashes, arrow_schema, block_pairs, blocks_of, cut, ngram_hashes, slices, worker_cache
+from dunecorpus.operators.staging import shared_folder, stored
 
 WORD = re.compile(r"\w+")
 BITS, RADIUS, BLOCKS = 64, 3, 6
@@ -185,6 +187,7 @@ def near_counts(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -
 
 def near_fingerprints(docs: DataFrame) -> DataFrame:
     """The contract's columns, and ``n_near``: other documents within ``RADIUS`` bits."""
-    prints = cut(fingerprints(docs))
+    # the texts' shuffle, which is over the input's bytes, goes before the pairs are sought
+    prints = stored(fingerprints(docs), f"{shared_folder(docs.sparkSession)}/fingerprints-{uuid.uuid4().hex}")
     near = near_counts(prints.select("bits"))
     return prints.join(near.withColumnRenamed("near", "n_near"), "bits").drop("bits")

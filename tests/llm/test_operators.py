@@ -721,6 +721,15 @@ def test_fill_has_least_slack():
 # fingerprints
 
 
+def test_fingerprints_are_stored_compressed(spark, tmp_path, monkeypatch):
+    """The fingerprints are Parquet in the shared folder, not a checkpoint."""
+    monkeypatch.setattr(simhash, "shared_folder", lambda spark: str(tmp_path))
+    docs = spark.createDataFrame([(i, f"some words {i}", None, None, 0) for i in range(3)], SCHEMA)
+    assert simhash.near_fingerprints(docs).count() == 3
+    at = next(tmp_path.iterdir())
+    assert at.name.startswith("fingerprints-") and spark.read.parquet(str(at)).count() == 3
+
+
 def test_simhash_neighbours_and_near_counts(spark):
     texts = [sentence(i, 60) for i in range(30)] + [sentence(0, 60)] * 3 + [sentence(1, 60) + " end", "", "word"]
     docs = spark.createDataFrame([(i * 7, t, None, None, 0) for i, t in enumerate(texts)], SCHEMA)
