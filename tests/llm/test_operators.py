@@ -529,6 +529,16 @@ def test_common_words_make_up_for_no_rare_ones(spark):
     assert got[1000] == ("bsd",) and got[1001] == ("",) and got[5] == ("",)
 
 
+def test_places_are_kept_beside_a_key_phrase_only(spark):
+    """A text without a key phrase can have no notice, so its words count for frequencies and no array of places is made."""
+    texts = ["Source code, software and more SOURCE", "the Licensed software: MIT License", "this wor\u212a has the mit license"]
+    got = {r["doc_id"]: r for r in licenses.read(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    vocabulary = licenses.anchors()
+    assert set(got[0]["kinds"]) == {"source", "code", "software"} and got[0]["held"] == []
+    assert [(h["at"], vocabulary[h["word"] - 1]) for h in got[1]["held"]] == [(1, "licensed"), (2, "software"), (3, "mit"), (4, "license")]
+    assert [(h["at"], vocabulary[h["word"] - 1]) for h in got[2]["held"]] == [(4, "mit"), (5, "license")]  # a Kelvin sign is no k
+
+
 # n-gram join
 
 
