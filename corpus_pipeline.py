@@ -16,7 +16,9 @@ text from the first's start to the last's end is masked.
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,31 +32,52 @@ from dunecorpus.operators.staging import remove, shared_folder
 TARGETS = (0.92, 0.05, 0.03)
 #: The part of the tokens that mixing keeps in any case.
 LEAST = 0.8
+#: Bytes of texts that go to Python at once (Spark's own limit is 64 MB); a longer text goes alone.  An executor
+#: has such a batch several times: as it fills, in the buffer it is sent from, and in the worker that reads it.
+BATCH_BYTES = 4 << 20
+#: Words whose ids a packing worker keeps; most of a larger stock are rare and don't come again.
+PACKING_WORDS = 250_000
 
 
+def in_small_batches(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``stage`` with Arrow batches of at most ``BATCH_BYTES``; the setting stays, as the stage's rows are made when they are written."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@in_small_batches
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity machine rejects go."""
     return toxicity.drop_toxic(docs, read_table(spark, sf_dir, "labels"))
 
 
+@in_small_batches
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays."""
     return ngram_join.keep_one(docs)
 
 
+@in_small_batches
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts become a mark; all documents stay."""
     return secrets.redact(docs)
 
 
+@in_small_batches
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are drawn at the rates that meet the domains' target shares, ``TARGETS``, as far as ``LEAST`` of all tokens stay."""
     return mixing.thin(docs, read_table(spark, sf_dir, "labels"), TARGETS, least=LEAST)
 
 
+@in_small_batches
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 4096 tokens."""
-    return packing.pack(docs, tokenizer_path())
+    return packing.pack(docs, tokenizer_path(), words=PACKING_WORDS)
 
 
 STAGES = [

@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from dunecorpus.llm.common import arrow_schema, slices, texts, worker_cache
 
 WINDOW, END_ID, POOL = 4096, 2, 1024
+#: Words whose ids a worker keeps.
+WORDS = 700_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 #: Texts of these characters alone need no Unicode composition, and lower-case and split alike in Python and in the tokenizer.
@@ -49,7 +51,7 @@ _WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\s{_LETT
 class Tokens:
     """word -> its ids as little-endian 32-bit bytes, filled by the tokenizer; bounded."""
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -169,15 +171,18 @@ class Packer:
                         room, offset = 1 << max(0, total.bit_length() - 1), 0
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, pool: int = POOL) -> DataFrame:
-    """One row per piece: where it lies in its document and in its sequence."""
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, pool: int = POOL, words: int = WORDS) -> DataFrame:
+    """One row per piece: where it lies in its document and in its sequence.
+
+    ``words`` bounds a worker's memory, not what is encoded.
+    """
 
     schema = arrow_schema(SCHEMA)
 
     def run(batches):
         import pyarrow as pa
 
-        tokens, packer = worker_cache(tokenizer, lambda: Tokens(tokenizer)), Packer(window, pool, TaskContext.get().partitionId() << 36)
+        tokens, packer = worker_cache(f"{tokenizer} {words}", lambda: Tokens(tokenizer, words)), Packer(window, pool, TaskContext.get().partitionId() << 36)
         end = np.array([END_ID], "<u4").tobytes()
 
         def rows():
@@ -187,9 +192,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, pool: int = POOL
 
         for part in slices(batches):
             ids = part.column("doc_id").to_pylist()
-            words = texts(part)
+            whole = texts(part)
             for at in range(0, len(ids), 128):
-                for doc_id, found in zip(ids[at : at + 128], tokens.encode(words[at : at + 128]), strict=True):
+                for doc_id, found in zip(ids[at : at + 128], tokens.encode(whole[at : at + 128]), strict=True):
                     packer.add(doc_id, found + end)
                 if len(packer.pieces) >= 20_000:
                     yield rows()

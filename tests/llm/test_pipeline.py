@@ -128,3 +128,34 @@ def test_run_is_the_stages_in_a_row(spark, folder, steps):
 def test_stages_take_empty_tables(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, spark.createDataFrame([], SCHEMA), folder).count() == 0
+
+
+def test_texts_go_to_python_in_small_batches(spark, folder):
+    """An executor has a batch several times over; a longer text goes alone and whole."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    docs = spark.range(0, 41, 1, 1).select(F.expr("repeat('x', if(id = 7, 9000000, 1000000))").alias("text"))
+    for name, stage in corpus_pipeline.STAGES:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        stage(spark, spark.createDataFrame([], SCHEMA), folder)
+        got = docs.mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r["n"] for r in got) == 41 and sum(r["size"] for r in got) > 49e6, name
+        assert max(r["size"] for r in got) < corpus_pipeline.BATCH_BYTES + 9_100_000, name
+        assert max(r["n"] for r in got) <= 5, name
+
+
+def test_packing_with_few_kept_words_gives_the_same_pieces(spark, steps):
+    from dunecorpus.llm import packing
+
+    docs = steps["mixing"][3]
+    few, many = (sorted(map(tuple, packing.pack(docs, queries.tokenizer_path(), words=n).collect()), key=str) for n in (5, packing.WORDS))
+    assert few == many and few
+    tokens = packing.Tokens(queries.tokenizer_path(), 5)
+    for i in range(40):
+        tokens.encode([f"a{i} b{i} c"])
+        assert len(tokens.ids) <= 5
