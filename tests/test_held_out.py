@@ -5,8 +5,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from dunecorpus.operators import evaluating, staging
+from dunecorpus.operators import backoff, evaluating, held_out, staging
 
 
 def plain(train, test):
@@ -52,3 +53,27 @@ def test_slices_hold_every_row_once(spark, tmp_path, rows):
     found = staging.sliced(lambda part: part(df, "id"), str(tmp_path / "x"))
     assert sorted(r["id"] for r in found.collect()) == list(range(rows))
     assert len(list((tmp_path / "x").iterdir())) == staging.SLICES
+
+
+@pytest.mark.parametrize(("order", "windows"), [(2, 10**6), (4, 60), (6, 10**6), (6, 25), (8, 60)])
+def test_places_meet_their_counts_without_a_model(spark, monkeypatch, order, windows):
+    """As the stored model scores them, with tokens before that are frequent and ones that aren't; nothing is left behind."""
+    monkeypatch.setattr(held_out, "WINDOWS", windows)
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(9)]
+    rows = [list(map(str, rng.choice(words, rng.integers(0, 14), p=1 / np.arange(1, 10) / sum(1 / np.arange(1, 10))))) for _ in range(90)]
+    rows = [(i % 3 == 0, ("a", "b")[i % 2], r) for i, r in enumerate(rows)] + [(True, "a", ["new", "w0"]), (True, "b", None), (False, "a", None), (False, "a", rows[0])]
+    df = spark.createDataFrame(rows, "held boolean, g string, w array<string>")
+    found = held_out.scored(df.select("g", "held", held_out.marked(F.col("w")).alias("text")), "g", order).collect()
+    want = {}
+    for r in backoff.score(backoff.train(df.where("not held"), "w", order), df.where("held"), ["g"], "w", order).collect():
+        n, s = want.get((r["g"], int(r["found"] > 0)), (0, 0.0))
+        want[r["g"], int(r["found"] > 0)] = n + r["times"], s + r["times"] * r["logp"]
+    assert {(r["g"], r["found"]): (r["times"], pytest.approx(r["times"] * r["logp"])) for r in found} == want
+
+
+@pytest.mark.parametrize("held", [True, False])
+def test_nothing_to_learn_or_to_score(spark, held):
+    df = spark.createDataFrame([(held, "a", ["x", "y"])], "held boolean, g string, w array<string>")
+    found = held_out.scored(df.select("g", "held", held_out.marked(F.col("w")).alias("text")), "g", 3).collect()
+    assert [(r["found"], r["times"], round(r["logp"], 9)) for r in found] == ([(0, 3, 0.0)] if held else [])
